@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources"]
+MODULES = ["sources", "text", "predicates", "joins"]
 
 
 def _collect(attribute: str) -> dict:

@@ -35,20 +35,21 @@ LATIN_DETECTORS = [
 
 def detect(line: Column, detectors: list[Detector]) -> Column:
     """``array<struct<category, value>>`` of one line, in detector order."""
-    found = []
-    for d in detectors:
+
+    def found(d: Detector) -> Column:
         values = matches(line, d.pattern)
         if d.min_digits:
-            values = F.filter(values, lambda v, d=d: F.length(F.regexp_replace(v, r"\D", "")) >= d.min_digits)
-        found.append(F.transform(values, lambda v, d=d: F.struct(F.lit(d.category).alias("category"), v.alias("value"))))
-    return F.concat(*found)
+            values = F.filter(values, lambda v: F.length(F.regexp_replace(v, r"\D", "")) >= d.min_digits)
+        return F.transform(values, lambda v: F.struct(F.lit(d.category).alias("category"), v.alias("value")))
+
+    return F.concat(*[found(d) for d in detectors])
 
 
 def check_digit_valid(number: Column) -> Column:
     """National identity number check; five to nine digits count from the right."""
     digits = F.regexp_replace(number, r"\D", "")
     sized = F.length(digits).between(5, 9)
-    return F.coalesce(sized & F.luhn_check(F.lpad(digits, 9, "0")), F.lit(False))
+    return F.coalesce(sized & F.call_function("luhn_check", F.lpad(digits, 9, "0")), F.lit(False))
 
 
 def identity_numbers(line: Column, label: str = fv.ID_LABEL_PATTERN) -> Column:
@@ -87,22 +88,21 @@ def appendix_references(
     Several patterns can find the same reference; the caller keeps the lowest
     (priority, start) per line and identifier.
     """
-    found = []
-    for priority, (family, pattern) in enumerate(patterns):
-        hits = matches_with_offsets(line, pattern)
-        found.append(
-            F.transform(
-                hits,
-                lambda x, priority=priority, family=family, pattern=pattern: F.struct(
-                    F.lit(priority).alias("priority"),
-                    x["start"].alias("start"),
-                    F.trim(F.regexp_extract(x["match"], pattern, 1)).alias("ref_id"),
-                    F.lit(family).alias("family"),
-                    F.trim(around(line, x["start"], F.length(x["match"]), fv.APPENDIX_CONTEXT)).alias("context"),
-                ),
-            )
+
+    def found(priority: int, family: str, pattern: str) -> Column:
+        return F.transform(
+            matches_with_offsets(line, pattern),
+            lambda x: F.struct(
+                F.lit(priority).alias("priority"),
+                x["start"].alias("start"),
+                F.trim(F.regexp_extract(x["match"], pattern, 1)).alias("ref_id"),
+                F.lit(family).alias("family"),
+                F.trim(around(line, x["start"], F.length(x["match"]), fv.APPENDIX_CONTEXT)).alias("context"),
+            ),
         )
-    return F.filter(F.concat(*found), lambda x: ~x["ref_id"].isin(*false_positives))
+
+    hits = F.concat(*[found(i, family, pattern) for i, (family, pattern) in enumerate(patterns)])
+    return F.filter(hits, lambda x: ~x["ref_id"].isin(*false_positives))
 
 
 def first_per_reference(hits: Column) -> Column:
