@@ -13,6 +13,7 @@ from docketry.functions.arrays import matches
 from docketry.functions.text import comparison_key, reroot_path, search_key
 from docketry.operators import cases, entities, layout, ledger, matching, profiling, quality, rulebooks
 from docketry.plans import folders
+from docketry.session import cut_lineage
 from docketry.sources.tables import table
 
 
@@ -73,7 +74,7 @@ def j5_residual_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines_with_words(spark: SparkSession, d: str) -> DataFrame:
-    return layout.line_words(layout.group_lines(inputs.words(spark, d)))
+    return cut_lineage(layout.line_words(layout.group_lines(inputs.words(spark, d))))
 
 
 def _page_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -376,11 +377,11 @@ ORACLE = {
         SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "j14_folder_chain": f"""
         WITH RECURSIVE {inputs.CASES}, w AS (
-          SELECT case_id, case_id AS at, 0 AS depth, '' AS path FROM cases
+          SELECT case_id, case_id AS here, 0 AS depth, '' AS path FROM cases
           UNION ALL
           SELECT w.case_id, c.parent_id, w.depth + 1, c.subject || CASE WHEN w.path = '' THEN '' ELSE '/' || w.path END
-          FROM w JOIN cases c ON c.case_id = w.at WHERE c.parent_id IS NOT NULL AND w.depth < 12)
-        SELECT case_id, arg_max(at, depth) AS root_id, max(depth) AS depth, arg_max(path, depth) AS path FROM w GROUP BY case_id""",
+          FROM w JOIN cases c ON c.case_id = w.here WHERE c.parent_id IS NOT NULL AND w.depth < 12)
+        SELECT case_id, arg_max(here, depth) AS root_id, max(depth) AS depth, arg_max(path, depth) AS path FROM w GROUP BY case_id""",
     "j14_children": f"WITH {inputs.CASES} SELECT parent_id AS case_id, count(*) AS n_children FROM cases WHERE parent_id IS NOT NULL GROUP BY parent_id",
     "j15_status_list": """
         WITH c AS (SELECT * FROM (VALUES (1, '1-URGENT'), (2, '2-HIGH'), (3, '6-PARKED')) v(bank_id, name)),

@@ -95,7 +95,7 @@ DETECTIONS = inputs.LINES + ", found AS (" + " UNION ALL ".join(
     f"SELECT doc_key, pos, '{x.category}' AS category, unnest(regexp_extract_all(text, {sql_text(x.pattern)})) AS value FROM lines"
     for x in patterns.LATIN_DETECTORS
 ) + ")"
-SEARCH_KEY = r"regexp_replace(lower(translate({0}, '""''`׳״.,-–—()[]/\', '')), '\s+', '', 'g')".replace('""', '"')
+SEARCH_KEY = r"""regexp_replace(lower(translate({0}, '"''`׳״.,-–—()[]/\', '')), '\s+', '', 'g')"""
 
 ORACLE = {
     "p1_find": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(p_name, 'bolt') OR contains(p_type, 'bolt')",

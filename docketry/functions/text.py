@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry import fixed_values as fv
 from docketry.functions.arrays import characters_of, let, matches
@@ -23,7 +24,7 @@ def search_key(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(folded), _SPACES, ""), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.str.normalize("NFKC")
@@ -136,13 +137,7 @@ def similarity(left: Column, right: Column) -> Column:
     return let(catalog_key(left), lambda x: let(catalog_key(right), lambda y: score(x, y)))
 
 
-def edit_ratio(left: Column, right: Column) -> Column:
-    """1 minus edit distance over the longer length; two empty texts are equal."""
-    longest = F.greatest(F.length(left), F.length(right))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1) - F.levenshtein(left, right) / longest)
-
-
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts, for pairs that passed the cheap bounds."""
     from difflib import SequenceMatcher

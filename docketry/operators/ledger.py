@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
 from docketry.operators import ordered
+from docketry.operators.joining import shuffled
 
 
 def first_uses(confirms: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def read_units(units: DataFrame, issued: DataFrame, confirms: DataFrame, vision:
         "doc_id", F.explode("units").alias("n"), "ts"
     )
     marks = confirmed.groupBy("doc_id", "n").agg(F.min("ts").alias("ts"))
-    out = units.join(marks, ["doc_id", "n"], "left").withColumn(
+    out = units.join(shuffled(marks), ["doc_id", "n"], "left").withColumn(
         "how", F.when((F.col("kind") == "text") & F.col("ts").isNotNull(), "text")
     )
     if vision is not None:

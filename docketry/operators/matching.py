@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.arrays import matches
-from docketry.functions.text import block_ratio, comparison_key, edit_ratio
+from docketry.functions.text import block_ratio, comparison_key
+from docketry.operators.joining import shuffled
 
 
 # --- similarity joins -------------------------------------------------------
@@ -39,19 +40,21 @@ def similar_pairs(
         "band", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1))
     )
     small, large = F.least("la", "lb"), F.greatest("la", "lb")
-    met = a.join(b, [*keys, "band"]).filter(small >= F.floor(large * shortest))
     if metric == "edit":
         limit = F.floor(large * (1 - threshold)).cast("int") + 1
-        met = met.filter(_within(limit)).withColumn("score", edit_ratio(F.col("ta"), F.col("tb")))
     else:
         # Matching blocks leave at most (1 - t)(a + b) characters to edit.
         limit = F.floor((F.col("la") + F.col("lb")) * (1 - threshold)).cast("int") + 1
-        met = met.filter(_within(limit)).withColumn("score", block_ratio("ta", "tb"))
-    return met.filter(F.col("score") >= threshold).select(*keys, "row", "other", "score")
-
-
-def _within(limit: Column) -> Column:
-    return F.levenshtein(F.col("ta"), F.col("tb")) <= limit
+    met = a.join(shuffled(b), [*keys, "band"]).filter(small >= F.floor(large * shortest))
+    # Exploding the filtered one-element array computes the distance once per pair.
+    distance = F.call_function("levenshtein", F.col("ta"), F.col("tb"), limit)
+    near = met.withColumn("edits", F.explode(F.filter(F.array(distance), lambda x: x >= 0)))
+    if metric == "edit":
+        score = F.when(large == 0, F.lit(1.0)).otherwise(F.lit(1) - F.col("edits") / large)
+    else:
+        score = block_ratio("ta", "tb")
+    scored = near.withColumn("score", score)
+    return scored.filter(F.col("score") >= threshold).select(*keys, "row", "other", "score")
 
 
 def best_partner(
@@ -64,13 +67,13 @@ def best_partner(
     """
     targets = right.groupBy(*keys, "text").agg(F.min("row").alias("row"))
     same = targets.select(*keys, "text", F.col("row").alias("same"))
-    marked = left.join(same, [*keys, "text"], "left")
+    marked = left.join(shuffled(same), [*keys, "text"], "left")
     rest = marked.filter(F.col("same").isNull()).select(*keys, "row", "text")
     scored = similar_pairs(rest, targets, keys, threshold, metric)
     best = scored.groupBy(*keys, "row").agg(
         F.max(F.struct(F.col("score"), (-F.col("other")).alias("neg"))).alias("m")
     )
-    return marked.join(best, [*keys, "row"], "left").select(
+    return marked.join(shuffled(best), [*keys, "row"], "left").select(
         *keys,
         "row",
         "text",
@@ -86,7 +89,7 @@ def reconcile(used: DataFrame, declared: DataFrame, keys: list[str], ref: str) -
     u = used.select(*keys, ref).distinct().withColumn("u", F.lit(True))
     d = declared.select(*keys, ref).distinct().withColumn("d", F.lit(True))
     side = F.when(F.col("d").isNull(), "orphaned").when(F.col("u").isNull(), "missing").otherwise("matched")
-    return u.join(d, [*keys, ref], "full").select(*keys, ref, side.alias("side"))
+    return u.join(shuffled(d), [*keys, ref], "full").select(*keys, ref, side.alias("side"))
 
 
 def valid_groups(sides: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,4 +138,4 @@ def quotes_in_source(quotes: DataFrame, sources: DataFrame, key: str) -> DataFra
     found = F.when(
         F.col("__s").isNotNull(), F.forall(segments, lambda s: F.contains(F.col("__s"), s))
     )
-    return wanted.join(held, key, "left").select(*quotes.columns, found.alias("found"))
+    return wanted.join(shuffled(held), key, "left").select(*quotes.columns, found.alias("found"))

@@ -11,6 +11,7 @@ from docketry.functions.text import comparison_key, leading_addition, quotes, wo
 from docketry.operators.matching import best_partner
 from docketry.operators.quality import operative_tail
 from docketry.session import cut_lineage
+from docketry.operators.joining import shuffled
 
 PAIR = ["pair_id"]
 FINDING = ["pair_id", "check", "severity", "subject", "detail"]
@@ -36,7 +37,7 @@ def alignment(paragraphs: DataFrame, metric: str = "blocks", compatibility: bool
     new = keyed.filter(F.col("side") == "reordered").drop("side")
     forward = best_partner(old, new, PAIR, fv.NEAR_MATCH_THRESHOLD, metric)
     partner = new.select("pair_id", F.col("row").alias("other"), F.col("text").alias("partner"))
-    forward = forward.join(partner, ["pair_id", "other"], "left").withColumn("side", F.lit("original"))
+    forward = forward.join(shuffled(partner), ["pair_id", "other"], "left").withColumn("side", F.lit("original"))
     backward = best_partner(new, old, PAIR, fv.NEAR_MATCH_THRESHOLD, metric).withColumn("partner", F.lit(None).cast("string"))
     columns = ["pair_id", "side", "row", "text", "other", "score", "partner"]
     return forward.select(*columns).unionByName(backward.withColumn("side", F.lit("reordered")).select(*columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import markup_to_text, section_number
 from docketry.operators.structure import blocks, source_line, statute_line, with_context
+from docketry.operators.joining import shuffled
 
 
 def sections(pages: DataFrame, opening=statute_line, depth: int = 6) -> DataFrame:
@@ -16,7 +17,7 @@ def sections(pages: DataFrame, opening=statute_line, depth: int = 6) -> DataFram
     """
     keyed = pages.withColumnRenamed("title", "page_title")
     found = with_context(blocks(keyed, "page_title", "wikitext", opening), "page_title")
-    described = found.join(keyed.select("page_title", "revid", "timestamp", "url"), "page_title")
+    described = found.join(shuffled(keyed.select("page_title", "revid", "timestamp", "url")), "page_title")
     anchor = F.concat(F.lit("סעיף "), F.col("num"))
     return described.select(
         "page_title", "pos", section_number(F.col("num")).alias("num"), F.col("title").alias("heading"), "amend", "context",
