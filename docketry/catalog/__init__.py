@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources", "text", "predicates", "joins"]
+MODULES = ["sources", "text", "predicates", "joins", "aggregates"]
 
 
 def _collect(attribute: str) -> dict:

@@ -61,12 +61,15 @@ def replace_typography(text: Column, quotes: bool = False, extra: dict[str, str]
     return F.translate(text, "".join(table), "".join(table.values()))
 
 
+def valid_characters(text: Column, valid: str = fv.VALID_CHARACTERS) -> Column:
+    """How many characters of a text belong to the valid set."""
+    return F.length(F.regexp_replace(text, "(?U)[^" + valid[1:], ""))
+
+
 def valid_character_ratio(text: Column, valid: str = fv.VALID_CHARACTERS) -> Column:
     trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    kept = F.length(F.regexp_replace(trimmed, "(?U)[^" + valid[1:], ""))
-    return F.coalesce(
-        F.when(F.length(trimmed) == 0, F.lit(0.0)).otherwise(kept / F.length(trimmed)), F.lit(0.0)
-    )
+    share = F.when(F.length(trimmed) == 0, F.lit(0.0)).otherwise(valid_characters(trimmed, valid) / F.length(trimmed))
+    return F.coalesce(share, F.lit(0.0))
 
 
 def section_number(text: Column) -> Column:

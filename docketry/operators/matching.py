@@ -92,6 +92,13 @@ def reconcile(used: DataFrame, declared: DataFrame, keys: list[str], ref: str) -
     return u.join(shuffled(d), [*keys, ref], "full").select(*keys, ref, side.alias("side"))
 
 
+def first_hits(hits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per ``keys``: the hit that comes first in ``order``."""
+    rest = [c for c in hits.columns if c not in keys and c not in order]
+    first = F.min(F.struct(*order, *rest)).alias("m")
+    return hits.groupBy(*keys).agg(first).select(*keys, "m.*")
+
+
 def valid_groups(sides: DataFrame, keys: list[str]) -> DataFrame:
     return sides.groupBy(*keys).agg(
         F.count_if(F.col("side") == "orphaned").alias("orphaned"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
-from docketry.functions.text import valid_character_ratio, word_count
+from docketry.functions.text import valid_characters, word_count
 from docketry.operators.ordered import islands
 
 
@@ -83,17 +83,19 @@ def text_metrics(pages: DataFrame, words: DataFrame) -> DataFrame:
         .groupBy("doc_key")
         .agg(F.bround(F.avg("conf"), 1).alias("mean_confidence"))
     )
-    valid = valid_character_ratio(F.col("text")) * F.length(F.trim("text"))
+    # Pages are read as one text with an empty line between them.
+    gaps = 2 * (F.count(F.lit(1)) - 1)
     by_page = pages.groupBy("doc_key").agg(
         F.count(F.lit(1)).alias("n_pages"),
-        F.sum(F.length(F.trim("text"))).alias("chars"),
-        F.sum(F.round(valid)).alias("valid"),
+        (F.sum(F.length("text")) + gaps).alias("chars"),
+        (F.sum(valid_characters(F.col("text"))) + gaps).alias("valid"),
     )
+    ratio = F.when(F.col("chars") > 0, F.col("valid") / F.col("chars")).otherwise(F.lit(0.0))
     return by_page.join(by_word, "doc_key", "left").select(
         "doc_key",
         F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"),
         F.bround(F.col("chars") / F.col("n_pages"), 1).alias("chars_per_page"),
-        F.bround(F.when(F.col("chars") > 0, F.col("valid") / F.col("chars")).otherwise(F.lit(0.0)), 3).alias("valid_ratio"),
+        F.bround(ratio, 3).alias("valid_ratio"),
     )
 
 
