@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources", "text", "predicates", "joins", "aggregates"]
+MODULES = ["sources", "text", "predicates", "joins", "aggregates", "windows"]
 
 
 def _collect(attribute: str) -> dict:
