@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources", "text", "predicates", "joins", "aggregates", "windows", "cases", "forms"]
+MODULES = ["sources", "text", "predicates", "joins", "aggregates", "windows", "cases", "forms", "streams", "reports"]
 
 
 def _collect(attribute: str) -> dict:

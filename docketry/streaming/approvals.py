@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from docketry import fixed_values as fv
+from docketry.operators.joining import shuffled
 
 
 def applied_tokens(
@@ -45,14 +47,34 @@ def applies_with_previews(
     ).select("apply_id", "token", "applied_at", "issued")
 
 
-def accepted_codes(confirms: DataFrame, issued: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """First confirmation of every issued code pair; mismatches and reuse drop out.
+def record_confirms(confirms: DataFrame, issued: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
+    """Write the first confirmation of every issued code pair to ``ledger``; reuse is refused for good.
 
-    ``issued`` is a table, so the join needs no stream state.
+    A code may come back at any time, so what was used is kept in a table and
+    not in stream state. Each micro-batch reduces its codes to their first use,
+    drops those that earlier batches recorded, and writes one folder named by
+    its batch number: a batch that runs again replaces its own folder.
     """
+    spark = confirms.sparkSession
     known = issued.select("code_a", "code_b", "doc_id", "units")
-    return (
-        confirms.withWatermark("ts", lateness)
-        .join(known, ["code_a", "code_b"])
-        .dropDuplicatesWithinWatermark(["code_a", "code_b"])
+    shape = "code_a string, code_b string, doc_id long, units array<int>, ts timestamp, confirm_id long"
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{ledger}/batch_id=-1")
+
+    def record(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy("code_a", "code_b").agg(F.min(F.struct("ts", "confirm_id")).alias("m"))
+        used = batch.sparkSession.read.schema(shape + ", batch_id long").parquet(ledger)
+        earlier = used.filter(F.col("batch_id") < batch_id).select("code_a", "code_b")
+        fresh = first.select("code_a", "code_b", "m.*").join(known, ["code_a", "code_b"]).join(
+            shuffled(earlier), ["code_a", "code_b"], "left_anti"
+        )
+        columns = ["code_a", "code_b", "doc_id", "units", "ts", "confirm_id"]
+        fresh.select(*columns).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+
+    query = (
+        confirms.writeStream.foreachBatch(record)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    return query

@@ -31,10 +31,10 @@ def accepted_files(spark: SparkSession, folder: str, extensions: list[str] = fv.
 
 def rejected_files(spark: SparkSession, folder: str, extensions: list[str] = fv.DROP_EXTENSIONS) -> DataFrame:
     """Batch listing of files with any other extension."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     ext = extension(F.col("path"))
     return listed.filter(~ext.isin(*["." + e for e in extensions])).select(
-        base_name(F.col("path")).alias("filename"), ext.alias("ext")
+        base_name(F.col("path")).alias("filename"), ext.alias("ext"), F.col("length").alias("size_bytes")
     )
 
 
