@@ -53,7 +53,7 @@ tokens AS (
   FROM lines),
 words AS (
   SELECT doc_key, line // 40 + 1 AS page, line * 100000 + i AS seq, i * 100 AS "left",
-         (line % 40) * 24 + i % 3 AS top, length(text) * 9 AS width, 18 AS height,
+         (line % 40) * 24 + least(2, i // 40) AS top, length(text) * 9 AS width, 18 AS height,
          (doc_key * 31 + line * 7 + i * 13) % 103 - 2 AS conf, text, line, i
   FROM tokens WHERE length(text) > 0)
 """

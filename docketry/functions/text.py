@@ -24,6 +24,12 @@ def search_key(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(folded), _SPACES, ""), F.lit(""))
 
 
+def plain_search_key(term: str) -> str:
+    """The same key for a term known when the query is written."""
+    folded = term.translate(str.maketrans(fv.FINAL_LETTERS, fv.PLAIN_LETTERS, _VOWEL_POINTS + fv.SEARCH_PUNCTUATION))
+    return "".join(folded.lower().split())
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:

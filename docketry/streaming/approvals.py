@@ -26,7 +26,9 @@ def applied_tokens(
         & (F.col("applied_at") >= F.col("issued"))
         & (F.col("applied_at") <= F.col("issued") + F.expr(f"interval {minutes} minutes")),
     )
-    return joined.select("token", "issued", "applied_at").dropDuplicatesWithinWatermark(["token"])
+    # Only one event time may reach the deduplication, so the preview's time goes on as a plain value.
+    plain = F.timestamp_micros(F.unix_micros("issued")).alias("issued")
+    return joined.select("token", plain, "applied_at").dropDuplicatesWithinWatermark(["token"])
 
 
 def applies_with_previews(

@@ -19,6 +19,7 @@ def accepted_files(spark: SparkSession, folder: str, extensions: list[str] = fv.
     glob = "*.{" + ",".join(extensions) + "}"
     landed = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(folder)
