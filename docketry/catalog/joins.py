@@ -69,7 +69,8 @@ def j5_residual_values(spark: SparkSession, d: str) -> DataFrame:
     found = _detections(spark, d).select("doc_key", "value").distinct()
     pages = inputs.line_pages(spark, d)
     email = next(x.pattern for x in patterns.LATIN_DETECTORS if x.category == "EMAIL")
-    masked = pages.withColumn("text", F.regexp_replace("text", r"\S*" + email + r"\S*", "█████"))
+    hidden = F.regexp_replace("text", r"\S*" + email + r"\S*", "█████")
+    masked = pages.withColumn("text", F.when(F.contains("text", F.lit("@")), hidden).otherwise(F.col("text")))
     return entities.residuals(found, masked)
 
 
