@@ -13,6 +13,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def stretch(items: Column, first: Column, size: Column) -> Column:
+    """``size`` elements (at least one) from position ``first``, counted from 0.
+
+    Reads just those elements; the built-in slice unpacks the whole array every
+    time, which adds up when many slices are taken from one long array.
+    """
+    return F.transform(F.sequence(first, first + size - 1), lambda k: F.get(items, k))
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 

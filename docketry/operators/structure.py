@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
-from docketry.functions.arrays import let, lines_of
+from docketry.functions.arrays import let, lines_of, stretch
 from docketry.functions.text import markup_to_text, section_number
 
 BLOCK = "struct<kind:string,level:int,num:string,title:string,amend:string>"
@@ -64,7 +64,7 @@ def blocks(pages: DataFrame, key: str, text: str, opening: Callable[[Column], Co
                     x["b"]["kind"].alias("kind"), x["b"]["level"].alias("level"), x["b"]["num"].alias("num"),
                     x["b"]["title"].alias("title"), x["b"]["amend"].alias("amend"),
                     F.array_join(
-                        F.slice(lines, x["at"] + 1, F.coalesce(F.get(s, k + 1)["at"], F.size(lines)) - x["at"]), "\n"
+                        stretch(lines, x["at"], F.coalesce(F.get(s, k + 1)["at"], F.size(lines)) - x["at"]), "\n"
                     ).alias("body"),
                 ),
             ),
