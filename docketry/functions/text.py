@@ -242,7 +242,10 @@ def _expand_once(text: Column) -> Column:
         t = F.regexp_replace(
             t, rf"\{{\{{\s*\Q{name}\E\s*\|([^{{}}]*)\}}\}}", " " * depth + _OPEN + "$1" + _CLOSE + " "
         )
-    t = F.regexp_replace(t, r"\{\{[^{}|]*\|([^{}]*)\}\}", _OPEN + "$1" + _CLOSE)
+    # An outer template may have lost its inner one just now; its own rule takes it in the next round.
+    ruled = names([*fv.MARKUP_FIRST_ARGUMENT, *fv.MARKUP_LAST_ARGUMENT, *fv.MARKUP_INDENTS, *fv.MARKUP_DROPPED, fv.MARKUP_NOTE])
+    own_rule = rf"(?!\s*(?:{ruled}|{fv.MARKUP_HEADING}|{fv.MARKUP_SECTION})\s*\|)"
+    t = F.regexp_replace(t, r"\{\{" + own_rule + r"[^{}|]*\|([^{}]*)\}\}", _OPEN + "$1" + _CLOSE)
     t = F.regexp_replace(t, r"\{\{[^{}|]*\}\}", "")
     t = F.regexp_replace(t, rf"(?<={_OPEN})[\s|]+|[\s|]+(?={_CLOSE})", "")
     t = F.regexp_replace(t, rf"\s*\|[\s|]*(?=[^{_OPEN}{_CLOSE}]*{_CLOSE})", " ")
