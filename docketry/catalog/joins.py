@@ -347,6 +347,29 @@ ORACLE = {
         p AS (SELECT doc_key, pos, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: NOT contains(w, '█')), ' ') AS t FROM m)
         SELECT DISTINCT doc_key, CAST(pos + 1 AS INTEGER) AS page, value FROM p JOIN v USING (doc_key)
         WHERE length(k) >= 4 AND contains({SEARCH_KEY.format('t')}, k)""",
+    "j6_entity_spans": f"""
+        WITH RECURSIVE {inputs.WORDS},
+        e0 AS (SELECT doc_key, pos // 40 + 1 AS page, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS value
+               FROM lines WHERE len(string_split(text, ' ')) >= 2),
+        e1 AS (SELECT doc_key, page, value, {SEARCH_KEY.format('value')} AS k FROM e0),
+        e AS (SELECT doc_key, k, arg_min(value, (page, value)) AS value FROM e1 WHERE length(k) >= 4 GROUP BY ALL),
+        w AS (SELECT doc_key, line, i, "left", "left" + width AS r, {SEARCH_KEY.format('text')} AS k FROM words),
+        a AS (SELECT doc_key, line, row_number() OVER (PARTITION BY doc_key, line ORDER BY i) - 1 AS p, "left",
+                     list(k) OVER n AS ks, list(r) OVER n AS rs
+              FROM w WINDOW n AS (PARTITION BY doc_key, line ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+        r AS (SELECT doc_key, line, p, "left", list_max(rs[1:m]) - "left" AS width, m, array_to_string(ks[1:m], '') AS f,
+                     array_to_string(list_reverse(ks[1:m]), '') AS b
+              FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS m FROM a)),
+        h AS (SELECT r.doc_key, line, p, p + m - 1 AS q, "left", width, e.k FROM r JOIN e ON e.doc_key = r.doc_key AND e.k = r.f
+              UNION SELECT r.doc_key, line, p, p + m - 1, "left", width, e.k FROM r JOIN e ON e.doc_key = r.doc_key AND e.k = r.b),
+        s AS (SELECT doc_key, line, k, p, min(q) AS q, arg_min("left", q) AS "left", arg_min(width, q) AS width FROM h GROUP BY ALL),
+        g AS (
+          SELECT doc_key, line, k, min(p) AS p, arg_min(q, p) AS q, arg_min("left", p) AS "left", arg_min(width, p) AS width FROM s GROUP BY doc_key, line, k
+          UNION ALL
+          SELECT x.doc_key, x.line, x.k, x.p, x.q, x."left", x.width
+          FROM (SELECT s.*, row_number() OVER (PARTITION BY s.doc_key, s.line, s.k ORDER BY s.p) AS o
+                FROM g JOIN s ON s.doc_key = g.doc_key AND s.line = g.line AND s.k = g.k AND s.p > g.q) x WHERE x.o = 1)
+        SELECT doc_key, count(*) AS hits, CAST(sum("left") AS BIGINT) AS left_sum, CAST(sum(width) AS BIGINT) AS width_sum FROM g GROUP BY doc_key""",
     "j7_propagation": f"""
         WITH {DETECTIONS}, v AS (SELECT doc_key, {SEARCH_KEY.format('value')} AS k, arg_min(value, (pos, value)) AS value FROM found GROUP BY ALL)
         SELECT doc_key, value, CAST(pos + 1 AS INTEGER) AS page FROM lines JOIN v USING (doc_key)

@@ -82,6 +82,23 @@ def best_partner(
     )
 
 
+def without_partner(
+    left: DataFrame, right: DataFrame, keys: list[str], threshold: float, metric: str = "edit", known: DataFrame | None = None
+) -> DataFrame:
+    """Left rows that no right row reaches ``threshold`` with.
+
+    ``known(keys, row)`` lists left rows that are known to have a partner; their
+    texts are not compared again.
+    """
+    same = right.select(*keys, "text").distinct()
+    if known is not None:
+        same = same.unionByName(left.join(shuffled(known.distinct()), [*keys, "row"], "left_semi").select(*keys, "text")).distinct()
+    rest = left.join(shuffled(same), [*keys, "text"], "left_anti")
+    targets = right.groupBy(*keys, "text").agg(F.min("row").alias("row"))
+    met = similar_pairs(rest, targets, keys, threshold, metric).select(*keys, "row").distinct()
+    return rest.join(shuffled(met), [*keys, "row"], "left_anti")
+
+
 # --- references -------------------------------------------------------------
 
 def reconcile(used: DataFrame, declared: DataFrame, keys: list[str], ref: str) -> DataFrame:

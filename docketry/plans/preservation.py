@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry import fixed_values as fv
 from docketry.functions.patterns import legal_references
 from docketry.functions.text import comparison_key, leading_addition, quotes, word_count
-from docketry.operators.matching import best_partner
+from docketry.operators.matching import best_partner, without_partner
 from docketry.operators.quality import operative_tail
 from docketry.session import cut_lineage
 from docketry.operators.joining import shuffled
@@ -25,32 +25,37 @@ def _finding(df: DataFrame, check: str, severity: Column | str, subject: Column,
     ).filter(F.col("severity").isNotNull())
 
 
-def alignment(paragraphs: DataFrame, metric: str = "blocks", compatibility: bool = True) -> DataFrame:
-    """Best partner of every paragraph of both versions: ``(pair_id, side, row, text, other, score, partner)``.
-
-    Written once, since three checks read it.
-    """
-    keyed = paragraphs.select(
-        "pair_id", "side", F.col("pos").alias("row"), comparison_key(F.col("text"), compatibility).alias("text")
+def keyed_paragraphs(paragraphs: DataFrame, side: str, compatibility: bool) -> DataFrame:
+    """Non-empty paragraphs of one version as ``(pair_id, row, text)`` in comparison form."""
+    own = paragraphs.filter(F.col("side") == side)
+    return own.select(
+        "pair_id", F.col("pos").alias("row"), comparison_key(F.col("text"), compatibility).alias("text")
     ).filter(F.length("text") > 0)
-    old = keyed.filter(F.col("side") == "original").drop("side")
-    new = keyed.filter(F.col("side") == "reordered").drop("side")
-    forward = best_partner(old, new, PAIR, fv.NEAR_MATCH_THRESHOLD, metric)
+
+
+def alignment(old: DataFrame, new: DataFrame, metric: str) -> DataFrame:
+    """Best partner of every original paragraph: ``(pair_id, row, text, other, score, partner)``."""
+    best = best_partner(old, new, PAIR, fv.NEAR_MATCH_THRESHOLD, metric)
     partner = new.select("pair_id", F.col("row").alias("other"), F.col("text").alias("partner"))
-    forward = forward.join(shuffled(partner), ["pair_id", "other"], "left").withColumn("side", F.lit("original"))
-    backward = best_partner(new, old, PAIR, fv.NEAR_MATCH_THRESHOLD, metric).withColumn("partner", F.lit(None).cast("string"))
-    columns = ["pair_id", "side", "row", "text", "other", "score", "partner"]
-    return forward.select(*columns).unionByName(backward.withColumn("side", F.lit("reordered")).select(*columns))
+    return best.join(shuffled(partner), ["pair_id", "other"], "left").select(
+        "pair_id", "row", "text", "other", "score", "partner"
+    )
+
 
+def paragraph_findings(aligned: DataFrame, old: DataFrame, new: DataFrame, metric: str) -> DataFrame:
+    """Originals without a near partner are lost, new ones without one are invented.
 
-def paragraph_findings(aligned: DataFrame) -> DataFrame:
-    old = aligned.filter(F.col("side") == "original")
-    new = aligned.filter(F.col("side") == "reordered")
+    Edit distance is the same both ways, so a new paragraph that is the partner
+    of an original needs no second look.
+    """
     changed = F.when(F.col("score").isNull(), "RED").when(F.col("score") < fv.PARAGRAPH_MATCH_THRESHOLD, "ORANGE")
     detail = F.when(F.col("score").isNull(), "lost paragraph").otherwise("paragraph may be changed")
-    invented = F.when(F.col("score").isNull(), "RED")
-    return _finding(old, "1-paragraphs", changed, F.col("text"), detail).unionByName(
-        _finding(new, "1-paragraphs", invented, F.col("text"), "invented paragraph")
+    known = None
+    if metric == "edit":
+        known = aligned.filter(F.col("other").isNotNull()).select("pair_id", F.col("other").alias("row"))
+    lonely = without_partner(new, old, PAIR, fv.NEAR_MATCH_THRESHOLD, metric, known)
+    return _finding(aligned, "1-paragraphs", changed, F.col("text"), detail).unionByName(
+        _finding(lonely, "1-paragraphs", "RED", F.col("text"), "invented paragraph")
     )
 
 
@@ -92,7 +97,7 @@ def outcome_findings(paragraphs: DataFrame, markers: list[str]) -> DataFrame:
 
 def drift_findings(aligned: DataFrame) -> DataFrame:
     """Matched paragraphs whose word count moved by more than a tenth."""
-    old = aligned.filter((F.col("side") == "original") & F.col("partner").isNotNull())
+    old = aligned.filter(F.col("partner").isNotNull())
     a, b = word_count(F.col("text")), word_count(F.col("partner"))
     severity = F.when((a > 0) & (F.abs(b - a) / a > fv.DRIFT_TOLERANCE), "ORANGE")
     return _finding(old, "5-meaning", severity, F.col("text"), F.format_string("%d to %d words", a, b))
@@ -100,7 +105,7 @@ def drift_findings(aligned: DataFrame) -> DataFrame:
 
 def connector_findings(aligned: DataFrame, connectors: list[str]) -> DataFrame:
     """Words put in front of a paragraph must come from the closed list."""
-    old = aligned.filter((F.col("side") == "original") & (F.col("score") < fv.SAME_TEXT_THRESHOLD))
+    old = aligned.filter(F.col("score") < fv.SAME_TEXT_THRESHOLD)
     added = old.withColumn("added", leading_addition(F.col("text"), F.col("partner"))).filter(F.length("added") > 0)
     allowed = F.array(*[comparison_key(F.lit(c)) for c in connectors])
     severity = F.when(F.array_contains(allowed, comparison_key(F.col("added"))), "GREEN").otherwise("RED")
@@ -120,9 +125,12 @@ def preservation_findings(
     ``metric`` is ``blocks`` (matching blocks, an Arrow UDF on the few pairs
     that pass the bounds) or ``edit`` (edit distance, no Python).
     """
-    aligned = cut_lineage(alignment(paragraphs, metric, compatibility))
+    old = keyed_paragraphs(paragraphs, "original", compatibility)
+    new = keyed_paragraphs(paragraphs, "reordered", compatibility)
+    # Written once, since three checks read it.
+    aligned = cut_lineage(alignment(old, new, metric))
     parts = [
-        paragraph_findings(aligned),
+        paragraph_findings(aligned, old, new, metric),
         quote_findings(paragraphs, metric),
         reference_findings(paragraphs, patterns),
         outcome_findings(paragraphs, markers),
