@@ -83,10 +83,13 @@ def reference_findings(paragraphs: DataFrame, patterns: list[str]) -> DataFrame:
 def outcome_findings(paragraphs: DataFrame, markers: list[str]) -> DataFrame:
     """The operative tails must be the same, paragraph by paragraph."""
     keyed = paragraphs.withColumn("text", comparison_key(F.col("text")))
-    tail = operative_tail(keyed, ["pair_id", "side"], markers).withColumn("at", F.col("pos") - F.col("first_pos"))
+    tail = operative_tail(keyed, ["pair_id", "side"], markers).select(
+        "pair_id", "side", (F.col("pos") - F.col("first_pos")).alias("at"), F.xxhash64("text", F.length("text")).alias("print")
+    )
+    # Fingerprints travel to the comparison, not the texts.
     per_place = tail.groupBy("pair_id", "at").agg(
-        F.max(F.when(F.col("side") == "original", F.col("text"))).alias("old"),
-        F.max(F.when(F.col("side") == "reordered", F.col("text"))).alias("new"),
+        F.max(F.when(F.col("side") == "original", F.col("print"))).alias("old"),
+        F.max(F.when(F.col("side") == "reordered", F.col("print"))).alias("new"),
     )
     differs = per_place.groupBy("pair_id").agg(F.bool_or(~F.col("old").eqNullSafe(F.col("new"))).alias("differs"))
     joined = paragraphs.select("pair_id").distinct().join(differs, "pair_id", "left")
