@@ -92,7 +92,7 @@ def u5_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
 def u6_renamed_paths(spark: SparkSession, d: str) -> DataFrame:
     acts = inputs.acts(spark, d)
     renames = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(
-        F.concat(F.lit("c:/timin/TMPDOCS/"), F.col("c_custkey").cast("string")).alias("old_folder"),
+        F.concat(F.lit("c:/office/TMPDOCS/"), F.col("c_custkey").cast("string")).alias("old_folder"),
         F.concat(F.lit("/archive/"), F.col("c_name")).alias("new_folder"),
     )
     return changes.rename_paths(acts, renames, "doc_path").select("act_id", "new_path")
@@ -211,7 +211,7 @@ ORACLE = {
         FROM part JOIN f USING (p_name, p_brand)""",
     "u6_renamed_paths": f"""
         WITH {inputs.ACTS} SELECT act_id, CASE WHEN c_custkey IS NULL THEN doc_path
-               ELSE '/archive/' || c_name || substr(doc_path, length('C:/Timin/tmpDocs/' || case_id) + 1) END AS new_path
+               ELSE '/archive/' || c_name || substr(doc_path, length('C:/Office/tmpDocs/' || case_id) + 1) END AS new_path
         FROM acts LEFT JOIN customer ON c_custkey = case_id AND c_custkey % 3 = 0""",
     "u7_new_cases": f"""
         WITH {_REQUESTS} SELECT case_num, lpad(case_num, 8, '0') AS case_num_sort, user_id AS customer_id, day AS open_date, kind,

@@ -154,14 +154,14 @@ def acts(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("act_id"), F.col("user_id").alias("case_id"), F.col("event_type").alias("kind"),
         F.col("event_type").alias("act_text"), F.col("ts").alias("due"),
-        F.concat(F.lit("C:/Timin/tmpDocs/"), F.col("user_id").cast("string"), F.lit("/"), name, F.lit(".pdf")).alias("doc_path"),
+        F.concat(F.lit("C:/Office/tmpDocs/"), F.col("user_id").cast("string"), F.lit("/"), name, F.lit(".pdf")).alias("doc_path"),
     )
 
 
 ACTS = """
 acts AS (
   SELECT event_id AS act_id, user_id AS case_id, event_type AS kind, event_type AS act_text, ts AS due,
-         'C:/Timin/tmpDocs/' || user_id || '/' || event_id || event_type
+         'C:/Office/tmpDocs/' || user_id || '/' || event_id || event_type
            || CASE WHEN event_id % 17 = 0 THEN '-old' ELSE '' END || '.pdf' AS doc_path
   FROM events)
 """

@@ -44,7 +44,10 @@ def _masking(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "doc_key", (F.floor(F.col("pos") / 40) + 1).cast("int").alias("page"), F.col("value").alias("text"), F.lit("account").alias("type")
     )
     ents = _page_entities(spark, d).filter(F.length("text") >= 16).unionByName(emails)
-    return masking.masking_run(inputs.words(spark, d), ents, detectors=patterns.LATIN_DETECTORS, allowed=["License", *fv.PUBLIC_ALLOW_LIST], metric="edit")
+    return masking.masking_run(
+        inputs.words(spark, d), ents, detectors=patterns.LATIN_DETECTORS, allowed=["License", *fv.PUBLIC_ALLOW_LIST],
+        metric="edit", national_ids=False,
+    )
 
 
 def q2_masking_plan(spark: SparkSession, d: str) -> DataFrame:

@@ -102,7 +102,7 @@ def f12_appendix_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f13_path_reroot(spark: SparkSession, d: str) -> DataFrame:
-    folder = F.when(F.col("c_custkey") % 5 == 0, "C:\\Other\\").otherwise("C:\\Timin\\tmpDocs\\")
+    folder = F.when(F.col("c_custkey") % 5 == 0, "C:\\Other\\").otherwise("C:\\Office\\tmpDocs\\")
     path = F.concat(folder, F.col("c_mktsegment"), F.lit("\\"), F.col("c_custkey").cast("string"), F.lit(".pdf"))
     return table(spark, d, "customer").select("c_custkey", text.reroot_path(path, "/archive").alias("path"))
 

@@ -20,6 +20,11 @@ def parse_date(text: Column, forms: list[str] = DATE_FORMS) -> Column:
     return F.coalesce(*[_try(text, f) for f in forms]).cast("date")
 
 
+def parse_written_date(text: Column) -> Column:
+    """Also the dotted, short and dashed forms found inside documents."""
+    return parse_date(text, DATE_FORMS + WRITTEN_FORMS)
+
+
 def parse_time_minutes(text: Column) -> Column:
     """Minutes after midnight."""
     at = _try(text, TIME_FORM)

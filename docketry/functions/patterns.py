@@ -24,6 +24,7 @@ HOME_DETECTORS = [
     for c, p in fv.DETECTOR_PATTERNS.items()
     if c not in ("DATE", "ISRAELI_ID")
 ]
+IDENTITY_CATEGORY = "ISRAELI_ID"
 DATE_DETECTOR = Detector("DATE", "(?U)" + fv.DETECTOR_PATTERNS["DATE"])
 # The same categories for text written with other number formats.
 LATIN_DETECTORS = [
@@ -53,7 +54,7 @@ def check_digit_valid(number: Column) -> Column:
 
 
 def identity_numbers(line: Column, label: str = fv.ID_LABEL_PATTERN) -> Column:
-    """``array<struct<value, valid, labelled>>``: valid numbers, or any next to a label on either side."""
+    """``array<struct<value, start, valid, labelled>>``: valid numbers, or any next to a label on either side."""
     hits = matches_with_offsets(line, fv.DETECTOR_PATTERNS["ISRAELI_ID"])
 
     def judge(x: Column) -> Column:
@@ -62,6 +63,7 @@ def identity_numbers(line: Column, label: str = fv.ID_LABEL_PATTERN) -> Column:
         after = F.substring(line, x["start"] + F.length(x["match"]) + 1, F.lit(fv.ID_LABEL_REACH))
         return F.struct(
             x["match"].alias("value"),
+            x["start"].alias("start"),
             (F.length(x["match"]).isin(8, 9) & check_digit_valid(x["match"])).alias("valid"),
             F.concat(before, F.lit(" "), after).rlike(label).alias("labelled"),
         )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
 from docketry import session
-from docketry.functions import patterns, rules, text
+from docketry.functions import dates, patterns, rules, text
 from docketry.operators import changes, holdings, ledger, matching, ordered, quality, rulebooks
 from docketry.sources import files, pages
 from docketry.streaming import approvals, drops
@@ -300,6 +300,14 @@ def test_citations_not_read_are_not_clean(spark):
     assert got == {0: (1, "no"), 1: (2, "unknown"), 2: (2, "yes"), 3: (0, "unknown")}
 
 
+def test_dates_and_times(spark):
+    df = spark.createDataFrame([("15.03.2024", "9:05"), ("5/3/2024", "23:59"), ("15/03/24", "x"), ("soon", None)], "d string, t string")
+    got = df.select(dates.parse_written_date(F.col("d")), dates.parse_date(F.col("d")), dates.parse_time_minutes(F.col("t"))).collect()
+    assert [str(r[0]) for r in got] == ["2024-03-15", "2024-03-05", "2024-03-15", "None"]
+    assert [str(r[1]) for r in got[:2]] == ["None", "2024-03-05"]
+    assert [r[2] for r in got] == [545, 1439, None, None]
+
+
 def test_instruction_labels(spark):
     df = spark.createDataFrame([("נסח מחדש והרחב",), ("תוסיף משפט",), ("הפנה לסעיף 3",), ("שלום",)], "t string")
     got = [r[0] for r in df.select(rules.classify_instruction(F.col("t"))).collect()]
