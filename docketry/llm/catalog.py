@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
-from docketry.llm import exact, mixing, rules, sharding
+import corpus_pipeline
+from docketry.llm import exact, language, mixing, packing, quality, rules, sharding, simhash, substring, warc
 from docketry.sources.tables import table
 
 
+def op1_languages(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert_shards(spark, sf_dir):
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_revisits(spark, sf_dir):
+    return warc.deduplicated_archive(table(spark, sf_dir, "pages"))
+
+
+def op5_packed_pieces(spark, sf_dir):
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_scores(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_without_repeats(spark, sf_dir):
+    return substring.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_source_mix(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -26,10 +51,39 @@ def op10_rule_verdicts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_hilbert_shards, op8_source_mix, op9_exact_duplicates, op10_rule_verdicts)
+    for f in (
+        op1_languages, op2_hilbert_shards, op3_near_duplicates, op4_warc_revisits, op5_packed_pieces, op6_quality_scores, op7_without_repeats,
+        op8_source_mix, op9_exact_duplicates, op10_rule_verdicts,
+    )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE = {
+    "op4_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), b AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, 5 * (k // 4) + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest FROM p
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to FROM g
+""",
+    "op7_without_repeats": r"""
+WITH w AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS words FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50
+), digests AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS d FROM starts),
+repeats AS (SELECT * FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY d) AS first_id FROM digests) WHERE first_id < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM repeats),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
     "op8_source_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
