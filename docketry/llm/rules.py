@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import written
-from docketry.llm.stats import COUNTS, RATIOS, ratios, text_counts
+from docketry.llm.stats import COUNTS, text_counts
 
 TREES = 100
 TREE_ROWS = 256
 FIT_ROWS = 20_000  # labelled rows the forest is drawn from, at most about
 GOOD_LOST = 0.001  # share of rows labelled good that the threshold may reject
 
+# Statistics the forest reads: a count, what it is a share of, and how many of the latter a text is given on top
+# at the sample's mean, so that short texts do not look odd by chance.
+SHARES = [
+    ("word_chars", "n_words", 100), ("n_symbols", "n_words", 100), ("n_upper", "n_chars_all", 600), ("n_marks", "n_words", 100),
+    ("n_bare", "n_words", 100),
+]
+
 # The base rules.
 LEAST_WORDS = 10
 MOST_REPEAT_PERCENT = 20
@@ -32,6 +39,19 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def sample_means(rows: np.ndarray) -> np.ndarray:
+    """Mean of every share over a sample of ``COUNTS`` rows."""
+    at = {c: k for k, c in enumerate(COUNTS)}
+    return np.array([rows[:, at[a]].sum() / max(1.0, rows[:, at[b]].sum()) for a, b, _ in SHARES])
+
+
+def shares(rows: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """``SHARES`` of ``COUNTS`` rows, drawn towards the means."""
+    at = {c: k for k, c in enumerate(COUNTS)}
+    rows = rows.astype(float)
+    return np.stack([(rows[:, at[a]] + n * m) / (rows[:, at[b]] + n) for (a, b, n), m in zip(SHARES, means, strict=True)], axis=1)
+
+
 class IsolationForest:
     """Random splits on random features; rows that few splits set apart are anomalous."""
 
@@ -111,7 +131,8 @@ def rule_verdicts(
     share = min(1.0, fit_rows / max(1, usable.count()))
     drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = np.array([tuple(r) for r in drawn.orderBy("doc_id").select(*COUNTS).collect()], float).reshape(-1, len(COUNTS))
-    forest = IsolationForest.fit(ratios(sample)) if len(sample) else None
+    means = sample_means(sample)
+    forest = IsolationForest.fit(shares(sample, means)) if len(sample) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +140,7 @@ def rule_verdicts(
                 continue
             rows = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in COUNTS], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(forest.score(ratios(rows)))], [*batch.schema.names, "anomaly"]
+                [*batch.columns, pa.array(forest.score(shares(rows, means)))], [*batch.schema.names, "anomaly"]
             )
 
     if forest is None:
@@ -137,5 +158,3 @@ def rule_verdicts(
         (~base_failed() & normal).alias("kept"),
     )
 
-
-__all__ = ["COUNTS", "RATIOS", "IsolationForest", "rule_verdicts"]

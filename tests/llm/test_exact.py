@@ -55,7 +55,7 @@ def test_groups_match_brute_force(documents):
     assert rows_of(out, "doc_id", "keep_id", "group_size", "text_sha256") == brute(ROWS)
     kept = rows_of(out.where("kept"), "text_sha256")
     assert len(kept) == len(set(kept)) == len({r[3] for r in brute(ROWS)})
-    assert {r[0] for r in rows_of(out.where("kept"), "doc_id")} >= {3, 9, 1, 4, 8, 11, 20, None}
+    assert {r[0] for r in rows_of(out.where("kept"), "doc_id")} >= {3, 7, 1, 4, 8, 11, 20, None}
 
 
 def test_rows_that_stay_keep_their_columns(documents):
