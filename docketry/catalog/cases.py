@@ -168,10 +168,19 @@ ORACLE = {
                   WHEN 'update' THEN 'UPDATE customer SET c_mktsegment=' || upper(event_type) || ' WHERE key=' || key
                   ELSE 'DELETE FROM customer WHERE key=' || key END AS plan FROM ch""",
     "u1_applied_changes": f"""
-        WITH {_CHANGES}, l AS (SELECT key, arg_max(op, seq) AS op, arg_max(event_type, seq) AS et, max(seq) AS seq FROM ch GROUP BY key)
-        SELECT coalesce(c_custkey, key) AS c_custkey, CASE WHEN op = 'insert' THEN 'New ' || seq ELSE c_name END AS c_name,
-               CASE op WHEN 'insert' THEN 'NEW' WHEN 'update' THEN upper(et) ELSE c_mktsegment END AS c_mktsegment, c_nationkey
-        FROM customer FULL JOIN l ON c_custkey = key WHERE op IS DISTINCT FROM 'delete'""",
+        WITH {_CHANGES}, keys AS (SELECT key FROM ch UNION SELECT c_custkey FROM customer),
+        k AS (SELECT key, c_custkey IS NOT NULL AS base, c_name, c_mktsegment, c_nationkey FROM keys LEFT JOIN customer ON c_custkey = key),
+        g AS (SELECT k.*, (SELECT max(seq) FROM ch WHERE ch.key = k.key AND op = 'delete') AS gone FROM k),
+        b AS (SELECT g.*, base AND gone IS NULL AS stays,
+                     (SELECT min(seq) FROM ch WHERE ch.key = g.key AND op = 'insert' AND seq > coalesce(gone, -1)) AS born FROM g),
+        -- the row is there from the start or from its insert on; only changes from then on touch it
+        e AS (SELECT b.*, CASE WHEN stays THEN -1 ELSE born END AS since FROM b WHERE stays OR born IS NOT NULL),
+        t AS (SELECT e.key, arg_max(CASE op WHEN 'insert' THEN 'New ' || seq END, seq) FILTER (op = 'insert') AS name,
+                     arg_max(CASE op WHEN 'insert' THEN 'NEW' ELSE upper(event_type) END, seq) AS segment
+              FROM e JOIN ch ON ch.key = e.key AND op <> 'delete' AND seq >= since GROUP BY e.key)
+        SELECT e.key AS c_custkey, coalesce(name, CASE WHEN stays THEN c_name END) AS c_name,
+               coalesce(segment, CASE WHEN stays THEN c_mktsegment END) AS c_mktsegment, CASE WHEN stays THEN c_nationkey END AS c_nationkey
+        FROM e LEFT JOIN t ON t.key = e.key""",
     "u2_remaining_acts": f"WITH {_GONE} SELECT act_id, kind FROM acts WHERE act_id NOT IN (SELECT act_id FROM asked)",
     "u2_delete_log": f"""
         WITH {_GONE} SELECT asked.ts AS del_date, kind AS del_type, kind || ', ' || strftime(due, '%d/%m/%Y') || ', ' || sender || ', ' AS del_notes,
@@ -183,7 +192,7 @@ ORACLE = {
         c AS (SELECT c_custkey AS case_id, CASE WHEN c_custkey % 10 = 0 THEN 77 ELSE 24 END AS kind, c_custkey % 4 = 0 AS shut FROM customer WHERE c_custkey % 17 <> 0),
         j AS (SELECT q.*, c.kind, c.shut, text IN ('click', 'view', 'error', 'closed', 'signup now') AS cat, text IN ('click', 'purchase') AS used,
                      text IN ('click', 'view', 'error', 'closed', 'signup now', 'errors', 'signup') AS alike FROM q LEFT JOIN c ON q.case_id = c.case_id)
-        SELECT request_id, action, case_id, text, CASE
+        , d AS (SELECT request_id, action, case_id, text, CASE
           WHEN action IN ('set', 'close', 'reopen') AND kind IS NULL THEN 'no such case'
           WHEN action IN ('set', 'close', 'reopen') AND kind = 77 THEN 'sub-folders have no status'
           WHEN action IN ('set', 'add', 'remove') AND text = '' THEN 'text required'
@@ -196,7 +205,17 @@ ORACLE = {
           WHEN action = 'add' AND alike THEN 'similar statuses exist'
           WHEN action = 'remove' AND NOT cat THEN 'not in the catalog'
           WHEN action = 'remove' AND text = 'closed' THEN 'system status'
-          WHEN action = 'remove' AND used THEN 'in use' END AS refused FROM j""",
+          WHEN action = 'remove' AND used THEN 'in use' END AS refused FROM j),
+        n AS (SELECT text, name, string_split(text, ' ') AS a, string_split(name, ' ') AS b
+              FROM (SELECT DISTINCT text FROM d WHERE text <> ''), (SELECT unnest(['click', 'view', 'error', 'closed', 'signup now']) AS name)),
+        s AS (SELECT text, name, CASE WHEN text = name THEN 1.0::DOUBLE ELSE round_even(least(1.0::DOUBLE, greatest(
+                len(list_filter(a, lambda w: list_contains(b, w))) / len(list_distinct(list_concat(a, b))),
+                CASE WHEN contains(text, name) OR contains(name, text) THEN least(1.0::DOUBLE, least(length(text), length(name)) / greatest(length(text), length(name)) + 0.3::DOUBLE) ELSE 0.0 END,
+                1 - levenshtein(text, name) / greatest(length(text), length(name)))), 2) END AS score FROM n),
+        g AS (SELECT text, string_agg(name, '; ' ORDER BY score DESC, name) FILTER (score >= 0.5) AS near, string_agg(name, '; ' ORDER BY score DESC, name) FILTER (score >= 0.6) AS nearer
+              FROM s GROUP BY text)
+        SELECT request_id, action, case_id, d.text, refused,
+               CASE refused WHEN 'status unknown' THEN near WHEN 'similar statuses exist' THEN nearer END AS suggestions FROM d LEFT JOIN g ON g.text = d.text""",
     "u4_stage_deletes": f"""
         WITH {inputs.FLOW}, p AS (SELECT case_id, CASE WHEN case_id % 4 = 0 THEN min(flow_id) ELSE max(flow_id) END AS cur FROM flow GROUP BY case_id),
         q AS (SELECT o_orderkey AS request_id, o_orderkey AS flow_id, f.case_id AS owner,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
 from docketry.functions.text import catalog_key, similarity
+from docketry.operators.cases import closest_names
 
 
 # --- plan and apply ---------------------------------------------------------
@@ -31,26 +32,38 @@ def change_plan(changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The next version of ``base`` after ``changes(op, key, set, seq)``.
-
-    Of several changes to one key the last one decides, found by a partial
-    aggregate. Updates change only the named columns; a change to an absent key
-    inserts, a delete removes. The caller writes the result as a new version.
+    """The next version of ``base`` after ``changes(op, key, set, seq)``, applied in the order of ``seq``.
+
+    A delete removes the row. An update changes only the named columns of a row
+    that is there, and does nothing for an absent key. An insert brings an
+    absent key back with the named columns alone; for a key that is there it
+    changes the named columns. Per key that is the last delete, the first
+    insert after it, and per column the last value after it, all of them
+    partial aggregates. The caller writes the result as a new version.
     """
-    last = changes.groupBy("key").agg(F.max(F.struct("seq", "op", F.map_entries("set").alias("set"))).alias("c"))
-    last = last.select(F.col("key").alias("__key"), F.col("c.op").alias("__op"), F.map_from_entries("c.set").alias("__set"))
-    keyed = base.withColumn("__key", F.col(key).cast("string"))
-    joined = keyed.join(last, "__key", "full").filter("__op is null or __op <> 'delete'")
+    values = [f for f in base.schema.fields if f.name != key]
+    keyed_changes = changes.filter("key is not null")
+    gone = keyed_changes.filter("op = 'delete'").groupBy("key").agg(F.max("seq").alias("__gone"))
+    after = keyed_changes.filter("op <> 'delete'").join(gone, "key", "left").filter("__gone is null or seq > __gone")
+    last = [
+        F.max(F.when(F.map_contains_key("set", f.name), F.struct("seq", F.col("set")[f.name].alias("value")))).alias(f"__{f.name}")
+        for f in values
+    ]
+    made = after.groupBy("key").agg(F.min(F.when(F.col("op") == "insert", F.col("seq"))).alias("__born"), *last)
+    touched = gone.join(made, "key", "full").withColumnRenamed("key", "__key")
+    keyed = base.withColumn("__key", F.col(key).cast("string")).withColumn("__there", F.lit(True))
+    joined = keyed.join(touched, "__key", "full")
+    stays = F.col("__there").isNotNull() & F.col("__gone").isNull()
     columns = []
     for field in base.schema.fields:
         if field.name == key:
             value = F.coalesce(F.col(key), F.col("__key").try_cast(field.dataType))
         else:
-            new = F.col("__set")[field.name].try_cast(field.dataType)
-            named = F.coalesce(F.map_contains_key("__set", field.name), F.lit(False))
-            value = F.when(named, new).otherwise(F.col(field.name))
+            new = F.col(f"__{field.name}")
+            written = new.isNotNull() & (stays | (new["seq"] >= F.col("__born")))
+            value = F.when(written, new["value"].try_cast(field.dataType)).when(stays, F.col(field.name))
         columns.append(value.alias(field.name))
-    return joined.select(*columns)
+    return joined.filter(stays | F.col("__born").isNotNull()).select(*columns)
 
 
 def delete_acts(acts: DataFrame, requests: DataFrame, calendar_kinds: list[str], user: str) -> dict[str, DataFrame]:
@@ -76,10 +89,13 @@ def delete_acts(acts: DataFrame, requests: DataFrame, calendar_kinds: list[str],
 # --- validated requests -----------------------------------------------------
 
 def judge_status_requests(
-    requests: DataFrame, cases: DataFrame, catalog: list[str], uses: DataFrame, closed: str
+    requests: DataFrame, cases: DataFrame, catalog: list[str], uses: DataFrame, closed: str = fv.CLOSED_STATUS
 ) -> DataFrame:
     """Each status request with the reason it is refused; null means accepted.
 
+    A request refused for an unknown or a too similar text comes with up to
+    five catalog names like it, scored once per distinct text.
+
     ``requests(request_id, action, case_id, text)`` with actions ``set``,
     ``close``, ``reopen``, ``add`` and ``remove``; ``cases(case_id, kind,
     close_date)``; ``uses(status, n)``. The catalog is a short fixed list.
@@ -112,7 +128,13 @@ def judge_status_requests(
         .when((F.col("action") == "remove") & (text == closed), "system status")
         .when((F.col("action") == "remove") & F.col("n").isNotNull(), "in use")
     )
-    return joined.select("request_id", "action", "case_id", text.alias("text"), reason.alias("refused"))
+    judged = joined.select("request_id", "action", "case_id", text.alias("text"), reason.alias("refused"))
+    unclear = F.col("refused").isin("status unknown", "similar statuses exist")
+    names_of = lambda least: F.array_join(F.transform(closest_names(F.col("text"), catalog, least), lambda s: s["name"]), "; ")
+    listed = judged.filter(unclear).select("text", "refused").distinct().withColumn(
+        "suggestions", F.nullif(F.when(F.col("refused") == "status unknown", names_of(fv.SIMILAR_MIN)).otherwise(names_of(fv.SIMILAR_GUARD)), F.lit(""))
+    )
+    return judged.join(listed, ["text", "refused"], "left").select("request_id", "action", "case_id", "text", "refused", "suggestions")
 
 
 def judge_flow_deletes(requests: DataFrame, flow: DataFrame, cases: DataFrame, acts: DataFrame) -> DataFrame:
@@ -222,8 +244,17 @@ def merge_registry(registry: DataFrame, updates: DataFrame, uses: DataFrame, key
 
 
 def append_absent(target: DataFrame, additions: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``additions`` that ``target`` lacks, once each, added to it."""
-    fresh = additions.dropDuplicates(keys).join(target, keys, "left_anti")
+    """Rows of ``additions`` that ``target`` lacks, once each, added to it.
+
+    Of several additions with equal keys the one with the smallest other values
+    is taken, column by column from the left.
+    """
+    rest = [c for c in additions.columns if c not in keys]
+    if rest:
+        once = additions.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first")).select(*keys, *[F.col("__first")[c].alias(c) for c in rest])
+    else:
+        once = additions.distinct()
+    fresh = once.select(*additions.columns).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
@@ -80,31 +80,23 @@ def compare_raters(answers: DataFrame, ours: str, theirs: str) -> DataFrame:
 
 # --- fee caps ---------------------------------------------------------------
 
-def rate_table(spark: SparkSession) -> DataFrame:
-    """The fixed percent tables as rows: ``rate_table, service, basis, percent``."""
-    rows = [
-        (name, service, "pension", percents[i])
-        for service, percents in fv.PENSION_PERCENT.items()
-        for i, name in enumerate("abc")
-    ]
-    rows += [
-        (name, service, "grant", percents[i])
-        for service, percents in fv.GRANT_PERCENT.items()
-        for i, name in enumerate(("with_fee", "without_fee"))
-    ]
-    return spark.createDataFrame(rows, "rate_table string, service string, basis string, percent string").withColumn(
-        "percent", F.col("percent").cast("decimal(5,2)")
-    )
+def _rates(service: Column, percents: dict[str, str], kind: str = "decimal(5,2)") -> Column:
+    """A fixed table as a literal map, so no join deals the claims out by a handful of services."""
+    entries = [x for k, v in percents.items() for x in (F.lit(k), F.lit(v).cast(kind))]
+    return F.try_element_at(F.create_map(*entries), service)
 
 
-def fee_caps(claims: DataFrame, rates: DataFrame, with_fee: str = "a", without_fee: str = "c") -> DataFrame:
-    """Fee caps of every event under both models, in decimals.
+def fee_caps(claims: DataFrame, with_fee: str = "a", without_fee: str = "c") -> DataFrame:
+    """Fee caps of every event under both models, in decimals, one row per event.
 
     ``claims(event_id, service, monthly, eligible_months, months_to_pension,
     grant)``; months are null when there is no limit. Claims of one event count
-    as one: their bases are summed first and the opening fee is taken once.
-    ``with_fee`` and ``without_fee`` name the percent table of each model. A
-    service outside the tables gives null caps and a flag.
+    as one: their bases are summed first and there is one cap and one opening
+    fee. ``with_fee`` and ``without_fee`` name the percent table of each model.
+    A service of a fixed amount has that cap under either model. A service
+    outside the tables gives null caps and ``uncovered``; an event whose claims
+    name different services has no single row of the tables, so its service and
+    caps are null and ``mixed`` is set.
     """
     money = "decimal(18,2)"
     months = F.least(
@@ -114,22 +106,24 @@ def fee_caps(claims: DataFrame, rates: DataFrame, with_fee: str = "a", without_f
     )
     # The average monthly amount times sixty is the amount times its months.
     base = F.col("monthly").cast(money) * months
-    summed = claims.groupBy("event_id", "service").agg(
+    named = F.coalesce("service", F.lit(""))
+    summed = claims.groupBy("event_id").agg(
+        F.min(named).alias("first"), F.max(named).alias("last"),
         F.sum(base).cast(money).alias("pension_base"),
         F.sum(F.col("grant").cast(money)).cast(money).alias("grant_sum"),
     )
-    pension = rates.filter(F.col("basis") == "pension")
-    grant = rates.filter(F.col("basis") == "grant")
-
-    def percent(source: DataFrame, name: str, out: str) -> DataFrame:
-        return source.filter(F.col("rate_table") == name).select("service", F.col("percent").alias(out))
-
-    joined = summed
-    for source, name, out in [
-        (pension, with_fee, "p_with"), (pension, without_fee, "p_without"),
-        (grant, "with_fee", "g_with"), (grant, "without_fee", "g_without"),
-    ]:
-        joined = joined.join(percent(source, name, out), "service", "left")
+    mixed = F.col("first") != F.col("last")
+    tables = "abc"
+    joined = summed.withColumn("mixed", mixed).withColumn("service", F.when(~mixed, F.col("first")))
+    joined = joined.withColumns(
+        {
+            "p_with": _rates(F.col("service"), {k: v[tables.index(with_fee)] for k, v in fv.PENSION_PERCENT.items()}),
+            "p_without": _rates(F.col("service"), {k: v[tables.index(without_fee)] for k, v in fv.PENSION_PERCENT.items()}),
+            "g_with": _rates(F.col("service"), {k: v[0] for k, v in fv.GRANT_PERCENT.items()}),
+            "g_without": _rates(F.col("service"), {k: v[1] for k, v in fv.GRANT_PERCENT.items()}),
+            "fixed": _rates(F.col("service"), fv.FIXED_FEES, money),
+        }
+    )
     opening = F.lit(fv.OPENING_FEE).cast(money)
     average = F.col("pension_base") / fv.FEE_MONTHS
     extra = F.when(average < F.lit(fv.LOW_BASE).cast(money), opening).otherwise(F.lit(0).cast(money))
@@ -139,13 +133,14 @@ def fee_caps(claims: DataFrame, rates: DataFrame, with_fee: str = "a", without_f
     def share(basis: str, rate: str) -> Column:
         return F.bround(F.col(basis) * F.col(rate) / 100, 2).cast(money)
 
+    of_fixed = F.col("fixed").isNotNull()
     return joined.select(
         "event_id", "service", "pension_base", "grant_sum",
         F.when(of_pension, (opening + extra + share("pension_base", "p_with")).cast(money))
-        .when(of_grant, (opening + share("grant_sum", "g_with")).cast(money)).alias("cap_with_fee"),
+        .when(of_grant, (opening + share("grant_sum", "g_with")).cast(money)).when(of_fixed, F.col("fixed")).alias("cap_with_fee"),
         F.when(of_pension, share("pension_base", "p_without"))
-        .when(of_grant, share("grant_sum", "g_without")).alias("cap_without_fee"),
-        (~of_pension & ~of_grant).alias("uncovered"),
+        .when(of_grant, share("grant_sum", "g_without")).when(of_fixed, F.col("fixed")).alias("cap_without_fee"),
+        (~F.col("mixed") & ~of_pension & ~of_grant & ~of_fixed).alias("uncovered"), "mixed",
     )
 
 
@@ -184,7 +179,8 @@ def compare_with_order(bills: DataFrame, order: DataFrame) -> DataFrame:
 
     A missing order gives a null and ``order missing``, or ``only other years``
     when the municipality has an order of another year for the component; such
-    a value is never used.
+    a value is never used. ``claim`` says the same of the claimed value, ``not
+    claimed`` where there is none.
     """
     keys = ["municipality", "year", "component"]
     other = order.select("municipality", "component").distinct().withColumn("other", F.lit(True))
@@ -197,4 +193,6 @@ def compare_with_order(bills: DataFrame, order: DataFrame) -> DataFrame:
     return joined.select(
         *keys, "applied", "claimed", "ordered", flag.alias("finding"),
         (F.col("applied") - F.col("ordered")).alias("gap"),
+        F.when(F.col("claimed").isNull(), "not claimed").when(F.col("ordered").isNull(), "not checkable")
+        .when(F.col("claimed") == F.col("ordered"), "as ordered").otherwise("differs").alias("claim"),
     )

@@ -276,14 +276,23 @@ def test_fee_caps(spark):
         (2, "claim_only", "1000.00", 30, 12, None),
         (3, "claim_work_injury_9_19", "0.00", None, None, "10000.00"),
         (4, "mystery", "5.00", None, None, None),
+        (5, "severe_disability", "100.00", None, None, None),
+        (6, "mobility_loan", "100.00", None, None, None),
+        (7, "claim_only", "2000.00", None, None, None),
+        (7, "claim_only", "1000.00", None, None, None),
+        (8, "claim_only", "3000.00", None, None, None),
+        (8, "mobility_loan", "3000.00", None, None, None),
     ]
     claims = spark.createDataFrame(rows, "event_id int, service string, monthly string, eligible_months int, months_to_pension int, grant string")
-    got = {r["event_id"]: r for r in rulebooks.fee_caps(claims, rulebooks.rate_table(spark)).collect()}
+    got = {r["event_id"]: r for r in rulebooks.fee_caps(claims).collect()}
     money = lambda r: (str(r["cap_with_fee"]), str(r["cap_without_fee"]))
     assert money(got[1]) == ("19411.00", "22050.00")
     assert money(got[2]) == ("3152.00", "1470.00")
     assert money(got[3]) == ("2261.00", "1400.00")
     assert got[4]["cap_with_fee"] is None and got[4]["uncovered"]
+    assert money(got[5]) == ("1922.00", "1922.00") and money(got[6]) == ("961.00", "961.00")
+    assert money(got[7]) == money(got[1])  # two claims of one event: one base, one opening fee
+    assert got[8]["mixed"] and got[8]["cap_with_fee"] is None and got[8]["service"] is None and not got[8]["uncovered"]
 
 
 def test_rubric_reports_missing_items(spark):
@@ -320,3 +329,27 @@ def test_plan_and_application_share_changes(spark):
     ch = spark.createDataFrame(rows, "op string, table_name string, key string, set map<string,string>, seq long")
     assert [r["plan"] for r in changes.change_plan(ch).collect()] == ["UPDATE t SET tag=z WHERE key=1", "DELETE FROM t WHERE key=2", "INSERT t : name=n"]
     assert sorted(map(tuple, changes.apply_changes(base, ch, "id").collect()), key=str) == [(1, "a", "z"), (9, "n", None)]
+
+
+@pytest.mark.parametrize(
+    "steps,rows",
+    [
+        ([("update", "1", {"a": "x"}), ("update", "1", {"b": "y"})], [(1, "x", "y"), (2, "p", "q")]),
+        ([("insert", "9", {"a": "x", "b": "z"}), ("update", "9", {"b": "y"})], [(1, "m", "n"), (2, "p", "q"), (9, "x", "y")]),
+        ([("update", "9", {"a": "x"})], [(1, "m", "n"), (2, "p", "q")]),
+        ([("update", "9", {"a": "x"}), ("insert", "9", {"b": "z"})], [(1, "m", "n"), (2, "p", "q"), (9, None, "z")]),
+        ([("delete", "1", {}), ("update", "1", {"a": "x"})], [(2, "p", "q")]),
+        ([("delete", "1", {}), ("insert", "1", {"a": "x"}), ("update", "2", {"a": None})], [(1, "x", None), (2, None, "q")]),
+        ([("insert", "9", {"a": "x"}), ("delete", "9", {}), ("update", "1", {"a": "x"}), ("delete", "2", {})], [(1, "x", "n")]),
+    ],
+)
+def test_changes_are_applied_in_turn(spark, steps, rows):
+    base = spark.createDataFrame([(1, "m", "n"), (2, "p", "q")], "id int, a string, b string")
+    ch = spark.createDataFrame([(op, k, v, i) for i, (op, k, v) in enumerate(steps)], "op string, key string, set map<string,string>, seq int")
+    assert sorted(map(tuple, changes.apply_changes(base, ch, "id").collect())) == rows
+
+
+def test_append_absent_takes_the_smallest(spark):
+    have = spark.createDataFrame([(1, "x")], "k int, v string")
+    more = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b"), (3, None)], "k int, v string")
+    assert sorted(map(tuple, changes.append_absent(have, more, ["k"]).collect()), key=str) == [(1, "x"), (2, "b"), (3, None)]
