@@ -70,15 +70,13 @@ def best_partner(
     marked = left.join(shuffled(same), [*keys, "text"], "left")
     rest = marked.filter(F.col("same").isNull()).select(*keys, "row", "text")
     scored = similar_pairs(rest, targets, keys, threshold, metric)
-    best = scored.groupBy(*keys, "row").agg(
-        F.max(F.struct(F.col("score"), (-F.col("other")).alias("neg"))).alias("m")
-    )
+    best = scored.groupBy(*keys, "row").agg(F.min(F.struct((-F.col("score")).alias("neg"), "other")).alias("m"))
     return marked.join(shuffled(best), [*keys, "row"], "left").select(
         *keys,
         "row",
         "text",
-        F.coalesce("same", -F.col("m.neg")).alias("other"),
-        F.when(F.col("same").isNotNull(), F.lit(1.0)).otherwise(F.col("m.score")).alias("score"),
+        F.coalesce("same", F.col("m.other")).alias("other"),
+        F.when(F.col("same").isNotNull(), F.lit(1.0)).otherwise(-F.col("m.neg")).alias("score"),
     )
 
 
@@ -147,6 +145,16 @@ def uncovered_citations(drafts: DataFrame, key: str, text: str, pattern: str, ho
 
 # --- quotes -----------------------------------------------------------------
 
+def quotes_kept(old: DataFrame, new: DataFrame, keys: list[str], threshold: float, metric: str = "blocks") -> DataFrame:
+    """Each quote of the old side as ``same``, ``near`` or ``lost`` among the new side's quotes of its group.
+
+    ``(keys, row, text)`` on both sides, texts in comparison form.
+    """
+    matched = best_partner(old, new, keys, threshold, metric)
+    state = F.when(F.col("score").isNull(), "lost").when(F.col("score") < 1.0, "near").otherwise("same")
+    return matched.select(*keys, "row", "text", "score", state.alias("state"))
+
+
 def quotes_in_source(quotes: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Whether each quote stands word for word in its own source.
 

@@ -4,33 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docketry import fixed_values as fv
 from docketry.functions.patterns import legal_references
-from docketry.functions.text import comparison_key, leading_addition, quotes, word_count
+from docketry.functions.text import comparison_key, leading_addition, nfkc, quotes, word_count
 from docketry.operators.matching import best_partner, without_partner
 from docketry.operators.quality import operative_tail
 from docketry.session import cut_lineage
 from docketry.operators.joining import shuffled
 
 PAIR = ["pair_id"]
-FINDING = ["pair_id", "check", "severity", "subject", "detail"]
+FINDING = ["pair_id", "check", "severity", "at", "subject", "detail"]
 
 
 def _finding(df: DataFrame, check: str, severity: Column | str, subject: Column, detail: Column | str) -> DataFrame:
+    """Findings with the place of the paragraph (``pos``, or ``pos.i`` for a part of it) and its whole text."""
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    at = F.lit(None).cast("string")
+    if "row" in df.columns:
+        nested = isinstance(df.schema["row"].dataType, StructType)
+        at = F.concat_ws(".", "row.pos", "row.i") if nested else F.col("row").cast("string")
     return df.select(
-        "pair_id", F.lit(check).alias("check"), as_column(severity).alias("severity"),
-        F.substring(subject, 1, 80).alias("subject"), as_column(detail).alias("detail"),
+        "pair_id", F.lit(check).alias("check"), as_column(severity).alias("severity"), at.alias("at"),
+        subject.alias("subject"), as_column(detail).alias("detail"),
     ).filter(F.col("severity").isNotNull())
 
 
-def keyed_paragraphs(paragraphs: DataFrame, side: str, compatibility: bool) -> DataFrame:
+def keyed_paragraphs(paragraphs: DataFrame, side: str) -> DataFrame:
     """Non-empty paragraphs of one version as ``(pair_id, row, text)`` in comparison form."""
     own = paragraphs.filter(F.col("side") == side)
-    return own.select(
-        "pair_id", F.col("pos").alias("row"), comparison_key(F.col("text"), compatibility).alias("text")
-    ).filter(F.length("text") > 0)
+    return own.select("pair_id", F.col("pos").alias("row"), comparison_key(F.col("text")).alias("text")).filter(F.length("text") > 0)
 
 
 def alignment(old: DataFrame, new: DataFrame, metric: str) -> DataFrame:
@@ -62,7 +66,7 @@ def paragraph_findings(aligned: DataFrame, old: DataFrame, new: DataFrame, metri
 def quote_findings(paragraphs: DataFrame, metric: str) -> DataFrame:
     """Every original quote must stand among the new version's quotes."""
     every = paragraphs.select("pair_id", "side", "pos", F.posexplode(quotes(F.col("text"))).alias("i", "text"))
-    numbered = every.withColumn("row", F.col("pos").cast("long") * 100000 + F.col("i")).select("pair_id", "side", "row", "text")
+    numbered = every.withColumn("row", F.struct("pos", "i")).select("pair_id", "side", "row", "text")
     old = numbered.filter(F.col("side") == "original").drop("side")
     new = numbered.filter(F.col("side") == "reordered").drop("side")
     matched = best_partner(old, new, PAIR, fv.PARAGRAPH_MATCH_THRESHOLD, metric)
@@ -81,17 +85,18 @@ def reference_findings(paragraphs: DataFrame, patterns: list[str]) -> DataFrame:
 
 
 def outcome_findings(paragraphs: DataFrame, markers: list[str]) -> DataFrame:
-    """The operative tails must be the same, paragraph by paragraph."""
-    keyed = paragraphs.withColumn("text", comparison_key(F.col("text")))
-    tail = operative_tail(keyed, ["pair_id", "side"], markers).select(
-        "pair_id", "side", (F.col("pos") - F.col("first_pos")).alias("at"), F.xxhash64("text", F.length("text")).alias("print")
-    )
-    # Fingerprints travel to the comparison, not the texts.
-    per_place = tail.groupBy("pair_id", "at").agg(
-        F.max(F.when(F.col("side") == "original", F.col("print"))).alias("old"),
-        F.max(F.when(F.col("side") == "reordered", F.col("print"))).alias("new"),
-    )
-    differs = per_place.groupBy("pair_id").agg(F.bool_or(~F.col("old").eqNullSafe(F.col("new"))).alias("differs"))
+    """The operative tails must say the same, however they are cut into paragraphs.
+
+    Blank paragraphs do not count; a tail is one version's own paragraphs, joined in order.
+    """
+    keyed = paragraphs.withColumn("text", comparison_key(F.col("text"))).filter(F.length("text") > 0)
+    tail = operative_tail(keyed, ["pair_id", "side"], markers)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    joined_text = F.array_join(F.transform(ordered, lambda x: x["text"]), " ")
+    prints = tail.groupBy("pair_id", "side").agg(F.sha2(joined_text, 256).alias("print"))
+    differs = prints.groupBy("pair_id").agg(
+        (F.count(F.lit(1)) < 2).alias("lost"), F.count_distinct("print").alias("n")
+    ).select("pair_id", (F.col("lost") | (F.col("n") > 1)).alias("differs"))
     joined = paragraphs.select("pair_id").distinct().join(differs, "pair_id", "left")
     severity = F.when(F.col("differs").isNull(), "ORANGE").when(F.col("differs"), "DOUBLE_RED")
     detail = F.when(F.col("differs").isNull(), "no operative part found").otherwise("operative part changed")
@@ -126,10 +131,13 @@ def preservation_findings(
     """All findings of ``paragraphs(pair_id, side, pos, text)``.
 
     ``metric`` is ``blocks`` (matching blocks, an Arrow UDF on the few pairs
-    that pass the bounds) or ``edit`` (edit distance, no Python).
+    that pass the bounds) or ``edit`` (edit distance, no Python). With
+    ``compatibility`` every check reads the texts in their compatibility form.
     """
-    old = keyed_paragraphs(paragraphs, "original", compatibility)
-    new = keyed_paragraphs(paragraphs, "reordered", compatibility)
+    if compatibility:
+        paragraphs = paragraphs.withColumn("text", nfkc(F.col("text")))
+    old = keyed_paragraphs(paragraphs, "original")
+    new = keyed_paragraphs(paragraphs, "reordered")
     # Written once, since three checks read it.
     aligned = cut_lineage(alignment(old, new, metric))
     parts = [
