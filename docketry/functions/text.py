@@ -111,7 +111,7 @@ def catalog_key(text: Column) -> Column:
 
 def stem(word: Column) -> Column:
     prefixed = word.rlike(f"^[{fv.STEM_PREFIX_LETTERS}]") & (F.length(word) > 3)
-    return F.when(prefixed, F.substring(word, 2, 1 << 20)).otherwise(word)
+    return F.when(prefixed, F.substring(word, F.lit(2), F.length(word))).otherwise(word)
 
 
 def similarity(left: Column, right: Column) -> Column:
@@ -185,7 +185,7 @@ def leading_addition(original: Column, changed: Column) -> Column:
 
 # --- characters -------------------------------------------------------------
 
-def forbidden_characters(line: Column, names: dict[str, str]) -> Column:
+def forbidden_characters(line: Column, names: dict[str, str] = fv.FORBIDDEN_CHARACTERS) -> Column:
     """``array<struct<col, char, name, context>>`` for one line, columns from 1."""
     chosen = "".join(names)
     lookup = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
@@ -252,34 +252,50 @@ def _expand_once(text: Column) -> Column:
     return F.translate(t, _OPEN + _CLOSE, "")
 
 
-def expand_templates(text: Column, depth: int = 6) -> Column:
-    """Innermost-first rounds; a text with no template left passes through unchanged."""
-    current = text
-    for _ in range(depth):
-        current = let(
-            current,
-            lambda t: F.when(F.contains(t, F.lit("{{")) | F.contains(t, F.lit("[[")), _expand_once(t)).otherwise(t),
-        )
-    return current
+def unresolved_markup(text: Column) -> Column:
+    """Whether a template or link is still there, as when its braces do not balance."""
+    return F.contains(text, F.lit("{{")) | F.contains(text, F.lit("[["))
+
+
+def nesting(text: Column) -> Column:
+    """Depth of the deepest template or link."""
+    marks = F.regexp_extract_all(text, F.lit(r"\{\{|\[\[|\}\}|\]\]"), F.lit(0))
+    folded = F.aggregate(
+        marks,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, m: let(
+            F.greatest(F.lit(0), acc["now"] + F.when(m.isin("{{", "[["), 1).otherwise(-1)),
+            lambda now: F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most")),
+        ),
+        lambda acc: acc["most"],
+    )
+    return F.when(unresolved_markup(text), folded).otherwise(F.lit(0))
+
+
+def expand_templates(text: Column) -> Column:
+    """Innermost-first rounds, as many as the text is deep; one without a template passes through unchanged."""
+
+    def rounds(deep: Column) -> Column:
+        steps = F.when(deep > 0, F.sequence(F.lit(0), deep)).otherwise(F.lit([]).cast("array<int>"))
+        return F.aggregate(steps, text, lambda t, _: F.when(unresolved_markup(t), _expand_once(t)).otherwise(t))
+
+    return let(nesting(text), rounds)
 
 
 def strip_markup(text: Column) -> Column:
     """Bold marks and tags go, trailing blanks and runs of empty lines shrink."""
-    t = F.regexp_replace(text, "(?s)'''(.+?)'''", "$1")
-    t = F.regexp_replace(t, "(?s)''(.+?)''", "$1")
-    t = F.regexp_replace(t, r"<[^>\n]{0,80}>", "")
-    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    for pattern, kept in fv.MARKUP_CLEANING:
+        text = F.regexp_replace(text, pattern, kept)
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def markup_to_text(text: Column, depth: int = 6) -> Column:
-    return strip_markup(expand_templates(text, depth))
+def markup_to_text(text: Column) -> Column:
+    return strip_markup(expand_templates(text))
 
 
 # --- planted text -----------------------------------------------------------
 
-def remove_planted(text: Column, planted: list[str]) -> tuple[Column, Column, Column]:
+def remove_planted(text: Column, planted: list[str] = fv.PLANTED_TEXT) -> tuple[Column, Column, Column]:
     """Cleaned text, number of planted strings removed, number of footnote digits removed."""
     alternation = "|".join(rf"\Q{p}\E" for p in sorted(planted, key=len, reverse=True))
     glued = r"(?<=\p{L})\d{1,2}(?=$|[\s.,;:])"

@@ -9,24 +9,22 @@ from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
 from docketry.functions.arrays import let, lines_of, stretch
-from docketry.functions.text import markup_to_text, section_number
+from docketry.functions.text import expand_templates, section_number, strip_markup
 
 BLOCK = "struct<kind:string,level:int,num:string,title:string,amend:string>"
-TOP_LEVEL_PIPE = r"\|(?=(?:[^{}\[\]]|\{\{[^{}]*\}\}|\[\[[^\[\]]*\]\])*$)"
 
 
 def statute_line(line: Column) -> Column:
     """Block opened by a line of statute markup, or null.
 
     Arguments are the parts of the opening template between top-level bars,
-    without the named ones.
+    without the named ones. Templates and links inside it are rendered first,
+    however deep; what then stands before the first closing braces is its own.
     """
     name = F.regexp_extract(line, fv.MARKUP_BLOCK_START, 1)
-    # The opening template may hold templates of its own, two levels deep.
-    inner = r"(?:[^{}]|\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})*"
-    body = F.regexp_extract(line, r"^\{\{(" + inner + r")\}\}", 1)
-    flat = F.regexp_replace(body, r"\{\{([^{}|]*)\|([^{}|]*)\}\}", "$2")
-    parts = F.slice(F.split(flat, TOP_LEVEL_PIPE, -1), 2, 1 << 20)
+    inside = expand_templates(F.when(F.length(name) > 0, F.substring(line, F.lit(3), F.length(line))))
+    flat = F.regexp_extract(inside, r"^([^{}]*)\}\}", 1)
+    parts = F.filter(F.split(flat, r"\|", -1), lambda p, i: i > 0)
     positional = F.filter(parts, lambda p: ~p.rlike(rf"(?U)^{fv.MARKUP_NAMED_ARGUMENT}"))
 
     def arg(p: Column, i: int) -> Column:
@@ -38,18 +36,46 @@ def statute_line(line: Column) -> Column:
             F.when(heading, "heading").otherwise("section").alias("kind"),
             F.when(heading, F.substring(name, -1, 1).try_cast("int")).alias("level"),
             F.trim(arg(p, 0)).alias("num"),
-            markup_to_text(arg(p, 1), 2).alias("title"),
-            F.when(~heading, markup_to_text(arg(p, 2), 2)).alias("amend"),
+            strip_markup(arg(p, 1)).alias("title"),
+            F.when(~heading, strip_markup(arg(p, 2))).alias("amend"),
         )
 
     return F.when(F.length(name) > 0, let(positional, build))
 
 
-def blocks(pages: DataFrame, key: str, text: str, opening: Callable[[Column], Column] = statute_line) -> DataFrame:
+def _context(starts: Column, at: Column, levels: tuple[int, ...]) -> Column:
+    """Titles of the headings above the block number ``at`` (from 0), outermost first.
+
+    A heading clears the deeper ones before it: the last titled heading of a
+    level counts while no shallower one is newer.
+    """
+    numbered = F.transform(starts, lambda x, k: F.struct(k.alias("k"), x["b"]["kind"].alias("kind"), x["b"]["level"].alias("level"), x["b"]["title"].alias("title")))
+    above = F.filter(numbered, lambda h: (h["k"] < at) & (h["kind"] == "heading") & (F.length(h["title"]) > 0))
+
+    def at_level(level: int) -> Callable[[Column], Column]:
+        return lambda h: h["level"] == level
+
+    def chain(headings: Column) -> Column:
+        newest, titles = F.lit(-1), []
+        for level in levels:
+            last = F.try_element_at(F.filter(headings, at_level(level)), F.lit(-1))
+            k = F.coalesce(last["k"], F.lit(-1))
+            titles.append(F.when(k > newest, last["title"]))
+            newest = F.greatest(newest, k)
+        return F.array_compact(F.array(*titles))
+
+    return let(above, chain)
+
+
+def blocks(
+    pages: DataFrame, key: str, text: str, opening: Callable[[Column], Column] = statute_line, levels: tuple[int, ...] = (), keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Blocks of every page: from each opening line to the next, text before the first left out.
 
     Everything happens inside the page's row: opening lines are found once,
-    each block takes its slice of the line array.
+    each block takes its slice of the line array. With ``levels`` sections also
+    get the titles of the headings above them; ``keep`` names columns of the
+    page that go along.
     """
 
     def cut(lines: Column) -> Column:
@@ -63,6 +89,7 @@ def blocks(pages: DataFrame, key: str, text: str, opening: Callable[[Column], Co
                     (k + 1).alias("pos"),
                     x["b"]["kind"].alias("kind"), x["b"]["level"].alias("level"), x["b"]["num"].alias("num"),
                     x["b"]["title"].alias("title"), x["b"]["amend"].alias("amend"),
+                    *([F.when(x["b"]["kind"] == "section", _context(s, k, levels)).alias("context")] if levels else []),
                     F.array_join(
                         stretch(lines, x["at"], F.coalesce(F.get(s, k + 1)["at"], F.size(lines)) - x["at"]), "\n"
                     ).alias("body"),
@@ -70,33 +97,16 @@ def blocks(pages: DataFrame, key: str, text: str, opening: Callable[[Column], Co
             ),
         )
 
-    cut_pages = pages.select(key, F.explode(let(lines_of(F.col(text)), cut)).alias("b"))
-    return cut_pages.select(key, "b.*")
-
+    cut_pages = pages.select(key, *keep, F.explode(let(lines_of(F.col(text)), cut)).alias("b"))
+    return cut_pages.select(key, *keep, "b.*")
 
-def with_context(block_rows: DataFrame, key: str, levels: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
-    """Sections with the titles of the headings above them, outermost first.
 
-    A heading clears the deeper ones before it. Per level the last titled
-    heading is carried along the page; it counts while no shallower one is
-    newer. A page is one input row, which bounds the window.
-    """
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    titled = (F.col("kind") == "heading") & (F.length("title") > 0)
-    out = block_rows
-    for level in levels:
-        mark = F.when(titled & (F.col("level") == level), F.struct("pos", "title"))
-        out = out.withColumn(f"__h{level}", F.last(mark, ignorenulls=True).over(w))
-    newest = F.lit(0)
-    chain = []
-    for level in levels:
-        at = F.coalesce(F.col(f"__h{level}.pos"), F.lit(0))
-        chain.append(F.when(at > newest, F.col(f"__h{level}.title")))
-        newest = F.greatest(newest, at)
-    context = F.array_compact(F.array(*chain))
-    return (
-        out.withColumn("context", context).filter(F.col("kind") == "section").drop(*[f"__h{x}" for x in levels])
-    )
+def sections_in_context(
+    pages: DataFrame, key: str, text: str, opening: Callable[[Column], Column] = statute_line, levels: tuple[int, ...] = (2, 3, 4, 5),
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Sections with the titles of the headings above them, outermost first; one scan, nothing is shuffled."""
+    return blocks(pages, key, text, opening, levels, keep).filter(F.col("kind") == "section")
 
 
 def near_sections(sections: DataFrame, key: str, wanted: str, limit: int = fv.NEAR_SECTION_LIMIT) -> DataFrame:

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import markup_to_text, section_number
-from docketry.operators.structure import blocks, source_line, statute_line, with_context
-from docketry.operators.joining import shuffled
+from docketry.functions.text import markup_to_text, section_number, unresolved_markup
+from docketry.operators.structure import blocks, sections_in_context, source_line, statute_line
 
 
-def sections(pages: DataFrame, opening=statute_line, depth: int = 6) -> DataFrame:
+def sections(pages: DataFrame, opening=statute_line) -> DataFrame:
     """Sections with number, title, heading context, readable text and source line.
 
-    ``pages(title, wikitext, revid, timestamp, url)``.
+    ``pages(title, wikitext, revid, timestamp, url)``. ``unresolved`` marks a
+    text in which markup remains, as when braces do not balance.
     """
     keyed = pages.withColumnRenamed("title", "page_title")
-    found = with_context(blocks(keyed, "page_title", "wikitext", opening), "page_title")
-    described = found.join(shuffled(keyed.select("page_title", "revid", "timestamp", "url")), "page_title")
+    found = sections_in_context(keyed, "page_title", "wikitext", opening, keep=("revid", "timestamp", "url"))
+    described = found.withColumn("readable", markup_to_text(F.col("body")))
     anchor = F.concat(F.lit("סעיף "), F.col("num"))
     return described.select(
         "page_title", "pos", section_number(F.col("num")).alias("num"), F.col("title").alias("heading"), "amend", "context",
-        markup_to_text(F.col("body"), depth).alias("body_text"),
+        F.col("readable").alias("body_text"), unresolved_markup(F.col("readable")).alias("unresolved"),
         source_line(F.col("url"), anchor, F.col("timestamp"), F.col("revid")).alias("source"),
     )
 

@@ -5,22 +5,23 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.functions.text import markup_to_text, section_number
+from docketry.functions.text import markup_to_text, section_number, unresolved_markup
 from docketry.operators.structure import latest_revision, near_sections
 from docketry.plans.statutes import sections, table_of_contents
 
 PAGE = "\n".join(
     [
         "{{ח:התחלה}}",
-        "{{ח:קטע2|חלק ה|חלק ה: ערעורים}}",
-        "{{ח:קטע3|פרק א|פרק א: כללי}}",
-        "{{ח:סעיף|208|זכות ערעור|תיקון: תש\"ן}}",
-        "{{ח:ת}} כל אדם רשאי לערער לפני {{ח:פנימי|סעיף 3|ועדת הערר}}.",
-        "{{ח:סעיף|209|מועדים}}",
-        "{{ח:תת|(א)|(1)}} הערעור יוגש תוך 30 יום.",
-        "{{ח:קטע3|פרק ב|פרק ב: הליכים}}",
-        "{{ח:סעיף*|210.|סדרי דין}}",
-        "{{ח:ת}} '''השר''' רשאי להתקין תקנות.",
+        "{{ח:קטע3|שער א|שער א: הגדרות}}",
+        "{{ח:סעיף|31|מונחים|תיקון: תשע\"ב}}",
+        "{{ח:ת}} בחוק זה, \"מאגר\" כמשמעותו {{ח:פנימי|סעיף 77|בפרק הרישום}}.",
+        "{{ח:קטע2|מסגרת|מסגרת שנייה: פיקוח}}",
+        "{{ח:קטע4|סימן|סימן ג: בקרה}}",
+        "{{ח:סעיף*|32א.|מפקח}}",
+        "{{ח:תתת|(ב)|(4)}} המפקח ידווח אחת לשנה.",
+        "{{ח:קטע3|שער ד|שער ד: שונות}}",
+        "{{ח:סעיף|33|{{ח:הערה|ראו {{ח:פנימי|א|{{ח:חיצוני|ב|{{ח:תיבה|נוסח}}}}}}}} ביצוע|תיקון: [[דף|תשפ]]}}",
+        "{{ח:ת}} '''הממונה''' אחראי.",
     ]
 )
 
@@ -28,34 +29,50 @@ PAGE = "\n".join(
 @pytest.fixture(scope="module")
 def pages(spark):
     return spark.createDataFrame(
-        [("חוק לדוגמה", PAGE, 7, dt.datetime(2024, 3, 1), "https://example.org/law")],
+        [("חוק המאגרים", PAGE, 91, dt.datetime(2022, 11, 6), "https://example.org/registry")],
         "title string, wikitext string, revid long, timestamp timestamp, url string",
     )
 
 
 def test_sections_in_order_with_context(pages):
     rows = sections(pages).orderBy("pos").collect()
-    assert [r["num"] for r in rows] == ["208", "209", "210"]
+    assert [r["num"] for r in rows] == ["31", "32א", "33"]
     assert [r["context"] for r in rows] == [
-        ["חלק ה: ערעורים", "פרק א: כללי"], ["חלק ה: ערעורים", "פרק א: כללי"], ["חלק ה: ערעורים", "פרק ב: הליכים"],
+        ["שער א: הגדרות"], ["מסגרת שנייה: פיקוח", "סימן ג: בקרה"], ["מסגרת שנייה: פיקוח", "שער ד: שונות"],
     ]
-    assert rows[0]["amend"] == 'תיקון: תש"ן' and "מועדים" not in rows[0]["body_text"]
-    assert "ועדת הערר" in rows[0]["body_text"] and "{{" not in rows[0]["body_text"]
-    assert "(א) (1)" in rows[1]["body_text"] and "פרק ב" not in rows[1]["body_text"]
-    assert "revid 7" in rows[0]["source"] and "2024-03-01" in rows[0]["source"]
+    assert rows[0]["amend"] == 'תיקון: תשע"ב' and "מפקח" not in rows[0]["body_text"]
+    assert "בפרק הרישום" in rows[0]["body_text"] and not rows[0]["unresolved"]
+    assert "(ב) (4)" in rows[1]["body_text"] and "שער ד" not in rows[1]["body_text"]
+    assert "revid 91" in rows[2]["source"] and "2022-11-06" in rows[2]["source"]
+
+
+def test_templates_deep_inside_an_opening_line(pages):
+    row = sections(pages).filter("num = '33'").first()
+    assert row["heading"] == "(ראו נוסח) ביצוע" and row["amend"] == "תיקון: תשפ"
+    assert "(ראו נוסח) ביצוע" in row["body_text"] and "{{" not in row["body_text"]
 
 
 def test_contents_indent(pages):
-    assert [r["indent"] for r in table_of_contents(pages).orderBy("pos").collect()] == [0, 1, 1]
+    assert [r["indent"] for r in table_of_contents(pages).orderBy("pos").collect()] == [1, 0, 2, 1]
+
+
+@pytest.mark.parametrize("depth", [1, 6, 9, 25])
+def test_any_depth(spark, depth):
+    nested = "core"
+    for k in range(depth):
+        nested = f"{{{{ח:פנימי|עוגן {k}|{nested}}}}}"
+    df = spark.createDataFrame([(f"a {nested} b",), ("{{ open " * depth,)], "t string")
+    rows = df.select(markup_to_text(F.col("t")).alias("t")).select("t", unresolved_markup(F.col("t")).alias("left")).collect()
+    assert (rows[0]["t"], rows[0]["left"], rows[1]["left"]) == ("a core b", False, True)
 
 
 @pytest.mark.parametrize(
     "markup, text",
     [
-        ("ראו [[חוק החוזים|החוק]] כאן", "ראו החוק כאן"),
+        ("לפי [[פקודת הדרכים|הפקודה]] הזו", "לפי הפקודה הזו"),
         ("{{ח:הערה|בוטל}}", "(בוטל)"),
         ("{{ח:הערה|(בוטל)}}", "(בוטל)"),
-        ("{{ח:חיצוני|פקודה|{{ח:פנימי|סעיף 2|סעיף קטן}}}} ועוד", "סעיף קטן ועוד"),
+        ("{{ח:חיצוני|תקנות|{{ח:פנימי|תקנה 8|תקנת משנה}}}} בלבד", "תקנת משנה בלבד"),
         ("{{ח:סוף}}נשאר", "נשאר"),
         ("{{ח:תת|(ד)|(1)}}תוכן", "(ד) (1) תוכן"),
         ("{{ח:סעיף|5|כותרת|תיקון}}", "5. כותרת   [תיקון]"),
