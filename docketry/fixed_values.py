@@ -133,7 +133,6 @@ APPENDIX_PATTERNS = [
 ]
 APPENDIX_FALSE_POSITIVES = ["עמ'", "עמ", "תוכן", "תוכן'"]
 APPENDIX_CONTEXT = 50
-APPENDIX_WORD = "נספח"
 APPENDIX_LETTER_PATTERN = r"נספח\s+[א-ת]{1,2}[']"
 APPENDIX_NUMBER_PATTERN = r"נספח\s+\d+"
 APPENDIX_LETTERS = [
@@ -148,7 +147,6 @@ UNIT_PAGE_MARKER = r"(?m)^=+\s*עמוד\s+\d+\s*=+\s*$"
 UNIT_CHARS = 3500
 READ_LIMIT_CHARS = 24000
 VISION_MIN_CHARS = 30
-VISION_PAGE_CHARS = 40
 TEXT_PAGE_CHARS = 20
 TEXT_RATIO_HIGH = 0.8
 TEXT_RATIO_LOW = 0.2
@@ -193,6 +191,9 @@ WRITING_LIMITS = {
     "concede": 0, "leil": 3, "achen": 3, "restate": 2, "scattered": 2,
 }
 SCATTER_GAP = 4
+# terms whose places in a text are followed, and those that naturally run through all of it
+WRITING_TERMS = r"סעיף \d+(?:\.\d+)*[א-ת]?(?:\([^)]{1,4}\))*|התכנית הכוללנית|תנאי \d+|\d+ עד \d+ בקשות|עניין [א-ת\"']{3,}"
+WRITING_FRAME_TERMS = ["סעיף 62", "סעיף 62א", "סעיף 62א(א)"]
 
 # --- instructions -----------------------------------------------------------
 INSTRUCTION_REWRITE = ["תנסח מחדש", "תערוך", "נסח מחדש"]
@@ -223,6 +224,14 @@ MARKUP_SECTION = r"ח:סעיף\*?"
 MARKUP_NOTE = "ח:הערה"
 MARKUP_BLOCK_START = r"^\{\{(ח:סעיף\*?|ח:קטע[2-5])\|?"
 MARKUP_NAMED_ARGUMENT = r"[\w֐-׿\- ]+="
+# what is cleaned from rendered markup, in this order: bold, italics, tags, trailing blanks, empty lines
+MARKUP_CLEANING = [
+    (r"(?s)'''(.+?)'''", "$1"),
+    (r"(?s)''(.+?)''", "$1"),
+    (r"<[^>\n]{0,80}>", ""),
+    (r"[ \t]+\n", "\n"),
+    (r"\n{3,}", "\n\n"),
+]
 SOURCE_URL = "https://he.wikisource.org/wiki/"
 FRESH_DAYS = 7
 NEAR_SECTION_LIMIT = 30
@@ -231,7 +240,6 @@ NEAR_SECTION_LIMIT = 30
 SUBFOLDER_KIND = 77
 MAX_FOLDER_DEPTH = 12
 CLOSED_STATUS = "סגור"
-CLOSED_STATUS_ID = 9999
 SIMILAR_MIN = 0.5
 SIMILAR_GUARD = 0.6
 SIMILAR_LIMIT = 5
@@ -261,13 +269,16 @@ EVENT_TEMPLATES = {
 # group -> (type, product, colour, alarm minutes)
 GROUP_TEMPLATES = {2: ("cal", 3, 4, 30), 5: ("cal", 3, 7, 30)}
 EVENT_MINUTES = 30
+# Minutes after midnight at which an event and a task begin unless told otherwise.
+EVENT_START, TASK_START = 540, 480
 DAMAGE_DEFAULT = "250.00"
 BACKUP_TABLE_PATTERN = "_ts$|_Bak|_BAK|_ORG|_FUT|^aaa$|^AAA"
 TOKEN_MINUTES = 15
 
 # --- holdings ---------------------------------------------------------------
 STALE_DAYS = 90
-TREATMENTS = ["יושם", "אובחן", "צומצם", "הורחב", "אוזכר אגב", "נדחה", "אומץ"]
+# how a citing case treats a decision: those that count against it, and the others
+NEGATIVE_TREATMENTS = ["אובחן", "צומצם", "נדחה"]
 PLANTED_TEXT = [
     "ההתיישבות העותומנית [נוסח ישן] 1916",
     "12-34-56-78 צ'כוב נ' מדינת ישראל, פ'ד נא (2)",
@@ -311,8 +322,31 @@ FIXED_FEES = {
     "mobility_loan": "961.00",
 }
 
+# --- document classes -------------------------------------------------------
+# class -> phrases that mark it
+DOCUMENT_CLASSES = {
+    "מסמכי ערר": ["כתב ערר", "כתב תשובה", "שומה נגדית", "שומת מקרקעין", "תגובת העורר", "תגובת המשיבה"],
+    "מסמכים מנהליים": ["בקשה להארכת מועד", "בקשה לפטור", "החלטת ביניים", "הזמנה לדיון", "טיוטת החלטה", "הודעה על"],
+    "פרוטוקולים": ["פרוטוקול"],
+    "רפואי": ["סיכום ביקור", "שחרור מבית חולים", "תעודת מחלה", "חוות דעת רפואית"],
+    "ביטוח לאומי": ["ועדה רפואית", "פקיד תביעות", "נכות כללית", "אבטלה"],
+    "מעסיק ועבודה": ["תלוש שכר", "מכתב פיטורים", "שימוע", "טופס 161"],
+    "בית דין / בית משפט": ["כתב תביעה", "כתב הגנה", "פסק דין"],
+    "רשויות נוספות": ["מס הכנסה", "הוצאה לפועל", "משטרה"],
+    "אישי ופיננסי": ["תעודת זהות", "דפי בנק", "חוזה שכירות"],
+    "התכתבויות": ["דואר אלקטרוני", "מסרון"],
+}
+CLASS_FOLDERS = {
+    "מסמכי ערר": "מסמכי ערר", "מסמכים מנהליים": "מסמכים מנהליים", "פרוטוקולים": "פרוטוקולים",
+    "רפואי": "01 - רפואי", "ביטוח לאומי": "02 - ביטוח לאומי", "מעסיק ועבודה": "03 - מעסיק ועבודה",
+    "בית דין / בית משפט": "04 - בית דין / בית משפט", "רשויות נוספות": "05 - רשויות נוספות",
+    "אישי ופיננסי": "06 - אישי ופיננסי", "התכתבויות": "07 - התכתבויות",
+}
+
 # --- questions and forms ----------------------------------------------------
 QUESTION_MAX = 200
+# the template whose question may name a court
+COURT_TEMPLATE = 1
 # template -> passages asked of case law, statutes, literature; analyse query; rerank
 QUESTION_TEMPLATES = {
     1: (3, 5, 0, False, True),

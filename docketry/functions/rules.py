@@ -55,9 +55,31 @@ def best_class(scores: Column) -> Column:
     return F.when(F.size(leaders) == 1, F.get(leaders, 0)["label"]).otherwise(F.lit("unknown"))
 
 
+def class_state(scores: Column) -> Column:
+    """``found``, ``conflict`` (several classes share the best score) or ``no hit``."""
+    top = F.array_max(F.transform(scores, lambda s: s["score"]))
+    leaders = F.size(F.filter(scores, lambda s: s["score"] == top))
+    return F.when(F.coalesce(top, F.lit(0)) <= 0, "no hit").when(leaders > 1, "conflict").otherwise("found")
+
+
+def target_folder(label: Column, folders: dict[str, str]) -> Column:
+    """Folder of a class from a short fixed table; null for a class without one."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in folders.items() for v in pair]), label)
+
+
+def question_plan(template: Column) -> Column:
+    """Passages to ask for and search options of a template; null for an unknown one."""
+    names = ("case_law", "statutes", "literature", "analyse", "rerank")
+    rows = [
+        v for k, values in fv.QUESTION_TEMPLATES.items() for v in (F.lit(k), F.struct(*[F.lit(x).alias(n) for n, x in zip(names, values)]))
+    ]
+    return F.try_element_at(F.create_map(*rows), template)
+
+
 def question_violations(question: Column, template: Column, courts: list[str]) -> Column:
-    """Codes of the wording rules a search question breaks."""
+    """Codes of the wording rules a search question breaks; one template may name a court."""
     named = any_of(question, courts) if courts else F.lit(False)
+    named = named & ~F.coalesce(template == fv.COURT_TEMPLATE, F.lit(False))
     found = F.array(
         F.when(F.length(question) > fv.QUESTION_MAX, "too_long"),
         F.when(~F.endswith(F.rtrim(question), F.lit("?")), "no_question_mark"),

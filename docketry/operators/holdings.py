@@ -56,7 +56,7 @@ def view_sizes(holdings: DataFrame, as_of: Column) -> DataFrame:
     ).select("v.*")
 
 
-def citation_status(decisions: DataFrame, citers: DataFrame, negative: list[str]) -> DataFrame:
+def citation_status(decisions: DataFrame, citers: DataFrame, negative: list[str] = fv.NEGATIVE_TREATMENTS) -> DataFrame:
     """Citing count and negative treatment of each decision.
 
     ``citers(decision, citer, treatment)`` with a null treatment for a citer
@@ -84,7 +84,7 @@ def reading_order(citers: DataFrame, national: list[str]) -> DataFrame:
     kind_rank = F.col("is_list").cast("int")
     ranked = citers.withColumn("court_rank", court_rank).withColumn("kind_rank", kind_rank)
     order = [F.col("court_rank"), F.col("day").desc(), F.col("kind_rank"), F.col("citer")]
-    chunk = F.col("court_rank") * 1000000 - F.floor(F.col("day") / 7)
+    chunk = F.struct("court_rank", F.col("day").isNull(), -F.floor(F.col("day") / 7))
     return ordered.position(ranked, ["decision"], order, chunk, "reading_rank").drop("court_rank", "kind_rank")
 
 
@@ -98,10 +98,31 @@ def merge_citers(lists: list[DataFrame], exclude: DataFrame | None = None) -> Da
     )
 
 
-def authority_pack(holdings: DataFrame, tiers: DataFrame) -> DataFrame:
+def holding_flags(holdings: DataFrame, citers: DataFrame, negative: list[str] = fv.NEGATIVE_TREATMENTS) -> DataFrame:
+    """Negative treatment of every holding: ``yes`` only for the holding that was hit.
+
+    ``holdings(holding_id, decision)``; ``citers(decision, citer, treatment,
+    holding_id)``, the last being the holding a citer speaks of, null for the
+    decision as a whole. ``checked`` tells whether the decision was searched at
+    all; a holding that was not hit is ``no`` only when every citer of its
+    decision was read and none speaks against the decision as a whole.
+    """
+    against = F.coalesce(F.col("treatment").isin(*negative), F.lit(False))
+    per_decision = citers.groupBy("decision").agg(
+        F.bool_and(F.col("treatment").isNotNull()).alias("all_read"),
+        F.bool_or(against & F.col("holding_id").isNull()).alias("whole"),
+    )
+    hit = citers.filter(against & F.col("holding_id").isNotNull()).select("decision", "holding_id").distinct().withColumn("hit", F.lit(True))
+    joined = holdings.select("holding_id", "decision").join(per_decision, "decision", "left").join(hit, ["decision", "holding_id"], "left")
+    flag = F.when(F.col("hit"), "yes").when(F.col("all_read") & ~F.col("whole"), "no").otherwise("unknown")
+    return joined.select("holding_id", "decision", F.col("all_read").isNotNull().alias("checked"), flag.alias("negative_treatment"))
+
+
+def authority_pack(holdings: DataFrame, tiers: list[tuple[int, str]]) -> DataFrame:
     """Holdings by tier in fixed order, source trust and validity as separate columns.
 
-    Every tier shows: an empty one keeps a row without a holding.
+    Every tier shows: an empty one keeps a row without a holding. The tiers are
+    a short fixed list and travel with the expression.
     """
     validity = (
         F.when(F.col("negative_treatment") == "yes", "negative")
@@ -109,10 +130,14 @@ def authority_pack(holdings: DataFrame, tiers: DataFrame) -> DataFrame:
         .otherwise("checked")
     )
     source = F.when(F.col("status") == "unverified", "index entry").otherwise("read in the decision")
-    held = holdings.withColumn("validity", validity).withColumn("source_trust", source)
-    return tiers.join(held, tiers["tier_name"] == held["status"], "left").select(
-        "tier", "tier_name", "holding_id", "source_trust", "validity"
+    number = F.try_element_at(F.create_map(*[F.lit(v) for tier, name in tiers for v in (name, tier)]), F.col("status"))
+    held = holdings.withColumn("tier", number).filter("tier is not null").select(
+        "tier", F.col("status").alias("tier_name"), "holding_id", source.alias("source_trust"), validity.alias("validity")
     )
+    listed = holdings.sparkSession.createDataFrame(tiers, "tier int, tier_name string")
+    empty = listed.join(held.select("tier").distinct(), "tier", "left_anti")
+    blank = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("holding_id", "source_trust", "validity")]
+    return held.unionByName(empty.select("tier", "tier_name", *blank))
 
 
 def internal_references(paragraphs: DataFrame, pattern: str) -> DataFrame:

@@ -61,11 +61,12 @@ def read_units(units: DataFrame, issued: DataFrame, confirms: DataFrame, vision:
 def refused_shows(shows: DataFrame, units: DataFrame, limit: int = fv.READ_LIMIT_CHARS) -> DataFrame:
     """Requested ranges and why they are refused: outside the document, or too long for one reading.
 
-    ``shows(show_id, doc_id, first, last)``.
+    ``shows(show_id, doc_id, first, last)``. A range is followed up only as far
+    as its document has units, however far it was asked.
     """
-    asked = shows.filter("first >= 1 and first <= last").select(
-        "show_id", "doc_id", "first", "last", F.explode(F.sequence("first", "last")).alias("n")
-    )
+    extent = units.groupBy("doc_id").agg(F.max("n").alias("__last"))
+    inside = shows.filter("first >= 1 and first <= last").join(shuffled(extent), "doc_id").filter("last <= __last")
+    asked = inside.select("show_id", "doc_id", "first", "last", F.explode(F.sequence("first", "last")).alias("n"))
     sized = asked.join(units.select("doc_id", "n", F.length("text").alias("chars")), ["doc_id", "n"], "left")
     totals = sized.groupBy("show_id").agg(
         F.sum("chars").alias("chars"), F.bool_or(F.col("chars").isNull()).alias("outside")

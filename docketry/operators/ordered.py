@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.session import cut_lineage
+
 _CHUNK = "__chunk"
 
 
@@ -64,6 +66,26 @@ def position(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
     )
 
 
+def position_of_all(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Place of every row in the order of the whole table, from 1. ``order`` must be total.
+
+    Rows are dealt out by ranges of the order and numbered inside each range;
+    the rows of the ranges before, one number per task, are carried across. The
+    sorted table is written once, since sampled ranges may differ between runs.
+    """
+    sorted_rows = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id())
+    )
+    task = F.shiftright("__mid", 33)
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sorted_rows.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    bases = ranges.select("__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per range
+    joined = sorted_rows.withColumn("__task", task).join(F.broadcast(bases), "__task")
+    return joined.withColumn(out, F.col("__base") + inside + 1).drop("__mid", "__task", "__base")
+
+
 def next_value(
     df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column, out: str
 ) -> DataFrame:

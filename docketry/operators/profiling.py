@@ -43,34 +43,55 @@ def candidate_relations(
     return found
 
 
-def inclusion(tables: dict[str, DataFrame], relation: Relation) -> DataFrame:
-    """Rows, filled, distinct and orphan counts of one relation.
+KEY_TYPE = "decimal(38,6)"  # in which whole and decimal keys compare alike
 
-    The child is reduced to its distinct keys before it meets the parent, so
-    the join carries each key once however often it occurs.
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def inclusion_report(tables: dict[str, DataFrame], relations: list[Relation]) -> DataFrame:
+    """Rows, filled, distinct and orphan counts of every relation whose child has rows.
+
+    A child is read once for all its columns and reduced to counted keys before
+    it meets the parents, so the join carries each key once however often it
+    occurs. Keys are compared as numbers.
     """
-    r = relation
-    keys = tables[r.child].groupBy(F.col(r.child_column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    known = tables[r.parent].select(F.col(r.parent_column).alias("k")).distinct().withColumn("known", F.lit(True))
+    counted = []
+    for child in dict.fromkeys(r.child for r in relations):
+        columns = list(dict.fromkeys(r.child_column for r in relations if r.child == child))
+        pairs = F.array(*[F.struct(F.lit(c).alias("child_column"), F.col(c).cast(KEY_TYPE).alias("k")) for c in columns])
+        rows = tables[child].select(F.explode(pairs).alias("p")).select("p.*")
+        counted.append(rows.groupBy("child_column", "k").agg(F.count(F.lit(1)).alias("n")).withColumn("child", F.lit(child)))
+    parents = dict.fromkeys((r.parent, r.parent_column) for r in relations)
+    known = [
+        tables[p].select(F.lit(p).alias("parent"), F.lit(c).alias("parent_column"), F.col(c).cast(KEY_TYPE).alias("k")).distinct() for p, c in parents
+    ]
+    targets = F.create_map(
+        *[
+            v for child, column in dict.fromkeys((r.child, r.child_column) for r in relations) for v in (
+                F.lit(f"{child}.{column}"),
+                F.array(*[
+                    F.struct(F.lit(r.parent).alias("parent"), F.lit(r.parent_column).alias("parent_column"))
+                    for r in relations if (r.child, r.child_column) == (child, column)
+                ]),
+            )
+        ]
+    )
+    every = _union(counted).withColumn("t", F.explode(F.element_at(targets, F.concat_ws(".", "child", "child_column"))))
+    met = every.select("child", "child_column", "t.*", "k", "n").join(
+        _union(known).withColumn("known", F.lit(True)), ["parent", "parent_column", "k"], "left"
+    )
     filled = F.col("k").isNotNull() & (F.col("k") != 0)
-    counted = keys.join(known, "k", "left").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+    return met.groupBy("child", "child_column", "parent").agg(
+        F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("filled"),
         F.count_if(filled).alias("distinct_values"),
         F.coalesce(F.sum(F.when(filled & F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("orphans"),
     )
-    return counted.filter("n_rows > 0").select(
-        F.lit(r.child).alias("child"), F.lit(r.child_column).alias("child_column"),
-        F.lit(r.parent).alias("parent"), "n_rows", "filled", "distinct_values", "orphans",
-    )
-
-
-def inclusion_report(tables: dict[str, DataFrame], relations: list[Relation]) -> DataFrame:
-    parts = [inclusion(tables, r) for r in relations]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:

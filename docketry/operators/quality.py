@@ -173,14 +173,20 @@ def writing_metrics(
     words: dict[str, str] = fv.WRITING_WORDS,
     restate: str = fv.RESTATE_PATTERN,
     limits: dict[str, int] = fv.WRITING_LIMITS,
+    terms: str = fv.WRITING_TERMS,
+    frame: list[str] = fv.WRITING_FRAME_TERMS,
 ) -> DataFrame:
     """Metric values per document against their limits.
 
-    ``paragraphs(doc_key, pos, is_heading, text)``. A phrase counts once per
+    ``paragraphs(doc_key, pos, is_heading, text)``, with ``is_quote`` where
+    quoted paragraphs are known; these are no body. A phrase counts once per
     paragraph; the first word pattern counts every hit, the later ones once per
-    paragraph.
+    paragraph. ``scattered`` counts the terms of a document, found by the
+    pattern ``terms`` and not in ``frame``, that occur in clusters apart.
     """
     body = ~F.col("is_heading")
+    if "is_quote" in paragraphs.columns:
+        body = body & ~F.col("is_quote")
     text = F.col("text")
     aggregates = [
         F.sum(F.when(body, word_count(text)).otherwise(0)).alias("words"),
@@ -195,7 +201,10 @@ def writing_metrics(
         hits = F.regexp_count(text, F.lit(pattern)) if i == 0 else F.when(text.rlike(pattern), 1).otherwise(0)
         aggregates.append(F.sum(F.when(body, hits).otherwise(0)).alias(metric))
     aggregates.append(F.count_if(body & text.rlike(restate)).alias("restate"))
-    wide = paragraphs.groupBy("doc_key").agg(*aggregates)
+    found = F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(terms), F.lit(0))), F.array(*[F.lit(t) for t in frame]).cast("array<string>"))
+    occurrences = paragraphs.filter(body).select("doc_key", "pos", F.explode(found).alias("term"))
+    scattered = scattered_terms(occurrences).groupBy("doc_key").agg(F.count(F.lit(1)).alias("scattered"))
+    wide = paragraphs.groupBy("doc_key").agg(*aggregates).join(scattered, "doc_key", "left").fillna(0, ["scattered"])
     names = [c for c in wide.columns if c != "doc_key"]
     long = wide.select(
         "doc_key",

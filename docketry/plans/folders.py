@@ -11,25 +11,17 @@ from docketry import fixed_values as fv
 def lost_files(source: DataFrame, result: DataFrame) -> DataFrame:
     """Source files without a counterpart of the same size and content.
 
-    ``(rel_path, ext, length, content)`` on both sides. Sizes are compared
-    first; only files whose size occurs on the other side are read and hashed.
-    Files made along the way do not count.
+    ``(rel_path, ext, length, content)`` on both sides. Contents are hashed where
+    they are read and never move; what remains meets the sizes once more for the
+    reason. Files made along the way do not count.
     """
-    wanted = source.filter(~F.col("ext").isin(*fv.DERIVED_EXTENSIONS))
-    sizes = result.select("length").distinct()
-    no_size = wanted.select("rel_path", "length").join(sizes, "length", "left_anti").select(
-        "rel_path", F.lit("no file of this size").alias("reason")
-    )
-    digest = F.sha2(F.col("content").cast("binary"), 256)
-    there = (
-        result.join(wanted.select("length").distinct(), "length", "left_semi")
-        .select("length", digest.alias("digest")).distinct()
-    )
-    candidates = wanted.join(sizes, "length", "left_semi").select("rel_path", "length", digest.alias("digest"))
-    changed = candidates.join(there, ["length", "digest"], "left_anti").select(
-        "rel_path", F.lit("content differs").alias("reason")
-    )
-    return no_size.unionByName(changed)
+    digest = F.sha2(F.col("content").cast("binary"), 256).alias("digest")
+    wanted = source.filter(~F.col("ext").isin(*fv.DERIVED_EXTENSIONS)).select("rel_path", "length", digest)
+    there = result.select("length", digest).groupBy("length", "digest").agg(F.lit(1).alias("there"))
+    lost = wanted.join(there, ["length", "digest"], "left_anti").select("rel_path", "length")
+    sizes = result.select("length").distinct().withColumn("sized", F.lit(True))
+    reason = F.when(F.col("sized"), "content differs").otherwise("no file of this size")
+    return lost.join(sizes, "length", "left").select("rel_path", reason.alias("reason"))
 
 
 def folder_findings(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from docketry import fixed_values as fv
 from docketry.operators.joining import shuffled
 
+LEDGER_BUCKETS = 64
+
 
 def applied_tokens(
     previews: DataFrame, applies: DataFrame, minutes: int = fv.TOKEN_MINUTES, lateness: str = "1 hour"
@@ -54,23 +58,29 @@ def record_confirms(confirms: DataFrame, issued: DataFrame, ledger: str, checkpo
 
     A code may come back at any time, so what was used is kept in a table and
     not in stream state. Each micro-batch reduces its codes to their first use,
-    drops those that earlier batches recorded, and writes one folder named by
-    its batch number: a batch that runs again replaces its own folder.
+    drops those that any other batch of any run recorded, and writes one folder
+    named by run and batch: a batch that runs again replaces its own folder and
+    no other. A run is one checkpoint. Codes are filed in buckets, and a batch
+    reads only the buckets of its own codes.
     """
     spark = confirms.sparkSession
     known = issued.select("code_a", "code_b", "doc_id", "units")
     shape = "code_a string, code_b string, doc_id long, units array<int>, ts timestamp, confirm_id long"
-    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{ledger}/batch_id=-1")
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    bucket = F.pmod(F.crc32(F.col("code_a").cast("binary")), F.lit(LEDGER_BUCKETS)).cast("int")
+    spark.createDataFrame([], shape + ", bucket int").write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/run=none/batch_id=-1")
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy("code_a", "code_b").agg(F.min(F.struct("ts", "confirm_id")).alias("m"))
-        used = batch.sparkSession.read.schema(shape + ", batch_id long").parquet(ledger)
-        earlier = used.filter(F.col("batch_id") < batch_id).select("code_a", "code_b")
-        fresh = first.select("code_a", "code_b", "m.*").join(known, ["code_a", "code_b"]).join(
-            shuffled(earlier), ["code_a", "code_b"], "left_anti"
+        first = batch.groupBy("code_a", "code_b").agg(F.min(F.struct("ts", "confirm_id")).alias("m")).select("code_a", "code_b", "m.*")
+        first = first.withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS
+        used = batch.sparkSession.read.schema(shape + ", run string, batch_id long, bucket int").parquet(ledger)
+        others = used.filter(F.col("bucket").isin(*touched) & ~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+        fresh = first.join(known, ["code_a", "code_b"]).join(
+            shuffled(others.select("code_a", "code_b")), ["code_a", "code_b"], "left_anti"
         )
-        columns = ["code_a", "code_b", "doc_id", "units", "ts", "confirm_id"]
-        fresh.select(*columns).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        columns = ["code_a", "code_b", "doc_id", "units", "ts", "confirm_id", "bucket"]
+        fresh.select(*columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/run={run}/batch_id={batch_id}")
 
     query = (
         confirms.writeStream.foreachBatch(record)
