@@ -91,8 +91,8 @@ RESTATE = "^(The|And|Le) "
 
 
 def a9_writing_metrics(spark: SparkSession, d: str) -> DataFrame:
-    paragraphs = inputs.lines(spark, d).withColumn("is_heading", F.size(F.split("text", " ")) <= 2)
-    return quality.writing_metrics(paragraphs, PHRASES, WORDS, RESTATE)
+    paragraphs = inputs.lines(spark, d).withColumn("is_heading", F.size(F.split("text", " ")) <= 2).withColumn("is_quote", F.col("pos") % 11 == 10)
+    return quality.writing_metrics(paragraphs, PHRASES, WORDS, RESTATE, terms="License|eaux|heith|thand|ition", frame=["thand"])
 
 
 def a10_library_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +124,19 @@ def a13_citation_status(spark: SparkSession, d: str) -> DataFrame:
     return holdings.citation_status(decisions, citers, ["rejected", "narrowed"])
 
 
+def a13_holding_flags(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    treatment = F.when(F.col("event_type") == "error", "rejected").when(
+        (F.col("event_type") == "view") & (F.col("value") > 30), None
+    ).otherwise("applied")
+    citers = e.select(
+        F.floor(F.col("event_id") / 3).alias("decision"), F.col("event_id").alias("citer"), treatment.alias("treatment"),
+        F.when(F.col("event_id") % 3 > 0, F.floor(F.col("event_id") / 3) * 4 + F.col("event_id") % 3).alias("holding_id"),
+    )
+    held = table(spark, d, "orders").select(F.col("o_orderkey").alias("holding_id"), F.floor(F.col("o_orderkey") / 4).alias("decision"))
+    return holdings.holding_flags(held, citers, ["rejected", "narrowed"])
+
+
 ITEMS = list(fv.RUBRIC_MAX_POINTS)
 
 
@@ -149,14 +162,15 @@ def a15_rater_comparison(spark: SparkSession, d: str) -> DataFrame:
     return rulebooks.compare_raters(_answers(spark, d), "A", "R")
 
 
-SERVICES = [*fv.PENSION_PERCENT, *fv.GRANT_PERCENT, "not listed"]
+SERVICES = [*fv.PENSION_PERCENT, *fv.GRANT_PERCENT, *fv.FIXED_FEES, "not listed"]
 
 
 def _fee_claims(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    which = F.when(c % 4 == 0, k).otherwise(c) % len(SERVICES)  # a quarter of the events name several services
     return table(spark, d, "orders").select(
-        F.col("o_custkey").alias("event_id"),
-        F.element_at(F.array(*[F.lit(s) for s in SERVICES]), (k % 8 + 1).cast("int")).alias("service"),
+        c.alias("event_id"),
+        F.element_at(F.array(*[F.lit(s) for s in SERVICES]), (which + 1).cast("int")).alias("service"),
         (F.col("o_totalprice").cast("decimal(18,2)") / 100).cast("decimal(18,2)").alias("monthly"),
         F.when(k % 3 > 0, (k % 90).cast("int")).alias("eligible_months"),
         F.when(k % 5 > 0, (k % 70).cast("int")).alias("months_to_pension"),
@@ -165,9 +179,9 @@ def _fee_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a16_fee_caps(spark: SparkSession, d: str) -> DataFrame:
-    caps = rulebooks.fee_caps(_fee_claims(spark, d), rulebooks.rate_table(spark))
+    caps = rulebooks.fee_caps(_fee_claims(spark, d))
     money = ["pension_base", "grant_sum", "cap_with_fee", "cap_without_fee"]
-    return caps.select("event_id", "service", "uncovered", *[F.col(c).cast("double").alias(c) for c in money])
+    return caps.select("event_id", "service", "uncovered", "mixed", *[F.col(c).cast("double").alias(c) for c in money])
 
 
 QUERIES = {
@@ -175,7 +189,7 @@ QUERIES = {
     for f in (
         a1_overall_status, a2_findings_table, a3_entity_counts, a4_page_confidence, a5_document_report, a5_status_totals, a6_ocr_routing,
         a7_text_layer, a8_coverage_gate, a9_writing_metrics, a10_library_statistics, a11_numbering_style, a12_run_summary,
-        a13_citation_status, a14_rubric_scores, a14_criteria_points, a15_rater_comparison, a16_fee_caps,
+        a13_citation_status, a13_holding_flags, a14_rubric_scores, a14_criteria_points, a15_rater_comparison, a16_fee_caps,
     )
 }
 
@@ -212,6 +226,7 @@ def _half_even(amount: str) -> str:
 
 
 _FEES = "[" + ", ".join(f"{{'s': '{k}', 'w': {int(float(v[0]) * 100)}, 'o': {int(float(v[2]) * 100)}}}" for k, v in fv.PENSION_PERCENT.items()) + "]"
+_FIXED = "[" + ", ".join(f"{{'s': '{k}', 'a': {int(float(v) * 100)}}}" for k, v in fv.FIXED_FEES.items()) + "]"
 _GRANTS = "[" + ", ".join(f"{{'s': '{k}', 'w': {int(float(v[0]) * 100)}, 'o': {int(float(v[1]) * 100)}}}" for k, v in fv.GRANT_PERCENT.items()) + "]"
 
 ORACLE = {
@@ -257,15 +272,20 @@ ORACLE = {
         SELECT u.doc_key AS doc_id, count(*) AS units, count(*) FILTER (done) AS read_units, bool_and(done) AS passes, any_value(missing) AS missing
         FROM u LEFT JOIN m ON u.doc_key = m.doc_key GROUP BY u.doc_key""",
     "a9_writing_metrics": rf"""
-        WITH {inputs.LINES}, p AS (SELECT doc_key, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS k, len(string_split(text, ' ')) <= 2 AS h FROM lines),
+        WITH {inputs.LINES}, q AS (SELECT doc_key, pos, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS k, len(string_split(text, ' ')) <= 2 AS hd FROM lines),
+        p AS (SELECT *, hd OR pos % 11 = 10 AS h FROM q),
+        o AS (SELECT DISTINCT doc_key, pos, unnest(regexp_extract_all(text, 'License|eaux|heith|thand|ition')) AS term FROM p WHERE NOT h),
+        cl AS (SELECT doc_key, term, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_key, term ORDER BY pos) <= 4 THEN 0 ELSE 1 END AS s FROM o WHERE term <> 'thand'),
+        sc AS (SELECT doc_key, count(*) AS n FROM (SELECT doc_key, term FROM cl GROUP BY ALL HAVING sum(s) >= 2) GROUP BY doc_key),
         w AS (SELECT doc_key,
-          sum(CASE WHEN h OR k = '' THEN 0 ELSE len(string_split(k, ' ')) END) AS words, count(*) FILTER (h AND length(trim(text)) > 0) AS headings,
+          sum(CASE WHEN h OR k = '' THEN 0 ELSE len(string_split(k, ' ')) END) AS words, count(*) FILTER (hd AND length(trim(text)) > 0) AS headings,
+          coalesce((SELECT n FROM sc WHERE sc.doc_key = p.doc_key), 0) AS scattered,
           sum(CASE WHEN h THEN 0 ELSE CAST(contains(text, 'The ') AS INTEGER) + CAST(contains(text, 'thand') AS INTEGER) END) AS roadmap,
           sum(CASE WHEN h THEN 0 ELSE CAST(contains(text, 'eaux') AS INTEGER) + CAST(contains(text, 'tion of') AS INTEGER) END) AS interim,
           sum(CASE WHEN h THEN 0 ELSE len(regexp_extract_all(text, 'and')) END) AS leil,
           sum(CASE WHEN h THEN 0 ELSE CAST(regexp_matches(text, '(^|\s)of[ ,]') AS INTEGER) END) AS achen,
           count(*) FILTER (NOT h AND regexp_matches(text, '^(The|And|Le) ')) AS restate FROM p GROUP BY doc_key),
-        l AS ({" UNION ALL ".join(f"SELECT doc_key, '{m}' AS metric, CAST({m} AS BIGINT) AS value, {fv.WRITING_LIMITS[m]} AS \"limit\" FROM w" for m in ("words", "headings", "roadmap", "interim", "leil", "achen", "restate"))})
+        l AS ({" UNION ALL ".join(f"SELECT doc_key, '{m}' AS metric, CAST({m} AS BIGINT) AS value, {fv.WRITING_LIMITS[m]} AS \"limit\" FROM w" for m in ("words", "headings", "roadmap", "interim", "leil", "achen", "restate", "scattered"))})
         SELECT *, value <= "limit" AS within FROM l""",
     "a10_library_statistics": """
         SELECT count(*) AS entries, (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(p_name, ' ')) AS t FROM part)) AS topics,
@@ -283,6 +303,14 @@ ORACLE = {
         s AS (SELECT decision, count(*) AS n, bool_or(coalesce(t = 'rejected', false)) AS hit, bool_and(t IS NOT NULL) AS every FROM c GROUP BY decision)
         SELECT d.decision, coalesce(n, 0) AS citations_count, CASE WHEN hit THEN 'yes' WHEN every THEN 'no' ELSE 'unknown' END AS negative_treatment
         FROM (SELECT DISTINCT o_orderkey // 4 AS decision FROM orders) d LEFT JOIN s ON d.decision = s.decision""",
+    "a13_holding_flags": """
+        WITH c AS (SELECT event_id // 3 AS decision, CASE WHEN event_id % 3 > 0 THEN event_id // 3 * 4 + event_id % 3 END AS holding_id,
+                          CASE WHEN event_type = 'error' THEN 'rejected' WHEN event_type = 'view' AND value > 30 THEN NULL ELSE 'applied' END AS t FROM events),
+        s AS (SELECT decision, count(*) = count(t) AS every, count(*) FILTER (t = 'rejected' AND holding_id IS NULL) > 0 AS whole FROM c GROUP BY decision)
+        SELECT o_orderkey AS holding_id, o_orderkey // 4 AS decision, s.decision IS NOT NULL AS checked,
+               CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.decision = o_orderkey // 4 AND c.holding_id = o_orderkey AND t = 'rejected') THEN 'yes'
+                    WHEN every AND NOT whole THEN 'no' ELSE 'unknown' END AS negative_treatment
+        FROM orders LEFT JOIN s ON s.decision = o_orderkey // 4""",
     "a14_rubric_scores": f"""
         WITH {_ANSWERS}, v AS (SELECT subject, item, max(points) AS points FROM answers WHERE points BETWEEN 0 AND {_ITEM_MAX} GROUP BY ALL),
         t AS (SELECT subject, CAST(sum(points) AS INTEGER) AS total, count(*) AS n FROM v GROUP BY subject),
@@ -298,15 +326,16 @@ ORACLE = {
         SELECT s.subject, item, ours, theirs, ours - theirs AS gap, our_total, their_total, {_band('our_total')} <> {_band('their_total')} AS crosses_band
         FROM s JOIN t ON s.subject = t.subject""",
     "a16_fee_caps": f"""
-        WITH k AS (SELECT o_custkey AS event_id, ({inputs.sql_list(SERVICES)})[CAST(o_orderkey % 8 + 1 AS INTEGER)] AS service,
+        WITH k AS (SELECT o_custkey AS event_id,
+                          ({inputs.sql_list(SERVICES)})[CAST(CASE WHEN o_custkey % 4 = 0 THEN o_orderkey ELSE o_custkey END % {len(SERVICES)} + 1 AS INTEGER)] AS service,
                           CAST(o_totalprice AS DECIMAL(18,2)) AS g, o_orderkey AS k FROM orders),
         b AS (SELECT event_id, service, CAST(g * 100 AS BIGINT) AS cents, CAST(round(CAST(g AS DECIMAL(20,4)) / 100, 2) * 100 AS BIGINT) AS m,
                      least(60, coalesce(CASE WHEN k % 3 > 0 THEN k % 90 END, 60), coalesce(CASE WHEN k % 5 > 0 THEN k % 70 END, 60)) AS months FROM k),
-        s AS (SELECT event_id, service, CAST(sum((cents // 100 + CASE WHEN cents % 100 >= 50 THEN 1 ELSE 0 END) * months) AS BIGINT) AS base, CAST(sum(cents) AS BIGINT) AS gr FROM b GROUP BY ALL),
-        f AS (SELECT unnest({_FEES}) AS f), h AS (SELECT unnest({_GRANTS}) AS h)
-        SELECT event_id, service, f IS NULL AND h IS NULL AS uncovered, base / 100 AS pension_base, gr / 100 AS grant_sum,
+        s AS (SELECT event_id, CASE WHEN count(DISTINCT service) = 1 THEN min(service) END AS service, count(DISTINCT service) > 1 AS mixed, CAST(sum((cents // 100 + CASE WHEN cents % 100 >= 50 THEN 1 ELSE 0 END) * months) AS BIGINT) AS base, CAST(sum(cents) AS BIGINT) AS gr FROM b GROUP BY event_id),
+        f AS (SELECT unnest({_FEES}) AS f), h AS (SELECT unnest({_GRANTS}) AS h), x AS (SELECT unnest({_FIXED}) AS x)
+        SELECT event_id, service, mixed, NOT mixed AND f IS NULL AND h IS NULL AND x IS NULL AS uncovered, base / 100 AS pension_base, gr / 100 AS grant_sum,
           CASE WHEN f IS NOT NULL THEN ({_half_even('base * f.w')} + 96100 + CASE WHEN base < 60 * 144000 THEN 96100 ELSE 0 END) / 100
-               WHEN h IS NOT NULL THEN ({_half_even('gr * h.w')} + 96100) / 100 END AS cap_with_fee,
-          CASE WHEN f IS NOT NULL THEN ({_half_even('base * f.o')}) / 100 WHEN h IS NOT NULL THEN ({_half_even('gr * h.o')}) / 100 END AS cap_without_fee
-        FROM s LEFT JOIN f ON f.s = service LEFT JOIN h ON h.s = service""",
+               WHEN h IS NOT NULL THEN ({_half_even('gr * h.w')} + 96100) / 100 WHEN x IS NOT NULL THEN x.a / 100 END AS cap_with_fee,
+          CASE WHEN f IS NOT NULL THEN ({_half_even('base * f.o')}) / 100 WHEN h IS NOT NULL THEN ({_half_even('gr * h.o')}) / 100 WHEN x IS NOT NULL THEN x.a / 100 END AS cap_without_fee
+        FROM s LEFT JOIN f ON f.s = service LEFT JOIN h ON h.s = service LEFT JOIN x ON x.s = service""",
 }

@@ -29,7 +29,7 @@ def _questionnaires(spark: SparkSession, d: str) -> DataFrame:
     questions = F.transform(lines_of(F.col("text")), question)
     chapter = lambda name, part: F.struct(F.lit(name).alias("id"), F.lit(name).alias("he"), F.lit(name).alias("en"), part.alias("questions"))
     early = F.slice(questions, 1, 20)
-    late = F.slice(questions, 21, 1 << 20)
+    late = F.slice(questions, F.lit(21), F.greatest(F.lit(1), F.size(questions)))
     chapters = F.array(chapter("s1", early), chapter("zz_completion", late))
     return table(spark, d, "documents").select(F.col("doc_id").alias("form_id"), F.to_json(chapters).alias("schema_json"))
 

@@ -41,7 +41,7 @@ def j2_reference_validity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyed_versions(spark: SparkSession, d: str) -> DataFrame:
-    v = inputs.versions(spark, d, ascii_only=True)
+    v = inputs.versions(spark, d)
     return v.select("pair_id", "side", F.col("pos").alias("row"), comparison_key(F.col("text")).alias("text"))
 
 
@@ -90,7 +90,7 @@ def _page_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def j6_entity_spans(spark: SparkSession, d: str) -> DataFrame:
     wanted = entities.propagated(_page_entities(spark, d))
-    hits = entities.locate(wanted, _lines_with_words(spark, d), fuzzy=False)
+    hits = entities.locate(wanted, _lines_with_words(spark, d), metric="edit")
     return hits.groupBy("doc_key").agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("left").cast("long")).alias("left_sum"), F.sum(F.col("width").cast("long")).alias("width_sum"))
 
 
@@ -104,9 +104,12 @@ def j7_propagation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j8_unmapped(spark: SparkSession, d: str) -> DataFrame:
-    intended = _page_entities(spark, d).select("doc_key", F.col("text").alias("value"))
-    placed = inputs.words(spark, d).select("doc_key", F.col("text").alias("value"))
-    return entities.unmapped(intended, placed)
+    """Every value of a page is intended as it is and with a word that stands nowhere."""
+    seen = _page_entities(spark, d)
+    plan = entities.locate(entities.propagated(seen), _lines_with_words(spark, d), fuzzy=False)
+    return entities.unmapped(seen.select("doc_key", F.col("text").alias("value")).unionByName(
+        seen.select("doc_key", F.concat("text", F.lit(" qqqq")).alias("value"))
+    ), plan)
 
 
 def _plan_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +142,7 @@ def j10_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j11_two_sources(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.format_string("C-%06d", "o_custkey").alias("number"))
+    a = table(spark, d, "orders").select(F.format_string("C-%06d", "o_custkey").alias("number"))
     b = table(spark, d, "events").select(F.format_string("Customer#%09d", "user_id").alias("number"))
     a = a.withColumn("number", F.translate("number", "-", ""))
     return matching.two_sources(a, b, "number")
@@ -210,7 +213,7 @@ def _bills(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def j17_order_comparison(spark: SparkSession, d: str) -> DataFrame:
     found = rulebooks.compare_with_order(*_bills(spark, d))
-    return found.select("municipality", "year", "component", "finding", *[F.col(c).cast("double").alias(c) for c in ("applied", "claimed", "ordered", "gap")])
+    return found.select("municipality", "year", "component", "finding", "claim", *[F.col(c).cast("double").alias(c) for c in ("applied", "claimed", "ordered", "gap")])
 
 
 def j18_page_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -323,10 +326,10 @@ ORACLE = {
         WITH {_REFS} SELECT conv_id, count(*) FILTER (side = 'orphaned') AS orphaned, count(*) FILTER (side = 'missing') AS missing,
                bool_and(side = 'matched') AS is_valid FROM sides GROUP BY conv_id""",
     "j3_best_match": f"""
-        WITH {inputs.versions_sql(True)},
+        WITH {inputs.versions_sql()},
         t AS (SELECT pair_id, text, min(pos) AS pos FROM new GROUP BY ALL),
         e AS (SELECT o.pair_id, o.pos, o.text, t.pos AS same FROM old o LEFT JOIN t ON o.pair_id = t.pair_id AND o.text = t.text),
-        s AS (SELECT e.pair_id, e.pos, t.pos AS other, 1 - levenshtein(e.text, t.text) / greatest(length(e.text), length(t.text)) AS score
+        s AS (SELECT e.pair_id, e.pos, t.pos AS other, 1 - levenshtein({inputs.one_byte('e.text')}, {inputs.one_byte('t.text')}) / greatest(length(e.text), length(t.text)) AS score
               FROM e JOIN t ON e.pair_id = t.pair_id WHERE e.same IS NULL AND least(length(e.text), length(t.text)) >= 0.79 * greatest(length(e.text), length(t.text))),
         b AS (SELECT pair_id, pos, max(score) AS score, arg_min(other, (-score, other)) AS other FROM s WHERE score >= 0.8::DOUBLE GROUP BY ALL)
         SELECT e.pair_id, CAST(e.pos AS INTEGER) AS row, CAST(coalesce(e.same, b.other) AS INTEGER) AS other,
@@ -360,8 +363,15 @@ ORACLE = {
         r AS (SELECT doc_key, line, p, "left", list_max(rs[1:m]) - "left" AS width, m, array_to_string(ks[1:m], '') AS f,
                      array_to_string(list_reverse(ks[1:m]), '') AS b
               FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS m FROM a)),
-        h AS (SELECT r.doc_key, line, p, p + m - 1 AS q, "left", width, e.k FROM r JOIN e ON e.doc_key = r.doc_key AND e.k = r.f
+        h0 AS (SELECT r.doc_key, line, p, p + m - 1 AS q, "left", width, e.k FROM r JOIN e ON e.doc_key = r.doc_key AND e.k = r.f
               UNION SELECT r.doc_key, line, p, p + m - 1, "left", width, e.k FROM r JOIN e ON e.doc_key = r.doc_key AND e.k = r.b),
+        x AS (SELECT DISTINCT doc_key, line, k FROM h0),
+        n AS (SELECT r.doc_key, r.line, p, p + m - 1 AS q, "left", width, e.k, r.f, r.b FROM r JOIN e ON e.doc_key = r.doc_key
+                   AND least(length(r.f), length(e.k)) >= floor(greatest(length(r.f), length(e.k)) * 0.82::DOUBLE)
+              ANTI JOIN x ON x.doc_key = r.doc_key AND x.line = r.line AND x.k = e.k),
+        h AS (SELECT * FROM h0 UNION SELECT doc_key, line, p, q, "left", width, k FROM n
+              WHERE 1 - levenshtein({inputs.one_byte('f')}, {inputs.one_byte('k')}) / greatest(length(f), length(k)) >= 0.82::DOUBLE
+                 OR 1 - levenshtein({inputs.one_byte('b')}, {inputs.one_byte('k')}) / greatest(length(b), length(k)) >= 0.82::DOUBLE),
         s AS (SELECT doc_key, line, k, p, min(q) AS q, arg_min("left", q) AS "left", arg_min(width, q) AS width FROM h GROUP BY ALL),
         g AS (
           SELECT doc_key, line, k, min(p) AS p, arg_min(q, p) AS q, arg_min("left", p) AS "left", arg_min(width, p) AS width FROM s GROUP BY doc_key, line, k
@@ -378,8 +388,8 @@ ORACLE = {
         WITH {inputs.WORDS},
         e AS (SELECT doc_key, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS value FROM lines WHERE len(string_split(text, ' ')) >= 2),
         k AS (SELECT doc_key, value, {SEARCH_KEY.format('value')} AS k FROM e),
-        w AS (SELECT DISTINCT doc_key, {SEARCH_KEY.format('text')} AS k FROM words)
-        SELECT doc_key, min(value) AS value FROM k WHERE length(k) >= 4 AND NOT EXISTS (SELECT 1 FROM w WHERE w.doc_key = k.doc_key AND w.k = k.k)
+        a AS (SELECT * FROM k UNION ALL SELECT doc_key, value || ' qqqq', k || 'qqqq' FROM k)
+        SELECT doc_key, min(value) AS value FROM a WHERE length(k) >= 4 AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_key = a.doc_key AND k.k = a.k AND length(k.k) >= 4)
         GROUP BY doc_key, k""",
     "j9_overlaps": f"""
         WITH {inputs.WORDS}, {_BOXES}
@@ -390,7 +400,7 @@ ORACLE = {
         SELECT rel_path, CASE WHEN n NOT IN (SELECT n FROM r) THEN 'no file of this size' ELSE 'content differs' END AS reason
         FROM s WHERE doc_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.n = s.n AND r.t = s.text)""",
     "j11_two_sources": """
-        WITH a AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS k FROM orders WHERE o_orderpriority = '1-URGENT'),
+        WITH a AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS k FROM orders),
         b AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS k FROM events)
         SELECT coalesce(a.k, b.k) AS case_key, CASE WHEN b.k IS NULL THEN 'only A' WHEN a.k IS NULL THEN 'only B' ELSE 'both' END AS provenance
         FROM a FULL JOIN b ON a.k = b.k""",
@@ -404,7 +414,7 @@ ORACLE = {
           SELECT case_id, case_id AS here, 0 AS depth, '' AS path FROM cases
           UNION ALL
           SELECT w.case_id, c.parent_id, w.depth + 1, c.subject || CASE WHEN w.path = '' THEN '' ELSE '/' || w.path END
-          FROM w JOIN cases c ON c.case_id = w.here WHERE c.parent_id IS NOT NULL AND w.depth < 12)
+          FROM w JOIN cases c ON c.case_id = w.here WHERE c.kind = 77 AND c.parent_id IN (SELECT case_id FROM cases) AND w.depth < 12)
         SELECT case_id, arg_max(here, depth) AS root_id, max(depth) AS depth, arg_max(path, depth) AS path FROM w GROUP BY case_id""",
     "j14_children": f"WITH {inputs.CASES} SELECT parent_id AS case_id, count(*) AS n_children FROM cases WHERE parent_id IS NOT NULL GROUP BY parent_id",
     "j15_status_list": """
@@ -433,6 +443,7 @@ ORACLE = {
                CASE WHEN ordered IS NOT NULL THEN CASE WHEN applied = ordered THEN 'as ordered' ELSE 'differs' END
                     WHEN EXISTS (SELECT 1 FROM r x WHERE x.municipality = b.municipality AND x.component = b.component) THEN 'only other years'
                     ELSE 'order missing' END AS finding,
+               CASE WHEN claimed IS NULL THEN 'not claimed' WHEN ordered IS NULL THEN 'not checkable' WHEN claimed = ordered THEN 'as ordered' ELSE 'differs' END AS claim,
                CAST(applied AS DOUBLE) AS applied, CAST(claimed AS DOUBLE) AS claimed, CAST(ordered AS DOUBLE) AS ordered, CAST(applied - ordered AS DOUBLE) AS gap
         FROM b LEFT JOIN r ON b.municipality = r.municipality AND b.year = r.year AND b.component = r.component""",
     "j18_page_ranges": f"""

@@ -13,6 +13,7 @@ from docketry.catalog.predicates import _detections
 from docketry.catalog.text import LATIN_REFERENCES
 from docketry.catalog.windows import BLOCKS, MARKERS, plain_opening
 from docketry.functions import patterns
+from docketry.functions.arrays import lines_of
 from docketry.operators import holdings, quality
 from docketry.plans import folders, masking, ocr, preservation, statutes
 from docketry.sources.tables import table
@@ -21,7 +22,7 @@ CONNECTORS = ["In addition,", "However,"]
 
 
 def _findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    v = inputs.versions(spark, d, ascii_only=True)
+    v = inputs.versions(spark, d)
     found = preservation.preservation_findings(
         v, metric="edit", patterns=LATIN_REFERENCES, markers=[m.strip() for m in MARKERS], connectors=CONNECTORS, compatibility=False
     )
@@ -38,14 +39,23 @@ def q1_preservation_status(spark: SparkSession, d: str) -> DataFrame:
     return quality.overall_status(found, v, "pair_id")
 
 
+def q1_preservation_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The default metric; only pairs that pass the edit-distance bound reach it."""
+    found = preservation.preservation_findings(
+        inputs.versions(spark, d), patterns=LATIN_REFERENCES, markers=[m.strip() for m in MARKERS], connectors=CONNECTORS
+    )
+    return found.groupBy("pair_id", "check", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _masking(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """First words of lines as names, e-mail addresses as accounts; pattern detectors on top."""
     emails = _detections(spark, d).filter("category = 'EMAIL'").select(
         "doc_key", (F.floor(F.col("pos") / 40) + 1).cast("int").alias("page"), F.col("value").alias("text"), F.lit("account").alias("type")
     )
-    ents = _page_entities(spark, d).filter(F.length("text") >= 16).unionByName(emails)
+    ents = _page_entities(spark, d).unionByName(emails)
+    manifest = table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"))
     return masking.masking_run(
-        inputs.words(spark, d), ents, detectors=patterns.LATIN_DETECTORS, allowed=["License", *fv.PUBLIC_ALLOW_LIST],
+        inputs.words(spark, d), ents, manifest, detectors=patterns.LATIN_DETECTORS, allowed=["License", *fv.PUBLIC_ALLOW_LIST],
         metric="edit", national_ids=False,
     )
 
@@ -81,9 +91,18 @@ def q3_folder_integrity(spark: SparkSession, d: str) -> DataFrame:
     return folders.folder_findings(*_folders(spark, d), summary_part="summary")
 
 
+def joined_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Forty lines of a document as one page, cut inside the document's row."""
+    texts = lines_of(F.col("text"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(texts) - 1) / 40).cast("int"))
+    cut = F.transform(
+        numbers, lambda p: F.struct((p + 1).alias("page"), F.array_join(F.slice(texts, p * 40 + 1, F.lit(40)), "\n").alias("text"))
+    )
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), F.explode(cut).alias("p")).select("doc_key", "p.*")
+
+
 def q4_ocr_report(spark: SparkSession, d: str) -> DataFrame:
-    pages = inputs.lines(spark, d).select("doc_key", (F.floor(F.col("pos") / 40) + 1).cast("int").alias("page"), "text")
-    joined = pages.groupBy("doc_key", "page").agg(F.max(F.struct(F.length("text"), "text")).alias("m")).select("doc_key", "page", "m.text")
+    joined = joined_pages(spark, d)
     report = ocr.ocr_report(_manifest(spark, d), joined, inputs.words(spark, d))
     return report.select("doc_key", "mean_confidence", "low_pages", "status", "pages", "kind", "engine", F.array_join("reasons", ",").alias("reasons"))
 
@@ -105,14 +124,13 @@ def q5_table_of_contents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q6_authority_pack(spark: SparkSession, d: str) -> DataFrame:
-    tiers = spark.createDataFrame([*fv.AUTHORITY_TIERS, (4, "withdrawn")], "tier int, tier_name string")
-    return holdings.authority_pack(inputs.holdings(spark, d), tiers)
+    return holdings.authority_pack(inputs.holdings(spark, d), [*fv.AUTHORITY_TIERS, (4, "withdrawn")])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        q1_preservation_findings, q1_preservation_status, q2_masking_plan, q2_masking_summary, q3_folder_integrity, q4_ocr_report,
+        q1_preservation_findings, q1_preservation_status, q1_preservation_blocks, q2_masking_plan, q2_masking_summary, q3_folder_integrity, q4_ocr_report,
         q5_statute_sections, q5_table_of_contents, q6_authority_pack,
     )
 }
@@ -122,7 +140,7 @@ def _best_sql(name: str, left: str, right: str) -> str:
     return f"""
 {name}_t AS (SELECT pair_id, text, min(pos) AS pos FROM {right} GROUP BY ALL),
 {name}_e AS (SELECT o.pair_id, o.pos, o.text, t.pos AS same FROM {left} o LEFT JOIN {name}_t t ON o.pair_id = t.pair_id AND o.text = t.text),
-{name}_s AS (SELECT e.pair_id, e.pos, t.pos AS other, 1 - levenshtein(e.text, t.text) / greatest(length(e.text), length(t.text)) AS score
+{name}_s AS (SELECT e.pair_id, e.pos, t.pos AS other, 1 - levenshtein({inputs.one_byte('e.text')}, {inputs.one_byte('t.text')}) / greatest(length(e.text), length(t.text)) AS score
      FROM {name}_e e JOIN {name}_t t ON e.pair_id = t.pair_id
      WHERE e.same IS NULL AND least(length(e.text), length(t.text)) >= 0.79 * greatest(length(e.text), length(t.text))),
 {name}_b AS (SELECT pair_id, pos, max(score) AS score, arg_min(other, (-score, other)) AS other FROM {name}_s WHERE score >= 0.8::DOUBLE GROUP BY ALL),
@@ -136,15 +154,14 @@ def _refs_sql(side: str) -> str:
 
 def _tail_sql(side: str) -> str:
     starts = " OR ".join(f"starts_with(text, '{m.strip()}')" for m in MARKERS)
-    return f"""SELECT t.pair_id, t.pos - f AS at_pos, t.text FROM {side} t
-               JOIN (SELECT pair_id, min(pos) AS f FROM {side} WHERE {starts} GROUP BY pair_id) m ON t.pair_id = m.pair_id AND t.pos >= f"""
+    return f"""SELECT t.pair_id, string_agg(t.text, ' ' ORDER BY t.pos) AS tail FROM {side} t
+               JOIN (SELECT pair_id, min(pos) AS f FROM {side} WHERE {starts} GROUP BY pair_id) m ON t.pair_id = m.pair_id AND t.pos >= f GROUP BY t.pair_id"""
 
 
-_FINDINGS = inputs.versions_sql(True) + "," + _best_sql("fw", "old", "new") + "," + _best_sql("bw", "new", "old") + f""",
+_FINDINGS = inputs.versions_sql() + "," + _best_sql("fw", "old", "new") + "," + _best_sql("bw", "new", "old") + f""",
 matched AS (SELECT fw.*, n.text AS partner FROM fw LEFT JOIN new n ON n.pair_id = fw.pair_id AND n.pos = fw.other),
 ro AS ({_refs_sql('old')}), rn AS ({_refs_sql('new')}), po AS ({_tail_sql('old')}), pn AS ({_tail_sql('new')}),
-tails AS (SELECT coalesce(po.pair_id, pn.pair_id) AS pair_id, bool_or(po.text IS DISTINCT FROM pn.text) AS differs
-          FROM po FULL JOIN pn ON po.pair_id = pn.pair_id AND po.at_pos = pn.at_pos GROUP BY ALL),
+tails AS (SELECT coalesce(po.pair_id, pn.pair_id) AS pair_id, po.tail IS DISTINCT FROM pn.tail AS differs FROM po FULL JOIN pn ON po.pair_id = pn.pair_id),
 added AS (SELECT pair_id, CASE WHEN ends_with(partner, text) AND length(partner) > length(text) THEN trim(left(partner, length(partner) - length(text)))
                   WHEN length(text) >= 40 AND instr(partner, left(text, 40)) > 1 THEN trim(left(partner, instr(partner, left(text, 40)) - 1)) END AS a
           FROM matched WHERE score < 0.999),
@@ -177,7 +194,7 @@ ORACLE = {
         UNION ALL SELECT '4-summary', 'RED', 'summary', 'summary document not found'""",
     "q4_ocr_report": rf"""
         WITH {REPORT.replace("doc_key % 10 <> 1", "true").replace("confidence < 49", "confidence < 75")},
-        pg AS (SELECT doc_key, pos // 40 + 1 AS page, arg_max(text, (length(text), text)) AS text FROM lines GROUP BY ALL),
+        pg AS (SELECT doc_key, pos // 40 + 1 AS page, string_agg(text, chr(10) ORDER BY pos) AS text FROM lines GROUP BY ALL),
         l AS (SELECT doc_key, count(*) AS n, count(*) FILTER (length(trim(text)) >= 20) AS w, sum(length(text)) + 2 * (count(*) - 1) AS chars,
                      sum(length(regexp_replace(text, '[^\x{{0590}}-\x{{05FF}}A-Za-z0-9\s.,;:!?()\[\]{{}}\-–"''/\\%&@#*+=°₪$]', '', 'g'))) + 2 * (count(*) - 1) AS valid FROM pg GROUP BY doc_key),
         c AS (SELECT doc_key, round_even(avg(conf), 1) AS m FROM words WHERE conf >= 0 GROUP BY doc_key),

@@ -55,6 +55,25 @@ def x2_applied_tokens(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("token", "issued")
 
 
+def x2_applies_with_previews(spark: SparkSession, d: str) -> DataFrame:
+    """Every apply as a stream row, with its preview or without.
+
+    Rows without one come out once no preview can follow, so a last row long
+    after all others ends the wait and is left out again.
+    """
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    parts = []
+    for name, rows, ends in (("previews", _previews(events), {"token": ""}), ("applies", _applies(events), {"token": "", "apply_id": -1})):
+        path = scratch_path(spark, name)
+        rows.write.parquet(path)
+        last = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"))
+        last.select(*[F.lit(ends[c]).cast(rows.schema[c].dataType).alias(c) if c in ends else F.col(c) for c in rows.columns]).write.mode("append").parquet(path)
+        parts.append(spark.readStream.schema(rows.schema).parquet(path))
+    out = scratch_path(spark, "applies-with-previews")
+    drops.drain(approvals.applies_with_previews(*parts), out, scratch_path(spark, "applies-progress"))
+    return spark.read.parquet(out).filter("token <> ''").select("apply_id", "token", "issued")
+
+
 def x3_confirm_outcomes(spark: SparkSession, d: str) -> DataFrame:
     _, issued, confirms = reading_tables(spark, d)
     return ledger.judged_confirms(issued, confirms).select("confirm_id", "code_a", "outcome")
@@ -80,14 +99,14 @@ def x4_log_stream(spark: SparkSession, d: str) -> DataFrame:
     entries = _log_entries(spark, d)
     sinks.append_log(entries.filter("applied"), log)
     sinks.append_log(entries.filter("not applied"), log)
-    out = scratch_path(spark, "runs-per-day")
-    drops.drain(logs.runs_per_day(logs.log_stream(spark, log)), out, scratch_path(spark, "runs-per-day-progress"))
-    return spark.read.parquet(out)
+    out = scratch_path(spark, "landed-log")
+    drops.drain(logs.log_stream(spark, log), out, scratch_path(spark, "landed-log-progress"))
+    return logs.runs_per_day(spark.read.parquet(out))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (x1_file_drop, x2_apply_outcomes, x2_applied_tokens, x3_confirm_outcomes, x3_recorded_confirms, x4_log_stream)
+    for f in (x1_file_drop, x2_apply_outcomes, x2_applied_tokens, x2_applies_with_previews, x3_confirm_outcomes, x3_recorded_confirms, x4_log_stream)
 }
 
 _TOKENS = """
@@ -105,6 +124,8 @@ ORACLE = {
         WITH {_TOKENS} SELECT apply_id, token, CASE WHEN issued IS NULL OR r > 1 THEN 'unknown or used'
                WHEN ts <= issued + INTERVAL 15 MINUTE THEN 'applied' ELSE 'expired' END AS outcome FROM j""",
     "x2_applied_tokens": f"WITH {_TOKENS} SELECT token, issued FROM j WHERE r = 1 AND issued IS NOT NULL AND ts <= issued + INTERVAL 15 MINUTE",
+    "x2_applies_with_previews": f"""
+        WITH {_TOKENS} SELECT a.apply_id, a.token, p.ts AS issued FROM a LEFT JOIN p ON a.token = p.token AND a.ts >= p.ts AND a.ts <= p.ts + INTERVAL 15 MINUTE""",
     "x3_confirm_outcomes": f"""
         WITH {READING}, r AS (SELECT *, row_number() OVER (PARTITION BY code_a, code_b ORDER BY ts, confirm_id) AS r FROM confirms)
         SELECT confirm_id, r.code_a, CASE WHEN NOT EXISTS (SELECT 1 FROM issued i WHERE i.code_a = r.code_a AND i.code_b = r.code_b) THEN 'mismatch'
@@ -117,5 +138,5 @@ ORACLE = {
     "x4_log_stream": """
         WITH g AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type AS action, count(*) AS runs, count(*) FILTER (value > 50) AS applied
                    FROM events GROUP BY ALL)
-        SELECT * FROM g WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+        SELECT * FROM g""",
 }

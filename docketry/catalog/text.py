@@ -138,7 +138,7 @@ def f16_event_rows(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("int").alias("end_minutes"),
         F.when(F.col("event_id") % 2 == 0, F.col("value").cast("decimal(18,2)")).alias("amount"),
     )
-    rows = cases.event_rows(requests, cases.event_templates(spark), cases.group_templates(spark), "17")
+    rows = cases.event_rows(requests, "17", F.lit(615))
     return rows.withColumn("bill_sum", F.col("bill_sum").cast("double"))
 
 
@@ -171,7 +171,26 @@ LANGUAGE_RULES = {
 
 def f20_document_class(spark: SparkSession, d: str) -> DataFrame:
     scores = rules.rule_scores(F.col("text"), LANGUAGE_RULES)
-    return table(spark, d, "documents").select("doc_id", rules.best_class(scores).alias("label"))
+    return table(spark, d, "documents").select(
+        "doc_id", rules.best_class(scores).alias("label"), rules.class_state(scores).alias("state"),
+        rules.target_folder(rules.best_class(scores), LANGUAGE_FOLDERS).alias("folder"),
+    )
+
+
+LANGUAGE_FOLDERS = {"english": "01", "french": "02", "german": "03"}
+
+
+def f20_case_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed class tables on texts into which the signature phrases of a class are written."""
+    classes = list(fv.DOCUMENT_CLASSES)
+    phrase = F.element_at(F.array(*[F.lit(fv.DOCUMENT_CLASSES[c][0]) for c in classes]), (F.col("doc_id") % len(classes) + 1).cast("int"))
+    second = F.when(F.col("doc_id") % 5 == 0, F.lit(fv.DOCUMENT_CLASSES[classes[0]][0])).otherwise(F.lit(""))
+    written = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat_ws(" ", phrase, "text", second))
+    scores = rules.rule_scores(written, {c: {p: 1 for p in phrases} for c, phrases in fv.DOCUMENT_CLASSES.items()})
+    label = rules.best_class(scores)
+    return table(spark, d, "documents").select(
+        "doc_id", label.alias("label"), rules.class_state(scores).alias("state"), rules.target_folder(label, fv.CLASS_FOLDERS).alias("folder")
+    )
 
 
 COURTS = ["tionth", "eaux"]
@@ -180,7 +199,11 @@ COURTS = ["tionth", "eaux"]
 def f23_question_lint(spark: SparkSession, d: str) -> DataFrame:
     asked = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
     broken = rules.question_violations(asked, (F.col("turn") % 14).cast("int"), COURTS)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(broken, ",").alias("violations"))
+    plan = rules.question_plan((F.col("turn") % 14).cast("int"))
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", F.array_join(broken, ",").alias("violations"),
+        (plan["case_law"] + plan["statutes"] + plan["literature"]).alias("passages"), plan["analyse"].alias("analyse"),
+    )
 
 
 PLANTED = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License."]
@@ -207,7 +230,7 @@ QUERIES = {
         f1_search_key, f2_comparison_key, f3_similarity, f4_section_numbers, f5_check_digits, f6_detectors, f7_quotes,
         f8_references, f9_masking, f10_leading_additions, f11_appendix_references, f12_appendix_labels, f13_path_reroot,
         f14_clean_titles, f15_dates, f16_event_rows, f17_valid_characters, f18_markup_text, f19_first_rule,
-        f20_document_class, f23_question_lint, f28_planted_text, f30_word_drift,
+        f20_document_class, f20_case_documents, f23_question_lint, f28_planted_text, f30_word_drift,
     )
 }
 
@@ -306,9 +329,9 @@ ORACLE = {
                           CASE WHEN event_id % 4 > 0 THEN hour(ts) * 60 + minute(ts) END AS s,
                           CASE WHEN event_id % 2 = 0 THEN CAST(value AS DECIMAL(18,2)) ELSE 250.00 END AS amount FROM events),
         t AS (SELECT *, {_EVENT_TYPE} AS row_type, {_event_value(1)} AS product, {_event_value(2)} AS colour, {_event_value(3)} AS alarm FROM r),
-        u AS (SELECT *, coalesce(s, CASE row_type WHEN 'cal' THEN 540 WHEN 'task' THEN 480 END) AS st FROM t)
+        u AS (SELECT *, coalesce(s, CASE row_type WHEN 'cal' THEN 540 WHEN 'task' THEN 480 WHEN 'call' THEN 615 END) AS st FROM t)
         SELECT event_id AS request_id, kind, row_type, day,
-               CAST(CASE WHEN row_type IN ('cal', 'task', 'call') THEN st END AS INTEGER) AS start_minutes,
+               CAST(CASE WHEN row_type IN ('cal', 'task', 'call') THEN st WHEN row_type = 'damage' THEN 615 END AS INTEGER) AS start_minutes,
                CAST(CASE WHEN row_type = 'cal' THEN st + 30 END AS INTEGER) AS end_minutes,
                CAST(CASE WHEN row_type IN ('cal', 'task', 'call') AND alarm > 0 THEN st - alarm END AS INTEGER) AS alarm_minutes,
                product, colour, row_type = 'cal' AS has_basket_row,
@@ -336,15 +359,31 @@ ORACLE = {
     + " + ".join(f"CAST({n} = top AS INTEGER)" for n in _SCORES)
     + " > 1 THEN 'unknown' "
     + " ".join(f"WHEN {n} = top THEN '{n}'" for n in _SCORES)
-    + " END AS label FROM m",
+    + " END AS label, CASE WHEN top = 0 THEN 'no hit' WHEN "
+    + " + ".join(f"CAST({n} = top AS INTEGER)" for n in _SCORES)
+    + " > 1 THEN 'conflict' ELSE 'found' END AS state, CASE WHEN top = 0 OR "
+    + " + ".join(f"CAST({n} = top AS INTEGER)" for n in _SCORES)
+    + " > 1 THEN NULL "
+    + " ".join(f"WHEN {n} = top THEN '{f}'" for n, f in LANGUAGE_FOLDERS.items())
+    + " END AS folder FROM m",
+    "f20_case_documents": f"""
+        WITH k AS (SELECT doc_id, doc_id % {len(fv.DOCUMENT_CLASSES)} AS c FROM documents)
+        SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' WHEN doc_id % 5 = 0 AND c <> 0 THEN 'unknown'
+                            ELSE ({inputs.sql_list(list(fv.DOCUMENT_CLASSES))})[CAST(c + 1 AS INTEGER)] END AS label,
+               CASE WHEN doc_id % 7 = 0 THEN 'no hit' WHEN doc_id % 5 = 0 AND c <> 0 THEN 'conflict' ELSE 'found' END AS state,
+               CASE WHEN doc_id % 7 = 0 OR (doc_id % 5 = 0 AND c <> 0) THEN NULL
+                    ELSE ({inputs.sql_list([fv.CLASS_FOLDERS[c] for c in fv.DOCUMENT_CLASSES])})[CAST(c + 1 AS INTEGER)] END AS folder FROM k""",
     "f23_question_lint": """
         WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || '?' ELSE text END AS q FROM conversations)
         SELECT conv_id, turn, array_to_string(list_filter([
             CASE WHEN length(q) > 200 THEN 'too_long' END, CASE WHEN NOT ends_with(rtrim(q), '?') THEN 'no_question_mark' END,
             CASE WHEN regexp_matches(q, '[0-9]') THEN 'has_digits' END,
-            CASE WHEN contains(q, 'tionth') OR contains(q, 'eaux') THEN 'names_court' END,
+            CASE WHEN turn % 14 <> 1 AND (contains(q, 'tionth') OR contains(q, 'eaux')) THEN 'names_court' END,
             CASE WHEN length(q) - length(replace(q, '?', '')) > 1 THEN 'more_than_one' END,
-            CASE WHEN turn % 14 NOT BETWEEN 1 AND 12 THEN 'unknown_template' END], lambda v: v IS NOT NULL), ',') AS violations FROM q""",
+            CASE WHEN turn % 14 NOT BETWEEN 1 AND 12 THEN 'unknown_template' END], lambda v: v IS NOT NULL), ',') AS violations,
+          """
+    + "CASE turn % 14 " + " ".join(f"WHEN {k} THEN {a + b + c}" for k, (a, b, c, _, _) in fv.QUESTION_TEMPLATES.items()) + " END AS passages, "
+    + "CASE turn % 14 " + " ".join(f"WHEN {k} THEN {str(x).lower()}" for k, (_, _, _, x, _) in fv.QUESTION_TEMPLATES.items()) + " END AS analyse FROM q",
     "f28_planted_text": r"""
         WITH p AS (SELECT doc_id, (length(text) - length(replace(text, 'Licensed under the Apache License, Version 2.0.', '')))
                             // length('Licensed under the Apache License, Version 2.0.')

@@ -38,7 +38,7 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w2_heading_context(spark: SparkSession, d: str) -> DataFrame:
-    sections = structure.with_context(_blocks(spark, d), "doc_id", (2, 3, 4))
+    sections = structure.sections_in_context(table(spark, d, "documents"), "doc_id", "text", plain_opening, (2, 3, 4))
     return sections.select("doc_id", "pos", F.array_join("context", " > ").alias("context"))
 
 
@@ -56,6 +56,7 @@ def w4_scattered_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w5_number_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers to be written as ranges are those of a document's short lines."""
     short = inputs.lines(spark, d).filter(F.length("text") < 120)
     return ordered.ranges(short.select("doc_key", (F.col("pos") + 1).alias("n")), ["doc_key"], "n")
 
@@ -96,13 +97,24 @@ def _case_pointers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+STAGE_MODELS = {
+    22: [("view", "opened"), ("click", "heard"), ("purchase", "decided")],
+    24: [("view", "opened"), ("signup", "registered"), ("error", "returned")],
+}
+
+
+def w9_stage_catalog(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("case_id") % 3 == 0, 22).when(F.col("case_id") % 3 == 1, 24).otherwise(99)
+    return cases.stage_catalog(_case_pointers(spark, d).withColumn("kind", kind), inputs.flow(spark, d), STAGE_MODELS)
+
+
 def w9_pointer_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return cases.stage_pointer_mismatches(_case_pointers(spark, d), inputs.flow(spark, d))
 
 
 def _new_cases(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").filter("event_type = 'signup'").select(F.col("event_id").alias("request_id"), "user_id", "ts")
-    return cases.number_new_cases(e, inputs.cases(spark, d), F.floor(F.col("request_id") / 1000), [F.col("request_id")])
+    return cases.number_new_cases(e, inputs.cases(spark, d), [F.col("request_id")])
 
 
 def w10_case_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +231,7 @@ def d6_stage_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def d7_append_absent(spark: SparkSession, d: str) -> DataFrame:
     target = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    more = table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"))
+    more = table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"))
     return changes.append_absent(target, more, ["c_custkey"])
 
 
@@ -227,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         w1_printed_lines, w2_heading_context, w3_section_bodies, w4_scattered_terms, w5_number_ranges, w6_bundle_layout, w7_instruction_blocks,
-        w8_operative_tail, w9_current_stage, w9_stage_durations, w9_pointer_mismatches, w10_case_numbers, w11_paragraph_numbers,
+        w8_operative_tail, w9_current_stage, w9_stage_durations, w9_stage_catalog, w9_pointer_mismatches, w10_case_numbers, w11_paragraph_numbers,
         t1_similar_names, t2_box_dedupe, t4_ordered_findings, t5_reading_order, t6_near_sections, t7_latest_revision,
         d1_reference_difference, d2_first_hits, d3_merged_citers, d4_detector_union, d5_template_keys, d6_stage_documents, d7_append_absent,
     )
@@ -316,6 +328,12 @@ ORACLE = {
     "w9_stage_durations": f"""
         WITH {inputs.FLOW} SELECT flow_id, case_id, node_id,
           CAST(floor(epoch(lead(change_date) OVER (PARTITION BY case_id ORDER BY change_date, flow_id))) AS BIGINT) - CAST(floor(epoch(change_date)) AS BIGINT) AS seconds FROM flow""",
+    "w9_stage_catalog": f"""
+        WITH {inputs.FLOW}, c AS (SELECT case_id, CASE case_id % 3 WHEN 0 THEN 22 WHEN 1 THEN 24 ELSE 99 END AS kind,
+                                         CASE WHEN case_id % 4 = 0 THEN min(flow_id) ELSE max(flow_id) END AS cur FROM flow GROUP BY case_id),
+        m AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{n}', '{t}')" for k, v in STAGE_MODELS.items() for n, t in v)}) v(kind, node_id, caption))
+        SELECT c.case_id, m.node_id, m.caption, m.node_id = f.node_id AS is_current
+        FROM c JOIN m ON m.kind = c.kind JOIN flow f ON f.flow_id = c.cur""",
     "w9_pointer_mismatches": f"""
         WITH {inputs.FLOW}, c AS (SELECT case_id, CASE WHEN case_id % 4 = 0 THEN min(flow_id) ELSE max(flow_id) END AS current_flow_id,
                                          arg_max(flow_id, (change_date, flow_id)) AS latest_flow_id FROM flow GROUP BY case_id)
@@ -332,6 +350,25 @@ ORACLE = {
     "t1_similar_names": f"""
         WITH {_SIM} SELECT p_name, CAST(k AS INTEGER) AS "rank", name, score
         FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, name) AS k FROM r WHERE score >= 0.5) WHERE k <= 5""",
+    "t2_box_dedupe": f"""
+        WITH RECURSIVE {inputs.WORDS},
+        a AS (SELECT doc_key, page, "left" AS l, top AS t, width AS w, height AS h, 'WORD' AS category FROM words
+              UNION ALL SELECT doc_key, page, "left" + 20, top, width - 30, 16, 'PLAN' FROM words WHERE length(text) >= 12),
+        u AS (SELECT doc_key, page, l, t, w, h, min(category) AS category FROM a GROUP BY ALL),
+        -- lines are 24 apart and boxes at most 20 high with their skew, so only boxes of one line can overlap
+        o AS (SELECT *, t // 24 AS band, row_number() OVER (PARTITION BY doc_key, page, t // 24 ORDER BY w * h DESC, l, t, h, w, category) AS r FROM u),
+        f AS (
+          SELECT doc_key, page, band, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(l BIGINT, t BIGINT, w BIGINT, h BIGINT, c VARCHAR)[]) AS kept
+          FROM (SELECT DISTINCT doc_key, page, band FROM o)
+          UNION ALL
+          SELECT f.doc_key, f.page, f.band, o.r,
+                 CASE WHEN len(list_filter(f.kept, lambda k:
+                        greatest(0, least(k.l + k.w, o.l + o.w) - greatest(k.l, o.l)) * greatest(0, least(k.t + k.h, o.t + o.h) - greatest(k.t, o.t))
+                        / least(k.w * k.h, o.w * o.h) > {fv.DEDUPE_OVERLAP})) > 0 THEN f.kept
+                      ELSE list_append(f.kept, {{'l': o.l, 't': o.t, 'w': o.w, 'h': o.h, 'c': o.category}}) END
+          FROM f JOIN o ON o.doc_key = f.doc_key AND o.page = f.page AND o.band = f.band AND o.r = f.r + 1),
+        k AS (SELECT doc_key, page, unnest(arg_max(kept, r)) AS b FROM f GROUP BY doc_key, page, band)
+        SELECT doc_key, CAST(page AS INTEGER) AS page, b.c AS category, count(*) AS kept FROM k GROUP BY ALL""",
     "t4_ordered_findings": f"""
         WITH {FINDINGS} SELECT doc_key, CAST(pos AS INTEGER) AS pos, "check", severity, CAST(list_position({inputs.sql_list(fv.SEVERITY_ORDER)}, severity) AS BIGINT) AS "rank" FROM findings""",
     "t5_reading_order": """
@@ -373,5 +410,5 @@ ORACLE = {
         UNION ALL SELECT case_id, document, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "d7_append_absent": """
         SELECT c_custkey, c_mktsegment FROM customer UNION ALL
-        SELECT DISTINCT o_custkey * 2, 'NEW' FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)""",
+        SELECT o_custkey * 2, min(o_orderpriority) FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey""",
 }
