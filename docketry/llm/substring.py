@@ -31,8 +31,8 @@ from docketry.llm.common import SPACE_PATTERN, Texts, mixed, span_hashes, texts,
 
 WINDOW = 50  # words
 RUN = 6  # words of the short runs a window's hash is chosen from
-CELLS_PER_HASH = 8  # cells of the sketch for each hash counted
-BLOCK_BITS = 18  # cells of a block, as a power of two
+CELLS_PER_HASH = 64  # cells of the sketch for each hash counted: one in so many is overestimated
+BLOCK_BITS = 21  # cells of a block, as a power of two
 SKETCH_HASHES = 1 << 21  # hashes after which a partition starts another sketch
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _NO_ID = (1 << 63) - 1  # stands for a null id, after all others
@@ -229,6 +229,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     gathered = suspects.select("doc_id", "t", "hashes").mapInArrow(gather, "one long, two long, low long, high long")
     shared = gathered.groupBy("one", "two").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("one", "two", "low")
+    shared = written(shared, "shared")  # else the join below would keep a hot window's places in the task that grouped it
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
