@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import SPACE_PATTERN, tasks_for, whole_runs, written
@@ -135,15 +135,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         plain.select("doc_id", "fp", F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "digest"
     )
     repeated = written(repeated_fingerprints(digest, "fp", digest.count()), "repeated")
-    suspects = plain.select("fp", "norm").join(repeated.hint("shuffle_hash"), "fp", "left_semi")
+    # ``repeated`` is a written table of true size: it is copied to the tasks while that is under the optimizer's limit
+    suspects = plain.select("fp", "norm").join(repeated, "fp", "left_semi")
     equal = (  # by bytes; a hash collision falls apart into groups of one
-        suspects.groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-        .select("fp", F.sha2("norm", 256).alias("sha"), "group_size")
+        # not grouped by fingerprint too: that would keep the rows of the join, and a hot text's copies, in one task
+        suspects.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+        .select(F.sha2("norm", 256).alias("sha"), "group_size")
     )
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    first = digest.join(repeated.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp", "sha").agg(F.min(order).alias("first"))
-    groups = written(equal.join(first, ["fp", "sha"]), "groups")
-    rows = digest.join(groups, ["fp", "sha"], "left")
+    first = digest.join(repeated, "fp", "left_semi").groupBy("sha").agg(F.min(order).alias("first"))
+    groups = written(equal.join(first, "sha"), "groups")
+    rows = digest.join(groups, "sha", "left")
     own = F.col("first").isNull()
     return rows.select(
         "doc_id",
@@ -158,9 +160,11 @@ def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col:
     """The rows of ``docs`` that stay, with their own columns; see ``exact_duplicates``."""
     out = docs.columns
     sha = F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACE_PATTERN, " "), 256)
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")
-    )
-    marked = docs.withColumns({"__sha": sha, "__id": docs[id_col].cast("long")})
-    same = (F.col("__sha") == F.col("__kept_sha")) & F.col("__id").eqNullSafe(F.col("__kept_id"))
-    return marked.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["__sha", "__id"]).select(*out)
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(_row_key(F.col("text_sha256"), F.col("doc_id")).alias("__key"))
+    marked = docs.withColumn("__key", _row_key(sha, docs[id_col].cast("long")))
+    # repeated rows share their key, so the partitions of the join tell them apart without another shuffle
+    return marked.join(kept.hint("shuffle_hash"), "__key", "left_semi").dropDuplicates(["__key"]).select(*out)
+
+
+def _row_key(sha: Column, doc_id: Column) -> Column:
+    return F.concat_ws(":", sha, F.coalesce(doc_id.cast("string"), F.lit("")))
