@@ -199,8 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their component, with their own columns.
 
-    Rows with a null id stay where their component has no id; of repeated rows all stay.
+    Rows without an id cannot be told apart by it and stay; of repeated rows all stay.
+    The ids that go are a written table of true size, copied to the tasks while that is
+    under the optimizer's limit and shuffled beyond it.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(kept.select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    gone = near_duplicates(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id"))
+    gone = written(gone.select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left_anti")
