@@ -204,7 +204,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     alone = profiles.join(long_firsts.hint("shuffle_hash"), ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id", "sha"])
     n_hashes = profiles.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     hot = repeated_hashes(alone, n_hashes // 8)
-    found = plain.join(hot.hint("shuffle_hash"), "doc_id").join(long_firsts.hint("shuffle_hash"), "doc_id")
+    asked = hot.join(long_firsts, "doc_id")  # small tables meet first, so the texts are dealt out once
+    found = plain.join(asked.hint("shuffle_hash"), "doc_id")
     own = F.sha2(F.trim(F.regexp_replace("t", SPACE_PATTERN, " ")), 256)  # rows may share an id but not the text
     suspects = written(found.where(F.col("sha") == own).withColumn("row", F.monotonically_increasing_id()), "suspects")
 
