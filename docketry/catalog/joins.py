@@ -64,6 +64,13 @@ def j4_quotes_in_source(spark: SparkSession, d: str) -> DataFrame:
     return matching.quotes_in_source(quotes, sources, "doc_key").select("doc_key", "pos", "found")
 
 
+def j4_quotes_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs as quotes: the same, slightly different or lost in the other version."""
+    v = inputs.versions(spark, d).select("pair_id", "side", F.col("pos").alias("row"), comparison_key(F.col("text")).alias("text"))
+    old, new = (v.filter(F.col("side") == side).drop("side") for side in ("original", "reordered"))
+    return matching.quotes_kept(old, new, ["pair_id"], fv.PARAGRAPH_MATCH_THRESHOLD, "edit").select("pair_id", "row", "state")
+
+
 def j5_residual_values(spark: SparkSession, d: str) -> DataFrame:
     """Mask every second detected value, then look for all of them."""
     found = _detections(spark, d).select("doc_key", "value").distinct()
@@ -278,7 +285,7 @@ def j22_files_present(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        j1_orphans, j2_reference_check, j2_reference_validity, j3_best_match, j4_quotes_in_source, j5_residual_values, j6_entity_spans,
+        j1_orphans, j2_reference_check, j2_reference_validity, j3_best_match, j4_quotes_in_source, j4_quotes_kept, j5_residual_values, j6_entity_spans,
         j7_propagation, j8_unmapped, j9_overlaps, j10_completeness, j11_two_sources, j12_citation_lint, j13_enrichment,
         j14_folder_chain, j14_children, j15_status_list, j16_claim_matrix, j16_stage_changes, j17_order_comparison, j18_page_ranges,
         j19_masked_words, j20_term_scan, j20_terms_not_found, j21_read_ledger, j22_files_present,
@@ -344,6 +351,15 @@ ORACLE = {
         SELECT doc_key, CAST(pos AS INTEGER) AS pos,
                len(list_filter(string_split(q, '...'), lambda g: length(trim(g)) > 0 AND NOT contains(s, trim(g)))) = 0 AS found
         FROM q JOIN s USING (doc_key)""",
+    "j4_quotes_kept": f"""
+        WITH {inputs.versions_sql()},
+        t AS (SELECT DISTINCT pair_id, text FROM new),
+        e AS (SELECT o.pair_id, o.pos, o.text, t.text IS NOT NULL AS same FROM old o LEFT JOIN t ON o.pair_id = t.pair_id AND o.text = t.text),
+        n AS (SELECT DISTINCT e.pair_id, e.pos FROM e JOIN t ON e.pair_id = t.pair_id
+              WHERE NOT e.same AND least(length(e.text), length(t.text)) >= 0.94 * greatest(length(e.text), length(t.text))
+                AND 1 - levenshtein({inputs.one_byte('e.text')}, {inputs.one_byte('t.text')}) / greatest(length(e.text), length(t.text)) >= {fv.PARAGRAPH_MATCH_THRESHOLD}::DOUBLE)
+        SELECT e.pair_id, CAST(e.pos AS INTEGER) AS row, CASE WHEN same THEN 'same' WHEN n.pos IS NOT NULL THEN 'near' ELSE 'lost' END AS state
+        FROM e LEFT JOIN n ON n.pair_id = e.pair_id AND n.pos = e.pos""",
     "j5_residual_values": f"""
         WITH {DETECTIONS}, v AS (SELECT DISTINCT doc_key, value, {SEARCH_KEY.format('value')} AS k FROM found),
         m AS (SELECT doc_key, pos, regexp_replace(text, '\\S*[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}\\S*', '█████', 'g') AS text FROM lines),

@@ -69,8 +69,8 @@ def w6_bundle_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w7_instruction_blocks(spark: SparkSession, d: str) -> DataFrame:
-    lines = inputs.lines(spark, d).withColumn("text", F.translate("text", ",.", "<>"))
-    found = quality.instruction_blocks(lines)
+    documents = table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), lines_of(F.translate("text", ",.", "<>")).alias("paras"))
+    found = quality.instruction_blocks(documents)
     return found.select("doc_key", "first_pos", "last_pos", "span", F.md5("instruction").alias("digest"))
 
 

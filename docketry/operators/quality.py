@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
+from docketry.functions.arrays import matches_with_offsets
 from docketry.functions.text import valid_characters, word_count
 from docketry.operators.ordered import islands
 
@@ -244,64 +245,48 @@ def operative_tail(paragraphs: DataFrame, keys: list[str], markers: list[str]) -
     return paragraphs.join(first, keys).filter(F.col("pos") >= F.col("first_pos"))
 
 
-def instruction_blocks(paragraphs: DataFrame, opening: str = "<", closing: str = ">") -> DataFrame:
+def instruction_blocks(documents: DataFrame, opening: str = "<", closing: str = ">") -> DataFrame:
     """Bracketed instructions, whole in one paragraph or running over several.
 
-    A paragraph opens a block when it has more opening than closing signs and
-    none closes after its last opening sign; an open block ends at the first
-    closing sign, and the rest of that paragraph is not read. Whether a block
-    is open before a paragraph follows from the last paragraph that settles it
-    and the number of switches since, so no row-by-row loop is needed.
+    ``documents(doc_key, paras array)``. A paragraph opens a block when it has
+    more opening than closing signs and none closes after its last opening
+    sign; an open block ends at the first closing sign, and the rest of that
+    paragraph is not read. Written as one letter per paragraph (opens ``O``,
+    closes ``C``, both ``B``, neither ``N``), a block is a match of
+    ``[OB][ON]*[CB]``, so blocks are found inside the document's row without a
+    window or a loop over paragraphs.
     """
     o, c = f"\\Q{opening}\\E", f"\\Q{closing}\\E"
-    text = F.col("text")
-    after_last = F.regexp_extract(text, f"(?s)^.*{o}(.*)$", 1)
-    has_close = F.contains(text, F.lit(closing))
-    surplus = F.regexp_count(text, F.lit(o)) > F.regexp_count(text, F.lit(c))
-    opens = surplus & ~F.contains(after_last, F.lit(closing))
-    # Effect on the state: settles it, leaves it, or switches it.
-    marked = paragraphs.withColumn("opens", opens).withColumn("has_close", has_close)
-    settled = F.when(F.col("opens") & ~F.col("has_close"), 1).when(~F.col("opens") & F.col("has_close"), 0)
-    switch = (F.col("opens") & F.col("has_close")).cast("int")
-    w = Window.partitionBy("doc_key").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    stated = (
-        marked.withColumn("settled", settled)
-        .withColumn("switches", F.sum(switch).over(w))
-        .withColumn("last_settled", F.last(F.when(F.col("settled").isNotNull(), F.struct("settled", "switches")), True).over(before))
-        .withColumn("switches_before", F.coalesce(F.sum(switch).over(before), F.lit(0)))
-    )
-    is_open = (
-        F.coalesce(F.col("last_settled.settled"), F.lit(0))
-        + F.col("switches_before")
-        - F.coalesce(F.col("last_settled.switches"), F.lit(0))
-    ) % 2 == 1
-    stated = stated.withColumn("in_block", is_open).withColumn(
-        "starts", F.when(~F.col("in_block") & F.col("opens"), 1).otherwise(0)
-    )
-    single = (
-        stated.filter(~F.col("in_block"))
-        .select("doc_key", "pos", F.explode(F.regexp_extract_all(text, F.lit(f"{o}([^{closing}]+){c}"), F.lit(1))).alias("t"))
-        .select("doc_key", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), F.trim("t").alias("instruction"), F.lit("single").alias("span"))
-    )
-    members = stated.withColumn("block", F.sum("starts").over(w)).filter(
-        F.col("in_block") | (F.col("starts") == 1)
-    )
-    ends = F.col("in_block") & F.col("has_close")
-    piece = (
-        F.when(F.col("starts") == 1, after_last)
-        .when(ends, F.regexp_extract(text, f"(?s)^(.*?){c}", 1))
-        .otherwise(text)
-    )
-    blocks = members.groupBy("doc_key", "block").agg(
-        F.min("pos").alias("first_pos"),
-        F.max("pos").alias("last_pos"),
-        F.bool_or(ends).alias("closed"),
-        F.array_sort(F.collect_list(F.struct("pos", piece.alias("t")))).alias("parts"),
-    )
-    multi = blocks.filter("closed").select(
-        "doc_key", "first_pos", "last_pos",
-        F.trim(F.array_join(F.transform("parts", lambda x: x["t"]), " ")).alias("instruction"),
-        F.lit("multi").alias("span"),
-    )
-    return single.unionByName(multi)
+    after_last = lambda t: F.regexp_extract(t, f"(?s)^.*{o}(.*)$", 1)
+
+    def letter(t: Column) -> Column:
+        opens = (F.regexp_count(t, F.lit(o)) > F.regexp_count(t, F.lit(c))) & ~F.contains(after_last(t), F.lit(closing))
+        closes = F.contains(t, F.lit(closing))
+        return F.when(opens & closes, "B").when(opens, "O").when(closes, "C").otherwise("N")
+
+    lettered = documents.select("doc_key", "paras", F.array_join(F.transform("paras", letter), "").alias("letters"))
+    found = lettered.withColumn("blocks", matches_with_offsets(F.col("letters"), "[OB][ON]*[CB]"))
+    last = F.try_element_at("blocks", F.lit(-1))
+    read = F.coalesce(last["start"] + F.length(last["match"]), F.lit(0))  # a block left open starts after this, at the first opening
+    left_open = F.regexp_instr(F.substring("letters", read + 1, F.length("letters")), F.lit("[OB]"))
+    found = found.withColumn("open_from", F.when(left_open > 0, read + left_open - 1).otherwise(F.size("paras")))
+
+    def inside(i: Column) -> Column:
+        return (i > F.col("open_from")) | F.exists("blocks", lambda b: (i > b["start"]) & (i < b["start"] + F.length(b["match"])))
+
+    def row(first: Column, last: Column, text: Column, span: str) -> Column:
+        return F.struct(first.alias("first_pos"), last.alias("last_pos"), F.trim(text).alias("instruction"), F.lit(span).alias("span"))
+
+    def whole(t: Column, i: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(f"{o}([^{closing}]+){c}"), F.lit(1))
+        return F.transform(F.when(~inside(i), hits).otherwise(F.lit([]).cast("array<string>")), lambda h: row(i, i, h, "single"))
+
+    def over_several(b: Column) -> Column:
+        end = b["start"] + F.length(b["match"]) - 1
+        text = lambda k: F.get("paras", k)
+        middle = F.when(end - b["start"] > 1, F.transform(F.sequence(b["start"] + 1, end - 1), text)).otherwise(F.lit([]).cast("array<string>"))
+        pieces = F.concat(F.array(after_last(text(b["start"]))), middle, F.array(F.regexp_extract(text(end), f"(?s)^(.*?){c}", 1)))
+        return row(b["start"], end, F.array_join(pieces, " "), "multi")
+
+    every = F.concat(F.flatten(F.transform("paras", whole)), F.transform("blocks", over_several))
+    return found.select("doc_key", F.explode(every).alias("x")).select("doc_key", "x.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docketry import fixed_values as fv
 from docketry import session
 from docketry.functions import dates, patterns, rules, text
-from docketry.operators import changes, holdings, ledger, matching, ordered, quality, rulebooks
+from docketry.operators import cases, changes, holdings, ledger, matching, ordered, quality, rulebooks
 from docketry.sources import files, pages
 from docketry.streaming import approvals, drops
 
@@ -184,9 +184,9 @@ def instructions_model(paragraphs):
 def test_instruction_blocks(spark):
     rng = random.Random(8)
     docs = {d: ["".join(rng.choice(["a", "b ", "<", ">", "c"]) for _ in range(rng.randint(1, 7))).replace("<<", "<").replace("<>", "") for _ in range(9)] for d in range(40)}
-    rows = [(d, i, t) for d, ps in docs.items() for i, t in enumerate(ps)]
+    docs |= {90: [], 91: ["<a", "b"], 92: ["x", "<a", "b>", "<c", "d"], 93: ["a>b", "<q> <r", "> <s", "t>"]}
     got = {}
-    for r in quality.instruction_blocks(spark.createDataFrame(rows, "doc_key int, pos int, text string")).collect():
+    for r in quality.instruction_blocks(spark.createDataFrame(list(docs.items()), "doc_key int, paras array<string>")).collect():
         got.setdefault(r["doc_key"], []).append((r["first_pos"], r["last_pos"], r["instruction"]))
     assert {d: sorted(got.get(d, [])) for d in docs} == {d: instructions_model(ps) for d, ps in docs.items()}
 
@@ -353,3 +353,91 @@ def test_append_absent_takes_the_smallest(spark):
     have = spark.createDataFrame([(1, "x")], "k int, v string")
     more = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b"), (3, None)], "k int, v string")
     assert sorted(map(tuple, changes.append_absent(have, more, ["k"]).collect()), key=str) == [(1, "x"), (2, "b"), (3, None)]
+
+
+# --- fixed tables, flags, stages ---------------------------------------------
+
+def test_calls_without_a_start_begin_now(spark):
+    rows = [(1, 15, None, None), (2, 15, None, 100), (3, 52, None, 100), (4, 14, None, None), (5, 7, None, None), (6, 200, 5, None), (7, 999, None, None)]
+    requests = spark.createDataFrame(rows, "request_id int, kind int, kind_group int, start_minutes int").selectExpr(
+        "*", "cast(null as date) as day", "cast(null as int) as end_minutes", "cast(null as decimal(18,2)) as amount"
+    )
+    got = {r["request_id"]: r for r in cases.event_rows(requests, "17", F.lit(615)).collect()}
+    assert [got[k]["start_minutes"] for k in range(1, 8)] == [615, 100, 615, fv.EVENT_START, fv.TASK_START, fv.EVENT_START, None]
+    assert got[7]["rejected"] and got[6]["row_type"] == "cal" and got[1]["alarm_minutes"] == 605
+
+
+def test_only_a_sub_folder_has_a_parent_to_follow(spark):
+    rows = [(1, None, "root", 24), (2, 1, "sub", 77), (3, 2, "subsub", 77), (4, 2, "own case", 24), (5, 99, "lost parent", 77)]
+    chain = cases.folder_chain(spark.createDataFrame(rows, "case_id int, parent_id int, subject string, kind int"))
+    assert {r["case_id"]: (r["root_id"], r["depth"], r["path"]) for r in chain.collect()} == {
+        1: (1, 0, []), 2: (1, 1, ["sub"]), 3: (1, 2, ["sub", "subsub"]), 4: (4, 0, []), 5: (5, 0, []),
+    }
+
+
+def test_stage_catalog_marks_the_current_one(spark):
+    known = spark.createDataFrame([(1, 22, 10), (2, 22, None), (3, 5, 11)], "case_id int, kind int, current_flow_id int")
+    flow = spark.createDataFrame([(10, "b"), (11, "a")], "flow_id int, node_id string")
+    got = cases.stage_catalog(known, flow, {22: [("a", "first"), ("b", "second")]}).collect()
+    assert sorted((r["case_id"], r["node_id"], r["is_current"]) for r in got) == [(1, "a", False), (1, "b", True), (2, "a", False), (2, "b", False)]
+
+
+def test_only_the_holding_that_was_hit_is_negative(spark):
+    held = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "holding_id int, decision int")
+    citers = spark.createDataFrame([(7, 1, "נדחה", 1), (7, 2, "יושם", 2), (8, 3, "נדחה", None)], "decision int, citer int, treatment string, holding_id int")
+    got = {r["holding_id"]: (r["checked"], r["negative_treatment"]) for r in holdings.holding_flags(held, citers).collect()}
+    assert got == {1: (True, "yes"), 2: (True, "no"), 3: (True, "unknown"), 4: (False, "unknown")}
+
+
+def test_classes_conflicts_and_folders(spark):
+    df = spark.createDataFrame([("כתב ערר",), ("כתב ערר ופרוטוקול",), ("סתם",)], "t string")
+    scores = rules.rule_scores(F.col("t"), {c: {p: 1 for p in ps} for c, ps in fv.DOCUMENT_CLASSES.items()})
+    label = rules.best_class(scores)
+    got = df.select(label, rules.class_state(scores), rules.target_folder(label, fv.CLASS_FOLDERS)).collect()
+    assert [tuple(r) for r in got] == [("מסמכי ערר", "found", "מסמכי ערר"), ("unknown", "conflict", None), ("unknown", "no hit", None)]
+
+
+def test_template_one_may_name_a_court(spark):
+    df = spark.createDataFrame([(1,), (2,)], "t int")
+    got = [r[0] for r in df.select(rules.question_violations(F.lit("מה קבע בית המשפט העליון?"), F.col("t"), ["בית המשפט העליון"])).collect()]
+    assert got == [[], ["names_court"]]
+
+
+def test_scattered_terms_are_a_metric(spark):
+    rows = [("d", i, False, "סעיף 5 וגם סעיף 62" if i in (0, 9) else "מלל") for i in range(10)] + [("e", 0, False, "סעיף 5")]
+    got = quality.writing_metrics(spark.createDataFrame(rows, "doc_key string, pos int, is_heading boolean, text string")).filter("metric = 'scattered'")
+    assert {r["doc_key"]: (r["value"], r["within"]) for r in got.collect()} == {"d": (1, True), "e": (0, True)}
+
+
+def test_unknown_status_comes_with_suggestions(spark):
+    requests = spark.createDataFrame([(1, "set", 5, "open case"), (2, "set", 5, "zzz"), (3, "set", 5, "opened case")], "request_id int, action string, case_id int, text string")
+    known = spark.createDataFrame([(5, 24, None)], "case_id int, kind int, close_date date")
+    uses = spark.createDataFrame([], "status string, n long")
+    got = {r["request_id"]: (r["refused"], r["suggestions"]) for r in changes.judge_status_requests(requests, known, ["opened case", "paused"], uses).collect()}
+    assert got == {1: ("status unknown", "opened case"), 2: ("status unknown", None), 3: (None, None)}
+
+
+def test_a_far_range_is_not_unfolded(spark):
+    units = spark.createDataFrame([("d", n, "x" * 10) for n in range(1, 6)], "doc_id string, n int, text string")
+    shows = spark.createDataFrame([(1, "d", 1, 5), (2, "d", 3, 2_000_000_000), (3, "gone", 1, 1), (4, "d", 0, 2)], "show_id int, doc_id string, first int, last int")
+    got = {r["show_id"]: r["refused"] for r in ledger.refused_shows(shows, units).collect()}
+    assert got == {1: None, 2: "bad range", 3: "bad range", 4: "bad range"}
+
+
+def test_a_used_code_stays_used_after_a_restart(spark, tmp_path):
+    issued = spark.createDataFrame([("a", "b", 1, [1]), ("c", "d", 2, [1])], "code_a string, code_b string, doc_id long, units array<int>")
+    shape = "confirm_id long, code_a string, code_b string, ts timestamp"
+    source, book = str(tmp_path / "in"), str(tmp_path / "ledger")
+
+    def land(rows):
+        spark.createDataFrame(rows, shape).write.mode("append").parquet(source)
+
+    def run(name):
+        approvals.record_confirms(spark.readStream.schema(shape).parquet(source), issued, book, str(tmp_path / name))
+        return sorted((r["code_a"], r["confirm_id"]) for r in spark.read.parquet(book).collect())
+
+    land([(1, "a", "b", dt.datetime(2024, 1, 1, 9))])
+    assert run("first") == [("a", 1)]
+    land([(2, "a", "b", dt.datetime(2024, 1, 2, 9)), (3, "c", "d", dt.datetime(2024, 1, 2, 9)), (4, "c", "x", dt.datetime(2024, 1, 2, 9))])
+    assert run("second") == [("a", 1), ("c", 3)]  # a new checkpoint reads everything again
+    assert run("first") == [("a", 1), ("c", 3)]
