@@ -15,7 +15,7 @@ from docketry.operators.joining import shuffled
 # --- similarity joins -------------------------------------------------------
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, keys: list[str], threshold: float, metric: str = "edit"
+    left: DataFrame, right: DataFrame, keys: list[str], threshold: float, metric: str = "edit", few_right: bool = False
 ) -> DataFrame:
     """Pairs of rows with equal ``keys`` whose ``text`` is at least ``threshold`` alike.
 
@@ -25,7 +25,8 @@ def similar_pairs(
     a hot key is spread over its bands, and pairs that differ too much in
     length never meet. The edit distance with an upper limit stops early, and
     only pairs that pass leave the join. Exact: no partner above the threshold
-    is lost.
+    is lost. With ``few_right`` the right side is hashed instead of both sides
+    sorted; the left one still streams and can be split on a hot key.
     """
     shortest = threshold if metric == "edit" else threshold / (2 - threshold)
     width = math.log(1 / shortest)
@@ -45,7 +46,7 @@ def similar_pairs(
     else:
         # Matching blocks leave at most (1 - t)(a + b) characters to edit.
         limit = F.floor((F.col("la") + F.col("lb")) * (1 - threshold)).cast("int") + 1
-    met = a.join(shuffled(b), [*keys, "band"]).filter(small >= F.floor(large * shortest))
+    met = a.join(b.hint("shuffle_hash") if few_right else shuffled(b), [*keys, "band"]).filter(small >= F.floor(large * shortest))
     # Exploding the filtered one-element array computes the distance once per pair.
     distance = F.call_function("levenshtein", F.col("ta"), F.col("tb"), limit)
     near = met.withColumn("edits", F.explode(F.filter(F.array(distance), lambda x: x >= 0)))
