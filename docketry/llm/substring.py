@@ -198,7 +198,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     plain = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     profiles = written(profile(plain, window), "profile")
-    firsts = profiles.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
+    firsts = written(profiles.groupBy("sha").agg(F.min("doc_id").alias("first_id")), "firsts")  # or a hot text's rows would stay in one task
     rows = written(profiles.select("doc_id", "n_words", "sha").join(firsts, "sha"), "classes")
     long_firsts = rows.where((F.col("doc_id") == F.col("first_id")) & (F.col("n_words") >= window)).select("doc_id", "sha").distinct()
     alone = profiles.join(long_firsts.hint("shuffle_hash"), ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id", "sha"])
