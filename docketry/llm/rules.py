@@ -1,4 +1,4 @@
-"""Quality rules: base limits, then an isolation forest on rule statistics."""
+"""Quality rules: base limits, then isolation forests on rule statistics."""
 
 from __future__ import annotations
 
@@ -17,12 +17,18 @@ TREE_ROWS = 256
 FIT_ROWS = 20_000  # labelled rows the forest is drawn from, at most about
 GOOD_LOST = 0.001  # share of rows labelled good that the threshold may reject
 
-# Statistics the forest reads: a count, what it is a share of, and how many of the latter a text is given on top
-# at the sample's mean, so that short texts do not look odd by chance.
-SHARES = [
-    ("word_chars", "n_words", 100), ("n_symbols", "n_words", 100), ("n_upper", "n_chars_all", 600), ("n_marks", "n_words", 100),
-    ("n_bare", "n_words", 100),
+# Statistics the forests read: a count, what it is a share of, and how many of the latter a text is given on top
+# at the sample's mean, so that short texts do not look odd by chance. A forest per group: most texts have no repeat
+# and no digit, and in one forest the few that do would hide all else.
+GROUPS = [
+    [
+        ("word_chars", "n_words", 100), ("n_symbols", "n_words", 100), ("n_upper", "n_chars_all", 600), ("n_marks", "n_words", 100),
+        ("n_bare", "n_words", 100), ("n_distinct", "n_words", 100),
+    ],
+    [("n_dup_lines", "n_lines", 10), ("n_repeat_words", "n_words", 100)],
+    [("n_digits", "n_chars_all", 600)],
 ]
+SHARES = [x for group in GROUPS for x in group]
 
 # The base rules.
 LEAST_WORDS = 10
@@ -106,6 +112,25 @@ class IsolationForest:
         return 2.0 ** (-total / (len(self.trees) * usual))
 
 
+class Forests:
+    """A forest per group of shares, each on a scale on which its limit is a half; a row's anomaly is its largest."""
+
+    def __init__(self, sample: np.ndarray, good: np.ndarray, lost: float = GOOD_LOST):
+        """From ``COUNTS`` rows; a limit is the score that all but the group's part of ``lost`` of the good ones stay below."""
+        self.means = sample_means(sample)
+        x, self.groups, at = shares(sample, self.means), [], 0
+        for group in GROUPS:
+            own = slice(at, at := at + len(group))
+            forest = IsolationForest.fit(x[:, own])
+            score = forest.score(x[good][:, own])
+            limit = float(np.quantile(score, 1 - lost / len(GROUPS), method="higher")) if len(score) else 0.5
+            self.groups.append((own, forest, np.log(0.5) / np.log(np.clip(limit, 0.01, 0.99))))
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        x = shares(rows, self.means)
+        return np.max([forest.score(x[:, own]) ** power for own, forest, power in self.groups], axis=0)
+
+
 def base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
 
@@ -117,8 +142,8 @@ def rule_verdicts(
     """Rule statistics of every text, the base verdict, the anomaly and the final verdict.
 
     Returns ``doc_id``, the counts, ``base_failed, anomaly, threshold, kept``. The
-    forest is drawn from about ``fit_rows`` labelled rows that pass the base rules,
-    chosen by id hash; its threshold is the anomaly that all but ``good_lost`` of *all*
+    forests are drawn from about ``fit_rows`` labelled rows that pass the base rules,
+    chosen by id hash; the threshold is the anomaly that all but ``good_lost`` of *all*
     rows labelled good stay below. Without such rows nothing is anomalous and
     ``threshold`` is null. A null text counts as empty and fails the base rules; rows
     with equal ids share their label (the largest where they differ) and are judged one
@@ -130,9 +155,8 @@ def rule_verdicts(
     usable = written(usable, "labelled")
     share = min(1.0, fit_rows / max(1, usable.count()))
     drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = np.array([tuple(r) for r in drawn.orderBy("doc_id").select(*COUNTS).collect()], float).reshape(-1, len(COUNTS))
-    means = sample_means(sample)
-    forest = IsolationForest.fit(shares(sample, means)) if len(sample) else None
+    sample = np.array([tuple(r) for r in drawn.orderBy("doc_id", *COUNTS).select(*COUNTS, "quality").collect()], float).reshape(-1, len(COUNTS) + 1)
+    forest = Forests(sample[:, :-1], sample[:, -1] == 1, good_lost) if len(sample) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +164,7 @@ def rule_verdicts(
                 continue
             rows = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in COUNTS], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(forest.score(shares(rows, means)))], [*batch.schema.names, "anomaly"]
+                [*batch.columns, pa.array(forest.score(rows))], [*batch.schema.names, "anomaly"]
             )
 
     if forest is None:

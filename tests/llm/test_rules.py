@@ -61,6 +61,21 @@ def test_verdicts(documents, spark):
     assert not any(r.kept and r.base_failed for r in out)
 
 
+def test_repeated_lines_are_set_apart(documents, spark):
+    rng = random.Random(6)
+
+    def page(line):
+        """Forty lines of their own, each followed by ``line(k)``."""
+        return "\n".join(f"{clean(rng)[:-1]}\n{line(k)}" for k in range(40))
+
+    rows = [(k, page(lambda k: f"meadow light{k}")) for k in range(300)] + [(1000 + k, page(lambda k: "meadow light20")) for k in range(10)]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in rows], "doc_id long, quality int")
+    out = rules.rule_verdicts(documents(rows), labels, good_lost=0.01).collect()
+    assert not any(r.base_failed for r in out) and {r.n_dup_lines for r in out} == {0, 39}
+    assert not [r.doc_id for r in out if r.kept and r.doc_id >= 1000]
+    assert sum(r.kept for r in out if r.doc_id < 1000) >= 295
+
+
 def test_without_labels_or_rows(documents, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = rules.rule_verdicts(documents([(1, "a b c d e f g h i j k"), (2, "a")]), none).collect()
