@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docketry.llm import exact, language, mixing, packing, quality, rules, sharding, simhash, substring, warc
+from docketry.llm import exact, language, mixing, packing, private, quality, rules, sharding, simhash, substring, warc
 from docketry.sources.tables import table
 
 
@@ -49,16 +49,68 @@ def op10_rule_verdicts(spark, sf_dir):
     )
 
 
+def op11_personal_data(spark, sf_dir):
+    return private.span_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_languages, op2_hilbert_shards, op3_near_duplicates, op4_warc_revisits, op5_packed_pieces, op6_quality_scores, op7_without_repeats,
-        op8_source_mix, op9_exact_duplicates, op10_rule_verdicts,
+        op8_source_mix, op9_exact_duplicates, op10_rule_verdicts, op11_personal_data,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
+
+def _personal_data_twin() -> str:
+    """Every kind's matches by regular expression, placed by the lengths of what lies between them."""
+    digits = r"regexp_replace(w, '[^0-9]', '', 'g')"
+    luhn = (
+        f"list_sum(list_transform(range(1, len({digits}) + 1), lambda k: CASE WHEN (len({digits}) - k) % 2 = 0 THEN substr({digits}, k, 1)::INT "
+        f"ELSE (2 * substr({digits}, k, 1)::INT) // 10 + (2 * substr({digits}, k, 1)::INT) % 10 END)) % 10 = 0"
+    )
+    turned = "substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4)"
+    iban = (
+        f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)), "
+        "lambda r, x: CASE WHEN x < 10 THEN (r * 10 + x) % 97 ELSE (r * 100 + x) % 97 END) = 1"
+    )
+    kinds = [
+        ("email", private.EMAIL, "true"),
+        ("ip", private.IP, "list_bool_and(list_transform(string_split(w, '.'), lambda x: len(ltrim(x, '0')) <= 3 AND ('0' || right(ltrim(x, '0'), 3))::INT <= 255))"),
+        ("card", private.CARD, f"len({digits}) BETWEEN 13 AND 19 AND {luhn}"),
+        ("phone", private.PHONE, f"len({digits}) BETWEEN 9 AND 15"),
+        ("login", private.LOGIN, "true"),
+        ("iban", private.IBAN, iban),
+        ("account", private.ACCOUNT, "len(regexp_replace(v, '[^0-9]', '', 'g')) >= 6"),
+        ("token", private.TOKEN, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')"),
+        ("hidden_email", private.HIDDEN_EMAIL, "true"),
+    ]
+    base = len(private.BASE_KINDS)
+    hits = []
+    for k, (kind, pattern, valid) in enumerate(kinds):
+        quoted = pattern.replace("'", "''")
+        group = 1 if kind in ("iban", "account", "token") else 0
+        hits.append(f"""SELECT rid, {k} AS k, '{kind}' AS kind, stop - len(v) AS a, stop AS b FROM (
+  SELECT rid, v, w, sum(len(r) + len(w)) OVER (PARTITION BY rid ORDER BY i) AS stop FROM (
+    SELECT rid, unnest(whole) AS w, unnest(val) AS v, unnest(rest[1:len(whole)]) AS r, unnest(range(len(whole))) AS i FROM (
+      SELECT rid, regexp_extract_all(t, '{quoted}') AS whole, regexp_extract_all(t, '{quoted}', {group}) AS val,
+        regexp_split_to_array(t, '{quoted}') AS rest FROM d))) WHERE {valid}""")
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{kind}" for k, (kind, _, _) in enumerate(kinds[:base]))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(hits)}),
+g AS (
+  SELECT rid, {counts}, string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY k, a) AS spans,
+    string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY k, a) FILTER (WHERE k < {base}) AS base FROM s GROUP BY rid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in private.BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
 ORACLE = {
+    "op11_personal_data": _personal_data_twin(),
     "op4_warc_revisits": r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
