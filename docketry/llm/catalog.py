@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docketry.llm import exact, language, mixing, packing, private, quality, rules, sharding, simhash, substring, warc
+from docketry.llm import codes, exact, language, mixing, packing, private, quality, rules, sharding, simhash, substring, warc
 from docketry.sources.tables import table
 
 
@@ -53,11 +53,15 @@ def op11_personal_data(spark, sf_dir):
     return private.span_report(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark, sf_dir):
+    return codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_languages, op2_hilbert_shards, op3_near_duplicates, op4_warc_revisits, op5_packed_pieces, op6_quality_scores, op7_without_repeats,
-        op8_source_mix, op9_exact_duplicates, op10_rule_verdicts, op11_personal_data,
+        op8_source_mix, op9_exact_duplicates, op10_rule_verdicts, op11_personal_data, op12_vector_codes,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -109,8 +113,45 @@ FROM d LEFT JOIN g USING (rid)
 """
 
 
+def _vector_codes_twin() -> str:
+    """Every part against every entry of its codebook, round after round."""
+    rounds = []
+    for k in range(codes.ROUNDS + 1):
+        rounds.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, p, any_value(v) AS v, min(d * {codes.ENTRIES} + e) AS de FROM (
+    SELECT t.rid, t.p, t.v, c.e, list_sum(list_transform(range(1, len(t.v) + 1), lambda k: (t.v[k] - c.v[k]) * (t.v[k] - c.v[k])))::BIGINT AS d
+    FROM cut t JOIN c{k} c USING (p)) GROUP BY rid, p
+)""")
+        if k < codes.ROUNDS:
+            rounds.append(f"""
+m{k} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v FROM (
+    SELECT p, e, place, sum(x)::BIGINT AS s, count(*) AS n FROM (
+      SELECT p, de % {codes.ENTRIES} AS e, unnest(v) AS x, unnest(range(len(v))) AS place FROM a{k}) GROUP BY p, e, place) GROUP BY p, e
+), c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (p, e))""")
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label,
+    list_transform(embedding, lambda c: floor({codes.SCALE} * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), cut AS MATERIALIZED (
+  SELECT rid, p, x[p * (len(x) // {codes.PARTS}) + 1:(p + 1) * (len(x) // {codes.PARTS})] AS v FROM kept, range({codes.PARTS}) r(p)
+), c0 AS MATERIALIZED (SELECT p, rid - 1 AS e, v FROM cut WHERE rid <= {codes.ENTRIES}),{",".join(rounds)},
+coded AS (
+  SELECT rid, string_agg(printf('%02x', (de % {codes.ENTRIES})::INT), '' ORDER BY p) AS code, sum(de // {codes.ENTRIES})::BIGINT AS error
+  FROM a{last} GROUP BY rid
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM c{last}) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)
+"""
+
+
 ORACLE = {
     "op11_personal_data": _personal_data_twin(),
+    "op12_vector_codes": _vector_codes_twin(),
     "op4_warc_revisits": r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
