@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from docketry.llm import codes, exact, language, mixing, packing, private, quality, rules, sharding, simhash, substring, warc
+from docketry.llm import codes, exact, language, mixing, packing, private, quality, rules, sharding, simhash, substring, warc, whitening
 from docketry.sources.tables import table
 
 
@@ -57,11 +59,17 @@ def op12_vector_codes(spark, sf_dir):
     return codes.product_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_whitened_vectors(spark, sf_dir):
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_languages, op2_hilbert_shards, op3_near_duplicates, op4_warc_revisits, op5_packed_pieces, op6_quality_scores, op7_without_repeats,
         op8_source_mix, op9_exact_duplicates, op10_rule_verdicts, op11_personal_data, op12_vector_codes,
+        op13_whitened_vectors,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
