@@ -34,6 +34,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_keys(text: Column) -> list[Column]:
+    """``key`` and ``again``: two hashes of a text, 128 bits together; a null text has hashes of its own."""
+    return [F.xxhash64(text).alias("key"), F.xxhash64(text, F.lit(1)).alias("again")]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def kept_rows(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (``doc_id, key, again, kept``) keeps or does not name, with their own columns.
+
+    Rows equal in id and text share a key; where some of them are kept, one is. The keys of the rest are a
+    written table of true size: it is copied to the tasks while under the optimizer's limit and shuffled beyond it.
+    """
+    out = docs.columns
+    keys = [unused(docs, name) for name in ("marked_id", "marked_key", "marked_again")]
+    counted = judged.groupBy("doc_id", "key", "again").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marks = counted.where("not kept or n > 1").select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "key", "again"), keys, strict=True)], "kept")
+    marks = written(marks, "marks")
+
+    def same(rows: DataFrame, named: DataFrame) -> Column:
+        first, again = text_keys(rows[text_col])
+        return rows[id_col].cast("long").eqNullSafe(named[keys[0]]) & (first == named[keys[1]]) & (again == named[keys[2]])
+
+    left = docs.join(marks, same(docs, marks), "left_anti")
+    repeated = marks.where("kept").select(*keys)
+    if repeated.isEmpty():
+        return left.select(*out)
+    once = docs.join(repeated, same(docs, repeated)).dropDuplicates(keys)
+    return left.select(*out).unionByName(once.select(*[docs[c] for c in out]))
+
+
 def id_remainder(column: Column, modulus: int) -> Column:
     """CRC-32 of the id as text, modulo ``modulus``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

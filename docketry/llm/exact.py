@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SPACE_PATTERN, tasks_for, whole_runs, written
+from docketry.llm.common import SPACE_PATTERN, kept_rows, tasks_for, text_keys, whole_runs, written
 
 SEGMENT_ROWS = 1 << 16  # fingerprints a merged filter segment holds on average
 
@@ -118,21 +118,12 @@ def repeated_fingerprints(fingerprints: DataFrame, column: str, n_rows: int) ->
     return filters.repartition(tasks, "segment").sortWithinPartitions("segment").mapInArrow(merge, f"{column} long")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts that are identical once every run of white space is one space.
-
-    Returns ``doc_id, keep_id, group_size, kept, text_sha256`` for every row. A null
-    text counts as empty. Of a group the smallest id stays, a null id after all
-    others; of repeated rows of that id exactly one has ``kept``. Other columns of
-    ``docs`` are ignored. An empty table gives an empty result.
-
-    Fingerprints go through the filters; only texts whose fingerprint counts above one
-    are grouped by their bytes, and only there can two texts be called equal.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row's ``doc_id, sha, key, again, row``, with its group's ``group_size`` and ``first`` row if it has any equal."""
     text = F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACE_PATTERN, " ")
-    plain = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("norm")).withColumn("fp", F.xxhash64("norm"))
+    plain = docs.select(docs[id_col].cast("long").alias("doc_id"), *text_keys(docs[text_col]), text.alias("norm")).withColumn("fp", F.xxhash64("norm"))
     digest = written(
-        plain.select("doc_id", "fp", F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "digest"
+        plain.select("doc_id", "key", "again", "fp", F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "digest"
     )
     repeated = written(repeated_fingerprints(digest, "fp", digest.count()), "repeated")
     # ``repeated`` is a written table of true size: it is copied to the tasks while that is under the optimizer's limit
@@ -145,9 +136,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     first = digest.join(repeated, "fp", "left_semi").groupBy("sha").agg(F.min(order).alias("first"))
     groups = written(equal.join(first, "sha"), "groups")
-    rows = digest.join(groups, "sha", "left")
+    return digest.join(groups, "sha", "left")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts that are identical once every run of white space is one space.
+
+    Returns ``doc_id, keep_id, group_size, kept, text_sha256`` for every row. A null
+    text counts as empty. Of a group the smallest id stays, a null id after all
+    others; of repeated rows of that id exactly one has ``kept``. Other columns of
+    ``docs`` are ignored. An empty table gives an empty result.
+
+    Fingerprints go through the filters; only texts whose fingerprint counts above one
+    are grouped by their bytes, and only there can two texts be called equal.
+    """
     own = F.col("first").isNull()
-    return rows.select(
+    return _grouped(docs, id_col, text_col).select(
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -157,14 +161,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; see ``exact_duplicates``."""
-    out = docs.columns
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACE_PATTERN, " "), 256)
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(_row_key(F.col("text_sha256"), F.col("doc_id")).alias("__key"))
-    marked = docs.withColumn("__key", _row_key(sha, docs[id_col].cast("long")))
-    # repeated rows share their key, so the partitions of the join tell them apart without another shuffle
-    return marked.join(kept.hint("shuffle_hash"), "__key", "left_semi").dropDuplicates(["__key"]).select(*out)
-
+    """The rows of ``docs`` that stay, with their own columns; see ``exact_duplicates``.
 
-def _row_key(sha: Column, doc_id: Column) -> Column:
-    return F.concat_ws(":", sha, F.coalesce(doc_id.cast("string"), F.lit("")))
+    Only the keys of rows that go, or that repeat one that stays, are looked up; no text
+    moves while they are under the optimizer's limit.
+    """
+    equal = _grouped(docs, id_col, text_col).where("first is not null").withColumn("kept", F.col("row") == F.col("first.row"))
+    return kept_rows(docs, equal.select("doc_id", "key", "again", "kept"), id_col, text_col)

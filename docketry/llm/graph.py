@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docketry.llm.common import written
 
 MAX_ROUNDS = 60
+SALTS = 16  # tasks that the neighbours of one node are dealt over
 
 
 def spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -37,8 +38,11 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = near.join(least, "u")
+    # a node's neighbours are dealt over salts, so that those of a hot one do not meet in one task
+    near = near.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    salted = near.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = salted.groupBy("u").agg(F.min("m").alias("m")).withColumn("m", F.least("u", "m"))
+    joined = near.join(salted.select("u", "salt").join(least, "u"), ["u", "salt"])
     if both_ways:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -176,13 +176,15 @@ def languages(
 def with_language(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language with at least that score, with their own columns.
 
-    Judged beside the row itself: the model is learned as in ``languages`` and no row moves.
+    Judged beside the row itself: the model is learned as in ``languages`` and no row moves. Null and empty texts, and all
+    without a letter, go. With nothing to learn from, no row in the learning fold with text and label, the
+    language is unknown and every text with a letter stays. Repeated rows are judged alike; an empty table stays empty.
     """
     key = docs[id_col].cast("long")
     fold = id_remainder(key, 3) != 1
     model = fit(docs.where(fold).select(docs[text_col].alias("t"), docs[label_col].alias("l"), key.alias("k")), "t", "l", "k")
     if model is None:
-        return docs.limit(0)
+        return docs.where(F.coalesce(F.regexp_like(docs[text_col], F.lit(r"\p{L}")), F.lit(False)))
     held_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

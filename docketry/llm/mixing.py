@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WORD_PATTERN, written
+from docketry.llm.common import WORD_PATTERN, unused, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # of all words, as a fraction of whole numbers
@@ -91,10 +91,14 @@ def mix_plan(
 def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **limits
 ) -> DataFrame:
-    """The mix itself: every row of ``docs``, with its columns, as often as the plan takes it."""
+    """The mix itself: every row of ``docs``, with its columns, as often as the plan takes it.
+
+    Null texts, null sources, equal ids and repeated rows as in ``mix_plan``; an empty table gives an empty mix.
+    """
     out = docs.columns
+    of_source, rate, copy = (unused(docs, name) for name in ("rated_source", "rate_of_source", "copy"))
     sized = _sized(docs, id_col, text_col, source_col).select("source", "size")
-    rates = written(source_targets(sized, **limits), "targets").select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    joined = docs.join(rates, docs[source_col].eqNullSafe(F.col("__source")))
-    n = copies(F.col("__rate"), docs[id_col], seed).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), n))).select(*[docs[c] for c in out])
+    rates = written(source_targets(sized, **limits), "targets").select(F.col("source").alias(of_source), F.col("rate").alias(rate))
+    joined = docs.join(rates, docs[source_col].eqNullSafe(F.col(of_source)))
+    n = copies(F.col(rate), docs[id_col], seed).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), n))).select(*[docs[c] for c in out])

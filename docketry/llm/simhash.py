@@ -194,15 +194,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = written(rooted.join(named, "root").select("fp", "component_id"), "names")
     return rows.join(names, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, with their own columns.
-
-    Rows without an id cannot be told apart by it and stay; of repeated rows all stay.
-    The ids that go are a written table of true size, copied to the tasks while that is
-    under the optimizer's limit and shuffled beyond it.
-    """
-    gone = near_duplicates(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id"))
-    gone = written(gone.select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left_anti")

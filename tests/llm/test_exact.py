@@ -65,6 +65,15 @@ def test_rows_that_stay_keep_their_columns(documents):
     assert left.count() == len({r[3] for r in brute(ROWS)})
 
 
+def test_rows_that_stay_are_told_apart_by_id_and_text(documents):
+    rows = [(1, "a b"), (1, "a  b"), (1, "c"), (2, "a b"), (3, "d"), (3, "d"), (None, "e"), (4, "e"), (None, "f"), (None, "f"), (5, None), (6, "")]
+    docs = documents(rows)
+    left = sorted(((r.doc_id, r.text) for r in exact.without_exact_duplicates(docs.withColumn("marked_id", docs["doc_id"])).collect()), key=repr)
+    either = [r for r in left if r[0] == 1 and r[1] != "c"]
+    assert len(either) == 1 and either[0][1] in ("a b", "a  b")
+    assert [r for r in left if r not in either] == sorted([(1, "c"), (3, "d"), (4, "e"), (None, "f"), (5, None)], key=repr)
+
+
 def test_empty_table(documents):
     assert exact.exact_duplicates(documents([])).count() == 0
     assert exact.without_exact_duplicates(documents([])).count() == 0

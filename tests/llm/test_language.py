@@ -53,4 +53,6 @@ def test_rejected_documents_go(documents):
 def test_nothing_to_learn_from(documents):
     assert language.languages(documents([])).count() == 0
     assert {r.lang_pred for r in language.languages(documents([(1, "abc", None), (2, None, None)])).collect()} == {"und"}
-    assert language.with_language(documents([(1, "abc", None)])).count() == 0
+    left = language.with_language(documents([(1, "abc", None), (2, None, None), (3, "", None), (4, "12 !", None), (None, "ß", None)]))
+    assert {r.doc_id for r in left.collect()} == {1, None}
+    assert language.with_language(documents([])).count() == 0

@@ -98,12 +98,7 @@ def test_components_match_brute_force(documents):
     least = {g: min((i for (i, _), r in zip(rows, roots, strict=True) if r == g and i is not None), default=None) for g in set(roots)}
     out = simhash.near_duplicates(documents(rows))
     assert rows_of(out, "doc_id", "component_id") == sorted(((i, least[g]) for (i, _), g in zip(rows, roots, strict=True)), key=repr)
-    docs = documents(rows)
-    left = simhash.without_near_duplicates(docs)
-    assert left.columns == docs.columns
-    assert {r.doc_id for r in left.collect()} == {v for v in least.values()}
 
 
 def test_empty_table(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
-    assert simhash.without_near_duplicates(documents([])).count() == 0
