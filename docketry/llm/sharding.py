@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from docketry.llm.common import written
 
 BITS = 5  # of every dimension; a cell is one of 2 ** (bits * dimensions)
-PREFIX_BYTES = 7  # of a text dimension that its order is taken from
 
 
 def hilbert_index(coordinates: list[Column], bits: int) -> Column:
@@ -65,12 +64,21 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     )
 
 
-def ordinal(column: Column, kind: str) -> Column:
-    """A number in the order of the column: a number itself, or the first bytes of a text."""
-    if kind == "string":
-        lead = F.rpad(F.substring(column.cast("binary"), 1, PREFIX_BYTES), PREFIX_BYTES, b"\0")
-        return F.conv(F.hex(lead), 16, 10).cast("long")
-    return column.cast("double")
+def ranked(rows: DataFrame, name: str, tasks: int) -> DataFrame:
+    """``value, ordinal`` of every distinct value of a text column: how many rows of the table lie before it.
+
+    The order is that of whole values. Counts per value are sorted in ranges, and every range adds the rows of those before it.
+    """
+    counted = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sorted_counts = written(
+        counted.repartitionByRange(tasks, "value").sortWithinPartitions("value").withColumn("task", F.spark_partition_id()), "values"
+    )
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sorted_counts.groupBy("task").agg(F.sum("n").alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("task").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range partition
+    placed = sorted_counts.withColumn("lower", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(bases), "task")
+    return written(placed.select("value", (F.col("base") + F.col("lower")).cast("double").alias("ordinal")), "ordinals")
 
 
 def cut_points(df: DataFrame, names: list[str], bits: int) -> list[list[float]]:
@@ -95,7 +103,8 @@ def hilbert_shards(
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, curve``. ``size``
     is the text's UTF-8 bytes plus ``overhead`` and can be used as a dimension. Every
     dimension is cut at its own quantiles into ``2 ** bits`` cells, so a file's range in
-    each dimension is narrow. Ties along the curve are ordered by text hash and id, so
+    each dimension is narrow. Text dimensions go by the order of their whole values, weighted by rows; the table of
+    distinct values is copied to the tasks only if it is as small as the optimizer's limit. Ties along the curve are ordered by text hash and id, so
     equal texts of a cell are neighbours. Null metadata shares the first cell, a null
     text has no bytes and the hash of an empty text; repeated rows each take a slot, an
     empty table gives no rows, columns not named are ignored.
@@ -106,18 +115,22 @@ def hilbert_shards(
     """
     own = {"size": (F.octet_length(F.coalesce(docs[text_col], F.lit(""))) + overhead).cast("long")}
     kinds = dict(docs.dtypes)
-    measured = {f"m{k}": own["size"].cast("double") if d == "size" else ordinal(docs[d], kinds[d]) for k, d in enumerate(dimensions)}
+    names = [f"m{k}" for k in range(len(dimensions))]
+    taken = [own["size"].cast("double") if d == "size" else docs[d] if kinds[d] == "string" else docs[d].cast("double") for d in dimensions]
     rows = written(
         docs.select(
             docs[id_col].cast("long").alias("doc_id"), own["size"].alias("size"),
             F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")).alias("text_crc32"),
-            *[c.alias(n) for n, c in measured.items()],
+            *[c.alias(n) for n, c in zip(names, taken, strict=True)],
         ),
         "measures",
     )
-    limits = cut_points(rows, list(measured), bits)
-    curve = hilbert_index([cell(F.col(n), x) for n, x in zip(measured, limits, strict=True)], bits)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for name in [n for n, kind in rows.dtypes if n in names and kind == "string"]:
+        values = ranked(rows, name, tasks).withColumnRenamed("value", name)
+        rows = rows.join(values, name, "left").drop(name).withColumnRenamed("ordinal", name)
+    limits = cut_points(rows, names, bits)
+    curve = hilbert_index([cell(F.col(n), x) for n, x in zip(names, limits, strict=True)], bits)
     ordered = written(
         rows.select("doc_id", "size", "text_crc32", curve.alias("curve"))
         .repartitionByRange(tasks, "curve", "text_crc32", "doc_id", F.rand(7))

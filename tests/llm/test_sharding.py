@@ -49,11 +49,32 @@ def test_few_rows_and_none(documents):
     assert sharding.hilbert_shards(documents([])).count() == 0
 
 
-def test_files_hold_narrow_ranges(documents, spark, tmp_path):
-    rows = [(k, "t" * (k * 37 % 901), "en", f"src{k % 16:02d}") for k in range(2000)]
+@pytest.mark.parametrize("prefix", ["", "common_crawl_", "https://a.very.long.common.prefix/of/all/sources/"])
+def test_files_hold_narrow_ranges(documents, spark, tmp_path, prefix):
+    rows = [(k, "t" * (k * 37 % 901), "en", f"{prefix}src{k % 16:02d}") for k in range(2000)]
     docs = documents(rows)
     sharding.write_shards(docs, sharding.hilbert_shards(docs, shards=16, dimensions=("source", "size")), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 2000
     spread = back.groupBy("shard").agg(F.countDistinct("source").alias("n")).agg(F.avg("n")).first()[0]
     assert spread <= 9  # of 16 sources; a cut at random has all of them
+
+
+def test_values_are_ranked_whole_and_by_rows(spark):
+    values = ["b"] * 5 + ["abc" * 40 + "y"] * 3 + ["abc" * 40 + "x"] * 2 + ["é"] + [None] * 4 + [""]
+    rows = spark.createDataFrame([(v,) for v in values], "s string").repartition(3)
+    order = sorted((v for v in values if v is not None), key=lambda v: v.encode())
+    assert {r.value: r.ordinal for r in sharding.ranked(rows, "s", 3).collect()} == {v: order.index(v) for v in order}
+
+
+def test_cells_are_equal_shares(documents):
+    """Cut points against the sorted values themselves."""
+    rows = [(k, "t" * (k * k % 977), "en", "s") for k in range(1000)]
+    sizes = sorted(len(t) + 16.0 for _, t, *_ in rows)
+    frame = documents(rows, extra=False).select((F.length("text") + 16).cast("double").alias("m"))
+    limits = sharding.cut_points(frame, ["m"], 3)[0]
+    assert len(limits) == 7
+    for k, x in enumerate(limits):
+        assert abs(sum(s < x for s in sizes) - 125 * (k + 1)) <= 5
+    cells = frame.select("m", sharding.cell(F.col("m"), limits).alias("c")).collect()
+    assert all(r.c == sum(x <= r.m for x in limits) for r in cells)
