@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.session import scratch_path
 
+FILTER_BITS = 25
 CHUNK_BYTES = 1 << 21  # of text that numpy works on at once; one longer text is worked on alone
 
 # The white space bytes of the contracts, 0x20 and 0x09 to 0x0D.
@@ -46,27 +47,57 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` bits, 4 MB, with the hashed place of every key set. Its size does not grow with the keys."""
+    at = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set"))
+    got = words.toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got.column("word").to_numpy()] = got.column("set").to_numpy()
+    return out
+
+
+def may_hold(df: DataFrame, key: Column, bitmap: np.ndarray) -> Column:
+    """False where the key is certainly not among those of the bitmap.
+
+    Keeps rows that have no partner out of a shuffle. The more keys there are, the more rows pass for nothing; then as many
+    move as without it, and the result is the same.
+    """
+    held = df.sparkSession.sparkContext.broadcast(bitmap)
+    bits = int(len(bitmap)).bit_length() + 5
+
+    @F.arrow_udf("boolean")
+    def test(at: pa.Array) -> pa.Array:
+        place = at.to_numpy()
+        return pa.array((held.value[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return test(F.pmod(F.xxhash64(key), F.lit(1 << bits)))
+
+
 def kept_rows(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that ``judged`` (``doc_id, key, again, kept``) keeps or does not name, with their own columns.
 
-    Rows equal in id and text share a key; where some of them are kept, one is. The keys of the rest are a
-    written table of true size: it is copied to the tasks while under the optimizer's limit and shuffled beyond it.
+    Rows equal in id and text share a key; where some of them are kept, one is. Only rows whose text may be one of
+    those that go, or that repeat one that stays, move to meet their keys.
     """
     out = docs.columns
     keys = [unused(docs, name) for name in ("marked_id", "marked_key", "marked_again")]
     counted = judged.groupBy("doc_id", "key", "again").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     marks = counted.where("not kept or n > 1").select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "key", "again"), keys, strict=True)], "kept")
     marks = written(marks, "marks")
+    possible = may_hold(docs, text_keys(docs[text_col])[0], key_filter(marks, keys[1]))
 
     def same(rows: DataFrame, named: DataFrame) -> Column:
         first, again = text_keys(rows[text_col])
         return rows[id_col].cast("long").eqNullSafe(named[keys[0]]) & (first == named[keys[1]]) & (again == named[keys[2]])
 
-    left = docs.join(marks, same(docs, marks), "left_anti")
+    moved = docs.where(possible)
+    left = docs.where(~possible).unionByName(moved.join(marks.hint("merge"), same(docs, marks), "left_anti"))
     repeated = marks.where("kept").select(*keys)
     if repeated.isEmpty():
         return left.select(*out)
-    once = docs.join(repeated, same(docs, repeated)).dropDuplicates(keys)
+    once = moved.join(repeated.hint("merge"), same(docs, repeated)).dropDuplicates(keys)
     return left.select(*out).unionByName(once.select(*[docs[c] for c in out]))
 
 

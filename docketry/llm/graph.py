@@ -50,6 +50,13 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     return moved.where(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node on the larger side has one partner, which is on that side of no edge."""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("larger")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("larger")))
+    seen = sides.groupBy("node").agg(F.sum("larger").alias("n"), F.min("larger").alias("least"))
+    return seen.where("n > 1 or (n = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """``node, root`` for every node of an edge (``u, v``, longs); the root is the smallest node reachable.
 
@@ -58,13 +65,10 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     written to the shared folder. An empty table gives no rows.
     """
     current = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    seen = None
     for _ in range(MAX_ROUNDS):
-        current = written(_stars(_stars(current, True), False), name)
-        now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
+        if _settled(current):
             break
-        seen = now
+        current = written(_stars(_stars(current, True), False), name)
     else:
         raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
