@@ -10,7 +10,7 @@ from docketry.catalog import inputs
 from docketry.catalog.predicates import DETECTIONS, SEARCH_KEY, _detections
 from docketry.functions import patterns
 from docketry.functions.arrays import matches
-from docketry.functions.text import comparison_key, reroot_path, search_key
+from docketry.functions.text import comparison_key, reroot_path
 from docketry.operators import cases, entities, layout, ledger, matching, profiling, quality, rulebooks
 from docketry.plans import folders
 from docketry.session import cut_lineage
@@ -105,9 +105,7 @@ def j7_propagation(spark: SparkSession, d: str) -> DataFrame:
     """Pages of a document on which a value detected anywhere in it occurs."""
     found = _detections(spark, d)
     ents = found.select("doc_key", (F.col("pos") + 1).alias("page"), F.col("value").alias("text"), F.lit("account").alias("type"))
-    wanted = entities.propagated(ents).select("doc_key", "value", "key")
-    pages = inputs.line_pages(spark, d).withColumn("seen", search_key(F.col("text")))
-    return pages.join(wanted, "doc_key").filter(F.contains("seen", F.col("key"))).select("doc_key", "value", "page")
+    return entities.pages_of_values(entities.propagated(ents).select("doc_key", "value", "key"), inputs.line_pages(spark, d))
 
 
 def j8_unmapped(spark: SparkSession, d: str) -> DataFrame:
@@ -300,11 +298,15 @@ sides AS (SELECT coalesce(u.conv_id, dd.conv_id) AS conv_id, coalesce(u.ref, dd.
           FROM u FULL JOIN dd ON u.conv_id = dd.conv_id AND u.ref = dd.ref)
 """
 _BOXES = """
-boxes AS (SELECT doc_key, page, "left" + 20 AS bl, top AS bt, width - 30 AS bw, 16 AS bh FROM words WHERE length(text) >= 12),
-hits AS (
-  SELECT w.doc_key, w.page, w.seq, w."left", w.width, w.height, b.bl, b.bw, b.bh,
+boxes AS (
+  SELECT doc_key, page, line, "left" + 20 AS bl, top AS bt, width - 30 AS bw, 16 AS bh,
+         unnest(range(("left" + 20) // 100, ("left" + width - 11) // 100 + 1)) AS cell
+  FROM words WHERE length(text) >= 12),
+cells AS (SELECT *, unnest(range("left" // 100, ("left" + width - 1) // 100 + 1)) AS cell FROM words),
+hits AS (  -- printed lines lie apart, so what overlaps is on one line and shares a hundred units of it
+  SELECT DISTINCT w.doc_key, w.page, w.seq, w."left", w.width, w.height, b.bl, b.bw, b.bh,
          greatest(0, least(w."left" + w.width, bl + bw) - greatest(w."left", bl)) * greatest(0, least(top + height, bt + bh) - greatest(top, bt)) AS area
-  FROM words w JOIN boxes b ON w.doc_key = b.doc_key AND w.page = b.page
+  FROM cells w JOIN boxes b ON w.doc_key = b.doc_key AND w.line = b.line AND w.cell = b.cell
    AND w."left" < bl + bw AND bl < w."left" + w.width AND top < bt + bh AND bt < top + height)
 """
 _CLAIMS = """

@@ -7,26 +7,23 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.arrays import matches
+from docketry.functions.arrays import let, matches
 from docketry.functions.text import block_ratio, comparison_key
 from docketry.operators.joining import shuffled
+from docketry.session import cut_lineage
 
 
 # --- similarity joins -------------------------------------------------------
 
-def similar_pairs(
-    left: DataFrame, right: DataFrame, keys: list[str], threshold: float, metric: str = "edit", few_right: bool = False
-) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, metric: str = "edit") -> DataFrame:
     """Pairs of rows with equal ``keys`` whose ``text`` is at least ``threshold`` alike.
 
     Both sides have the keys, ``row`` and ``text``; the result has the keys,
     ``row``, ``other`` (the right row) and ``score``. A score this high forces
     the two lengths into neighbouring length bands, so the band joins the keys:
     a hot key is spread over its bands, and pairs that differ too much in
-    length never meet. The edit distance with an upper limit stops early, and
-    only pairs that pass leave the join. Exact: no partner above the threshold
-    is lost. With ``few_right`` the right side is hashed instead of both sides
-    sorted; the left one still streams and can be split on a hot key.
+    length never meet. Only pairs that pass leave the join. Exact: no partner
+    above the threshold is lost. A left row may bring a higher threshold of its own, ``least``.
     """
     shortest = threshold if metric == "edit" else threshold / (2 - threshold)
     width = math.log(1 / shortest)
@@ -34,19 +31,27 @@ def similar_pairs(
     def band(size: Column) -> Column:
         return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / width).cast("int")
 
-    a = left.select(*keys, F.col("row"), F.col("text").alias("ta"), F.length("text").alias("la"))
-    a = a.withColumn("band", band(F.col("la")))
-    b = right.select(*keys, F.col("row").alias("other"), F.col("text").alias("tb"), F.length("text").alias("lb"))
-    b = b.withColumn("near", band(F.col("lb"))).withColumn(
-        "band", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1))
-    )
-    small, large = F.least("la", "lb"), F.greatest("la", "lb")
-    if metric == "edit":
-        limit = F.floor(large * (1 - threshold)).cast("int") + 1
-    else:
-        # Matching blocks leave at most (1 - t)(a + b) characters to edit.
-        limit = F.floor((F.col("la") + F.col("lb")) * (1 - threshold)).cast("int") + 1
-    met = a.join(b.hint("shuffle_hash") if few_right else shuffled(b), [*keys, "band"]).filter(small >= F.floor(large * shortest))
+    least = ["least"] if "least" in left.columns else []
+    a = left.select(*keys, F.col("row"), F.col("text").alias("ta"), *least, band(F.length("text")).alias("band"))
+    b = right.select(*keys, F.col("row").alias("other"), F.col("text").alias("tb"), band(F.length("text")).alias("near"))
+    b = b.withColumn("band", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1)))
+    met = a.join(shuffled(b), [*keys, "band"])
+    return measured(met, threshold, metric).select(*keys, "row", "other", "score")
+
+
+def measured(pairs: DataFrame, threshold: float, metric: str = "edit") -> DataFrame:
+    """The pairs of texts ``ta`` and ``tb`` that are at least ``threshold`` alike, with their ``score``.
+
+    The edit distance with an upper limit works on a narrow band, and only pairs within it get a score of matching
+    blocks. Pairs may bring a higher threshold of their own, ``least``, which narrows the band.
+    """
+    la, lb = F.length("ta"), F.length("tb")
+    small, large = F.least(la, lb), F.greatest(la, lb)
+    asked = F.col("least") if "least" in pairs.columns else F.lit(threshold)
+    shortest = asked if metric == "edit" else asked / (2 - asked)
+    # Matching blocks leave at most (1 - t)(a + b) characters to edit.
+    limit = F.floor((large if metric == "edit" else la + lb) * (1 - asked)).cast("int") + 1
+    met = pairs.filter(small >= F.floor(large * shortest))
     # Exploding the filtered one-element array computes the distance once per pair.
     distance = F.call_function("levenshtein", F.col("ta"), F.col("tb"), limit)
     near = met.withColumn("edits", F.explode(F.filter(F.array(distance), lambda x: x >= 0)))
@@ -54,8 +59,43 @@ def similar_pairs(
         score = F.when(large == 0, F.lit(1.0)).otherwise(F.lit(1) - F.col("edits") / large)
     else:
         score = block_ratio("ta", "tb")
-    scored = near.withColumn("score", score)
-    return scored.filter(F.col("score") >= threshold).select(*keys, "row", "other", "score")
+    return near.withColumn("score", score).filter(F.col("score") >= asked).drop("edits")
+
+
+def _digest(text: Column) -> list[Column]:
+    """128 bits that stand for a text in joins and groups."""
+    return [F.xxhash64(text).alias("d1"), F.xxhash64(text, F.lit(1)).alias("d2")]
+
+
+DIGEST = ["d1", "d2"]
+SEED_WORDS = 3
+SEEDS = 4
+
+
+def _seeds(text: Column) -> Column:
+    """The smallest hashes of a text's runs of three words: texts that are much alike have some in common."""
+    def runs(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.size(words) - SEED_WORDS)
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(F.array_join(F.slice(words, k + 1, F.lit(SEED_WORDS)), " ")))
+
+    return F.slice(F.array_sort(F.array_distinct(let(F.split(text, " "), runs))), 1, SEEDS)
+
+
+def _seeded(left: DataFrame, targets: DataFrame, keys: list[str], threshold: float, metric: str) -> DataFrame:
+    """Pairs ``(keys, row, other, score)`` of rows that share a seed: a few for each left row, not all that are alike."""
+    held = targets.select(*keys, F.explode(_seeds(F.col("text"))).alias("seed"), "row", "text")
+    one = held.groupBy(*keys, "seed").agg(F.min(F.struct("row", "text")).alias("m")).select(
+        *keys, "seed", F.col("m.row").alias("other"), F.col("m.text").alias("tb")
+    )
+    asked = left.select(*keys, F.explode(_seeds(F.col("text"))).alias("seed"), "row", F.col("text").alias("ta"))
+    met = asked.join(shuffled(one), [*keys, "seed"]).drop("seed")
+    return measured(met, threshold, metric).select(*keys, "row", "other", "score")
+
+
+def _targets(right: DataFrame, keys: list[str]) -> DataFrame:
+    """Each text of a key once, with its smallest row."""
+    digested = right.select(*keys, "row", "text", *_digest(F.col("text")))
+    return digested.groupBy(*keys, *DIGEST).agg(F.min("row").alias("row"), F.any_value("text").alias("text"))
 
 
 def best_partner(
@@ -63,14 +103,17 @@ def best_partner(
 ) -> DataFrame:
     """Every left row with its most alike right row, or nulls when none reaches ``threshold``.
 
-    Equal texts are matched first by an equi join; only what is left over goes
-    to the similarity join. Ties go to the smallest right row.
+    Equal texts are matched first, by digests. Then rows that share a seed are measured, a few for each
+    row, and the score found becomes the row's own threshold in the similarity join, whose distances then stay in a
+    narrow band; it finds whatever is as good or better. Ties go to the smallest right row.
     """
-    targets = right.groupBy(*keys, "text").agg(F.min("row").alias("row"))
-    same = targets.select(*keys, "text", F.col("row").alias("same"))
-    marked = left.join(shuffled(same), [*keys, "text"], "left")
+    targets = cut_lineage(_targets(right, keys))
+    same = targets.select(*keys, *DIGEST, F.col("row").alias("same"))
+    marked = cut_lineage(left.select(*keys, "row", "text", *_digest(F.col("text"))).join(shuffled(same), [*keys, *DIGEST], "left").drop(*DIGEST))
     rest = marked.filter(F.col("same").isNull()).select(*keys, "row", "text")
-    scored = similar_pairs(rest, targets, keys, threshold, metric)
+    found = _seeded(rest, targets, keys, threshold, metric).groupBy(*keys, "row").agg(F.max("score").alias("least"))
+    asked = cut_lineage(rest.join(shuffled(found), [*keys, "row"], "left").withColumn("least", F.coalesce("least", F.lit(threshold))))
+    scored = similar_pairs(asked, targets, keys, threshold, metric)
     best = scored.groupBy(*keys, "row").agg(F.min(F.struct((-F.col("score")).alias("neg"), "other")).alias("m"))
     return marked.join(shuffled(best), [*keys, "row"], "left").select(
         *keys,
@@ -87,15 +130,18 @@ def without_partner(
     """Left rows that no right row reaches ``threshold`` with.
 
     ``known(keys, row)`` lists left rows that are known to have a partner; their
-    texts are not compared again.
+    texts are not compared again, and neither are those that a row with the same seed reaches.
     """
-    same = right.select(*keys, "text").distinct()
+    targets = cut_lineage(_targets(right, keys))
+    digested = left.select("*", *_digest(F.col("text")))
+    same = targets.select(*keys, *DIGEST)
     if known is not None:
-        same = same.unionByName(left.join(shuffled(known.distinct()), [*keys, "row"], "left_semi").select(*keys, "text")).distinct()
-    rest = left.join(shuffled(same), [*keys, "text"], "left_anti")
-    targets = right.groupBy(*keys, "text").agg(F.min("row").alias("row"))
-    met = similar_pairs(rest, targets, keys, threshold, metric).select(*keys, "row").distinct()
-    return rest.join(shuffled(met), [*keys, "row"], "left_anti")
+        same = same.unionByName(digested.join(shuffled(known.distinct()), [*keys, "row"], "left_semi").select(*keys, *DIGEST)).distinct()
+    rest = cut_lineage(digested.join(shuffled(same), [*keys, *DIGEST], "left_anti").drop(*DIGEST))
+    seeded = _seeded(rest, targets, keys, threshold, metric).select(*keys, "row").distinct()
+    left_over = cut_lineage(rest.join(shuffled(seeded), [*keys, "row"], "left_anti"))
+    met = similar_pairs(left_over, targets, keys, threshold, metric).select(*keys, "row").distinct()
+    return left_over.join(shuffled(met), [*keys, "row"], "left_anti")
 
 
 # --- references -------------------------------------------------------------
