@@ -58,9 +58,23 @@ def x2_applied_tokens(spark: SparkSession, d: str) -> DataFrame:
 def x2_applies_with_previews(spark: SparkSession, d: str) -> DataFrame:
     """Every apply as a stream row, with its preview or without.
 
-    Rows without one come out once no preview can follow, so a last row long
-    after all others ends the wait and is left out again.
+    Rows without one come out once no preview can follow.
     """
+    out = scratch_path(spark, "applies-with-previews")
+    drops.drain(approvals.applies_with_previews(*_ended_streams(spark, d)), out, scratch_path(spark, "applies-progress"))
+    return spark.read.parquet(out).filter("token <> ''").select("apply_id", "token", "issued")
+
+
+def x2_outcome_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Every apply judged in the stream, as ``x2_apply_outcomes`` judges it in a batch."""
+    out = scratch_path(spark, "apply-outcomes")
+    with approvals.timed_state(spark):
+        drops.drain(approvals.apply_outcomes(*_ended_streams(spark, d)), out, scratch_path(spark, "outcomes-progress"))
+    return spark.read.parquet(out).filter("token <> ''").select("apply_id", "token", "outcome")
+
+
+def _ended_streams(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Previews and applies; a last row long after all others, with an empty token, ends the wait for what may follow."""
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     parts = []
     for name, rows, ends in (("previews", _previews(events), {"token": ""}), ("applies", _applies(events), {"token": "", "apply_id": -1})):
@@ -69,9 +83,7 @@ def x2_applies_with_previews(spark: SparkSession, d: str) -> DataFrame:
         last = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"))
         last.select(*[F.lit(ends[c]).cast(rows.schema[c].dataType).alias(c) if c in ends else F.col(c) for c in rows.columns]).write.mode("append").parquet(path)
         parts.append(spark.readStream.schema(rows.schema).parquet(path))
-    out = scratch_path(spark, "applies-with-previews")
-    drops.drain(approvals.applies_with_previews(*parts), out, scratch_path(spark, "applies-progress"))
-    return spark.read.parquet(out).filter("token <> ''").select("apply_id", "token", "issued")
+    return parts
 
 
 def x3_confirm_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +103,7 @@ def x3_recorded_confirms(spark: SparkSession, d: str) -> DataFrame:
     )
     path = scratch_path(spark, "confirms")
     approvals.record_confirms(confirms, issued, path, scratch_path(spark, "confirms-progress"))
-    return spark.read.parquet(path).select("doc_id", "code_a", "confirm_id", F.size("units").alias("units"))
+    return approvals.recorded_confirms(spark, path).select("doc_id", "code_a", "confirm_id", F.size("units").alias("units"))
 
 
 def x4_log_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +118,7 @@ def x4_log_stream(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (x1_file_drop, x2_apply_outcomes, x2_applied_tokens, x2_applies_with_previews, x3_confirm_outcomes, x3_recorded_confirms, x4_log_stream)
+    for f in (x1_file_drop, x2_apply_outcomes, x2_applied_tokens, x2_applies_with_previews, x2_outcome_stream, x3_confirm_outcomes, x3_recorded_confirms, x4_log_stream)
 }
 
 _TOKENS = """
@@ -123,6 +135,9 @@ ORACLE = {
     "x2_apply_outcomes": f"""
         WITH {_TOKENS} SELECT apply_id, token, CASE WHEN issued IS NULL OR r > 1 THEN 'unknown or used'
                WHEN ts <= issued + INTERVAL 15 MINUTE THEN 'applied' ELSE 'expired' END AS outcome FROM j""",
+    "x2_outcome_stream": f"""
+        WITH {_TOKENS} SELECT apply_id, token, CASE WHEN issued IS NULL OR r > 1 THEN 'unknown or used'
+               WHEN ts <= issued + INTERVAL 15 MINUTE THEN 'applied' ELSE 'expired' END AS outcome FROM j""",
     "x2_applied_tokens": f"WITH {_TOKENS} SELECT token, issued FROM j WHERE r = 1 AND issued IS NOT NULL AND ts <= issued + INTERVAL 15 MINUTE",
     "x2_applies_with_previews": f"""
         WITH {_TOKENS} SELECT a.apply_id, a.token, p.ts AS issued FROM a LEFT JOIN p ON a.token = p.token AND a.ts >= p.ts AND a.ts <= p.ts + INTERVAL 15 MINUTE""",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from docketry import fixed_values as fv
 from docketry.operators.joining import shuffled
@@ -53,6 +56,104 @@ def applies_with_previews(
     ).select("apply_id", "token", "applied_at", "issued")
 
 
+ROCKS_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def timed_state(spark: SparkSession) -> Iterator[None]:
+    """State with timers needs the RocksDB store; queries started inside use it, others keep what is set."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS_PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _millis(micros: int) -> int:
+    """The millisecond that ends at ``micros`` or after it, in which timers are set."""
+    return -(-micros // 1000)
+
+
+class TokenOutcomes(StatefulProcessor):
+    """One token: when it was issued, whether it is spent, and the applies that still wait for the watermark.
+
+    An apply is judged when the watermark has passed it, so that everything earlier is there and it
+    is taken in its order. What stays is a time and a mark for each token that was issued, since it may be applied
+    at any time after.
+    """
+
+    def __init__(self, minutes: int):
+        self.life = minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.issued = handle.getValueState("issued", "at long")
+        self.spent = handle.getValueState("spent", "spent boolean")
+        self.waiting = handle.getListState("waiting", "at long, apply_id long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        for row in rows:
+            if row.apply_id is None:
+                if not self.issued.exists() or row.at < self.issued.get()[0]:
+                    self.issued.update((row.at,))
+            else:
+                self.waiting.appendValue((row.at, row.apply_id))
+                self.handle.registerTimer(_millis(row.at))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        every = [(r[0], r[1]) for r in self.waiting.get()]
+        due = sorted(r for r in every if _millis(r[0]) <= until)
+        if not due:
+            return
+        rest = [r for r in every if _millis(r[0]) > until]
+        issued = self.issued.get()[0] if self.issued.exists() else None
+        for at, apply_id in due:
+            outcome = "unknown or used"
+            if issued is not None and at >= issued and not self.spent.exists():
+                outcome = "applied" if at <= issued + self.life else "expired"
+                self.spent.update((True,))
+            yield Row(apply_id=apply_id, token=key[0], at=at, outcome=outcome)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def apply_outcomes(
+    previews: DataFrame, applies: DataFrame, minutes: int = fv.TOKEN_MINUTES, lateness: str = "1 hour"
+) -> DataFrame:
+    """Every apply once, as ``applied``, ``expired`` or ``unknown or used``: the stream of ``ledger.judged_applies``.
+
+    ``previews(token, ts)``, ``applies(apply_id, token, ts)`` as streams. An apply comes out when the watermark has passed
+    it; rows later than ``lateness`` are not judged. Start the query inside ``timed_state``.
+    """
+    none = F.lit(None).cast("long").alias("apply_id")
+    rows = previews.select("token", "ts", none).unionByName(applies.select("token", "ts", F.col("apply_id").cast("long").alias("apply_id")))
+    timed = rows.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
+    judged = timed.groupBy("token").transformWithState(
+        TokenOutcomes(minutes), "apply_id long, token string, at long, outcome string", "append", "EventTime"
+    )
+    return judged.select("apply_id", "token", F.timestamp_micros("at").alias("ts"), "outcome")
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a query keeps in its checkpoint: a new checkpoint at the same path has another."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+LEDGER_SHAPE = "code_a string, code_b string, doc_id long, units array<int>, ts timestamp, confirm_id long"
+
+
 def record_confirms(confirms: DataFrame, issued: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
     """Write the first confirmation of every issued code pair to ``ledger``; reuse is refused for good.
 
@@ -60,21 +161,23 @@ def record_confirms(confirms: DataFrame, issued: DataFrame, ledger: str, checkpo
     not in stream state. Each micro-batch reduces its codes to their first use,
     drops those that any other batch of any run recorded, and writes one folder
     named by run and batch: a batch that runs again replaces its own folder and
-    no other. A run is one checkpoint. Codes are filed in buckets, and a batch
-    reads only the buckets of its own codes.
+    no other. The run is the id that the query keeps in its checkpoint, so a query that starts over, at the same
+    path too, never replaces what an earlier one recorded. Codes are filed in buckets, and a batch
+    reads only the buckets of its own codes. Queries that run at the same moment may both write a code;
+    ``recorded_confirms`` counts the first.
     """
     spark = confirms.sparkSession
     known = issued.select("code_a", "code_b", "doc_id", "units")
-    shape = "code_a string, code_b string, doc_id long, units array<int>, ts timestamp, confirm_id long"
-    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     bucket = F.pmod(F.crc32(F.col("code_a").cast("binary")), F.lit(LEDGER_BUCKETS)).cast("int")
-    spark.createDataFrame([], shape + ", bucket int").write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/run=none/batch_id=-1")
+    # so that there is something to read from the start; written by whoever comes first
+    spark.createDataFrame([], LEDGER_SHAPE + ", bucket int").write.mode("ignore").partitionBy("bucket").parquet(f"{ledger}/run=none/batch_id=-1")
 
     def record(batch: DataFrame, batch_id: int) -> None:
+        run = _query_id(batch.sparkSession, checkpoint)
         first = batch.groupBy("code_a", "code_b").agg(F.min(F.struct("ts", "confirm_id")).alias("m")).select("code_a", "code_b", "m.*")
         first = first.withColumn("bucket", bucket)
         touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS
-        used = batch.sparkSession.read.schema(shape + ", run string, batch_id long, bucket int").parquet(ledger)
+        used = batch.sparkSession.read.schema(LEDGER_SHAPE + ", run string, batch_id long, bucket int").parquet(ledger)
         others = used.filter(F.col("bucket").isin(*touched) & ~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
         fresh = first.join(known, ["code_a", "code_b"]).join(
             shuffled(others.select("code_a", "code_b")), ["code_a", "code_b"], "left_anti"
@@ -90,3 +193,11 @@ def record_confirms(confirms: DataFrame, issued: DataFrame, ledger: str, checkpo
     )
     query.awaitTermination()
     return query
+
+
+def recorded_confirms(spark: SparkSession, ledger: str) -> DataFrame:
+    """The ledger's code pairs, each once: of one that two queries wrote at the same moment the first use counts."""
+    rows = spark.read.schema(LEDGER_SHAPE + ", run string, batch_id long, bucket int").parquet(ledger)
+    rest = ["doc_id", "units"]
+    first = rows.groupBy("code_a", "code_b").agg(F.min(F.struct("ts", "confirm_id", "run", "batch_id", *rest)).alias("m"))
+    return first.select("code_a", "code_b", *[f"m.{c}" for c in (*rest, "ts", "confirm_id")])

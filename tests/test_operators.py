@@ -441,3 +441,52 @@ def test_a_used_code_stays_used_after_a_restart(spark, tmp_path):
     land([(2, "a", "b", dt.datetime(2024, 1, 2, 9)), (3, "c", "d", dt.datetime(2024, 1, 2, 9)), (4, "c", "x", dt.datetime(2024, 1, 2, 9))])
     assert run("second") == [("a", 1), ("c", 3)]  # a new checkpoint reads everything again
     assert run("first") == [("a", 1), ("c", 3)]
+
+
+def test_a_checkpoint_that_starts_over_at_its_path_replaces_nothing(spark, tmp_path):
+    issued = spark.createDataFrame([("a", "b", 1, [1]), ("c", "d", 2, [1])], "code_a string, code_b string, doc_id long, units array<int>")
+    shape = "confirm_id long, code_a string, code_b string, ts timestamp"
+    source, book, progress = (str(tmp_path / x) for x in ("in", "ledger", "progress"))
+
+    def run():
+        approvals.record_confirms(spark.readStream.schema(shape).parquet(source), issued, book, progress)
+        return sorted((r["code_a"], r["confirm_id"]) for r in approvals.recorded_confirms(spark, book).collect())
+
+    spark.createDataFrame([(1, "a", "b", dt.datetime(2024, 1, 1, 9))], shape).write.parquet(source)
+    assert run() == [("a", 1)]
+    (tmp_path / "progress").rename(tmp_path / "moved")
+    source = str(tmp_path / "later")
+    spark.createDataFrame([(2, "a", "b", dt.datetime(2024, 1, 2, 9)), (3, "c", "d", dt.datetime(2024, 1, 2, 9))], shape).write.parquet(source)
+    assert run() == [("a", 1), ("c", 3)]
+
+
+def test_a_code_written_by_two_queries_counts_once(spark, tmp_path):
+    shape = approvals.LEDGER_SHAPE + ", bucket int"
+    for run, confirm, hour in (("x", 5, 9), ("y", 4, 10)):
+        rows = [("a", "b", 1, [1], dt.datetime(2024, 1, 1, hour), confirm, 3)]
+        spark.createDataFrame(rows, shape).write.partitionBy("bucket").parquet(f"{tmp_path}/run={run}/batch_id=0")
+    assert [r["confirm_id"] for r in approvals.recorded_confirms(spark, str(tmp_path)).collect()] == [5]
+
+
+def test_outcomes_of_the_stream_are_those_of_the_batch(spark, tmp_path):
+    """In two drains: late previews, several applies of a token, applies before the preview, unknown and expired tokens."""
+    rng = random.Random(6)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m, microseconds=rng.randrange(10**6))
+    previews = [(f"t{k}", at(rng.randrange(600))) for k in range(40)] + [("t1", at(700))]
+    applies = [(k, f"t{rng.randrange(50)}", at(rng.randrange(640))) for k in range(150)]
+    end = dt.datetime(2025, 1, 1)
+    shapes = {"p": "token string, ts timestamp", "a": "apply_id long, token string, ts timestamp"}
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    cut = sorted(ts for _, ts in previews)[20]
+    for early in (True, False):
+        for name, rows, last in (("p", previews, [("", end)]), ("a", applies, [(-1, "", end)])):
+            part = [r for r in rows if (r[-1] <= cut) == early] + ([] if early else last)
+            spark.createDataFrame(part, shapes[name]).write.mode("append").parquet(str(tmp_path / name))
+        streams = [spark.readStream.schema(shapes[n]).parquet(str(tmp_path / n)) for n in ("p", "a")]
+        with approvals.timed_state(spark):
+            drops.drain(approvals.apply_outcomes(*streams), out, progress)
+    want = ledger.judged_applies(spark.createDataFrame(previews, shapes["p"]), spark.createDataFrame(applies, shapes["a"]))
+    rows = spark.read.parquet(out).filter("apply_id >= 0")
+    got = sorted((r.apply_id, r.token, r.outcome) for r in rows.collect())
+    assert got == sorted((r.apply_id, r.token, r.outcome) for r in want.collect())
+    assert {r[2] for r in got} == {"applied", "expired", "unknown or used"}
