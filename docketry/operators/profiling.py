@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from docketry import fixed_values as fv
 
@@ -43,7 +43,7 @@ def candidate_relations(
     return found
 
 
-KEY_TYPE = "decimal(38,6)"  # in which whole and decimal keys compare alike
+DECIMAL_KEY = "decimal(38,6)"  # in which whole and decimal keys compare alike
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -58,17 +58,24 @@ def inclusion_report(tables: dict[str, DataFrame], relations: list[Relation]) ->
 
     A child is read once for all its columns and reduced to counted keys before
     it meets the parents, so the join carries each key once however often it
-    occurs. Keys are compared as numbers.
+    occurs. Keys are compared as numbers: as longs where both sides are whole, as decimals
+    elsewhere.
     """
+    whole = [r for r in relations if all(isinstance(tables[t].schema[c].dataType, IntegralType) for t, c in ((r.child, r.child_column), (r.parent, r.parent_column)))]
+    rest = [r for r in relations if r not in whole]
+    return _union([_inclusion(tables, own, key) for own, key in ((whole, "long"), (rest, DECIMAL_KEY)) if own])
+
+
+def _inclusion(tables: dict[str, DataFrame], relations: list[Relation], key_type: str) -> DataFrame:
     counted = []
     for child in dict.fromkeys(r.child for r in relations):
         columns = list(dict.fromkeys(r.child_column for r in relations if r.child == child))
-        pairs = F.array(*[F.struct(F.lit(c).alias("child_column"), F.col(c).cast(KEY_TYPE).alias("k")) for c in columns])
+        pairs = F.array(*[F.struct(F.lit(c).alias("child_column"), F.col(c).cast(key_type).alias("k")) for c in columns])
         rows = tables[child].select(F.explode(pairs).alias("p")).select("p.*")
         counted.append(rows.groupBy("child_column", "k").agg(F.count(F.lit(1)).alias("n")).withColumn("child", F.lit(child)))
     parents = dict.fromkeys((r.parent, r.parent_column) for r in relations)
     known = [
-        tables[p].select(F.lit(p).alias("parent"), F.lit(c).alias("parent_column"), F.col(c).cast(KEY_TYPE).alias("k")).distinct() for p, c in parents
+        tables[p].select(F.lit(p).alias("parent"), F.lit(c).alias("parent_column"), F.col(c).cast(key_type).alias("k")).distinct() for p, c in parents
     ]
     targets = F.create_map(
         *[
