@@ -4,12 +4,13 @@
    its words and the hashes of its windows. A window hashes to the smallest hash of the
    short word runs inside it, so neighbouring windows share most of their hashes, and
    equal windows always have the same one.
-2. *Sketch.* Every partition counts the documents of each hash in its own count-min
-   sketch. Sketches travel as lists of their non-zero cells, cut into blocks of cells,
-   and are merged block by block. A cell's count is never below the number of documents
-   with a window that falls in it. A hash that one partition has in two documents is
-   settled there; others ask the merged block, one entry a cell and partition, so a hot
-   passage sends no more than that. The number of cells follows the number of hashes.
+2. *Sketch.* Every partition counts the documents of each hash in a count-min sketch: several
+   rows of counters, in each of which a hash has a counter of its own choosing. A row is far wider than a
+   partition fills, so it travels as its non-zero counters, cut into blocks of columns; sketches are merged by adding up
+   a block's counters. A hash's estimate is the smallest of its counters, and never below the number of
+   documents that have it. A hash that one partition has in two documents is settled there; one that it has in one
+   document asks the first row's blocks, once a partition, so a hot passage sends no more than that, and what passes asks the
+   other rows. The width follows the number of hashes, so the share that passes for nothing does not grow.
 3. *Exact pass.* Only windows estimated in two documents or more are grouped, by two
    independent 64-bit hashes of their whole word sequence, which counts as exact.
 
@@ -31,10 +32,13 @@ from docketry.llm.common import SPACE_PATTERN, Texts, mixed, span_hashes, texts,
 
 WINDOW = 50  # words
 RUN = 6  # words of the short runs a window's hash is chosen from
-CELLS_PER_HASH = 64  # cells of the sketch for each hash counted: one in so many is overestimated
-BLOCK_BITS = 21  # cells of a block, as a power of two
+SKETCH_ROWS = 3
+CELLS_PER_HASH = 4  # counters of a row for each hash counted; at 1 - exp(-1 / 4) a row, one hash in a hundred passes all three for nothing
+BLOCK_BITS = 21  # counters of a block, as a power of two
 SKETCH_HASHES = 1 << 21  # hashes after which a partition starts another sketch
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
+_ROW_STEP = 0x9E3779B97F4A7C15
+_SETTLED = -1  # stands in for a row of the sketch
 _NO_ID = (1 << 63) - 1  # stands for a null id, after all others
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -88,13 +92,19 @@ def profile(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, sha string, hashes binary")
 
 
+def counters(values: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The counter of every hash in a row of the sketch. The first row's follow the order of the hashes."""
+    if row:
+        values = mixed(values ^ np.uint64(_ROW_STEP * row & (1 << 64) - 1))
+    return values >> np.uint64(64 - bits)
+
+
 def repeated_hashes(profiles: DataFrame, n_hashes: int) -> DataFrame:
-    """``doc_id, hashes``: of every document, those of its hashes whose sketch count is two or more."""
+    """``doc_id, hashes``: of every document, those of its hashes that are estimated in two documents or more."""
     bits = max(BLOCK_BITS, math.ceil(math.log2(max(2, CELLS_PER_HASH * n_hashes))))
-    cells = 1 << BLOCK_BITS
+    wide = 1 << BLOCK_BITS
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a block: the cells counted twice or more, twice; then those counted once, with the document that asks."""
         docs, hashes, held = [], [], 0
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -103,74 +113,101 @@ def repeated_hashes(profiles: DataFrame, n_hashes: int) -> DataFrame:
                 hashes.append(own)
                 held += len(own)
                 if held >= SKETCH_HASHES:
-                    yield from one_sketch(docs, hashes)
+                    yield from one_sketch(np.concatenate(docs), np.concatenate(hashes))
                     docs, hashes, held = [], [], 0
         if docs:
-            yield from one_sketch(docs, hashes)
+            yield from one_sketch(np.concatenate(docs), np.concatenate(hashes))
 
-    def one_sketch(docs: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        doc, value = np.concatenate(docs), np.concatenate(hashes)
-        order = np.argsort(value, kind="stable")  # cells are the leading bits, so blocks and cells come in order too
+    def one_sketch(doc: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Blocks of every row: counters at one, and those at two or more. In the first row the hashes that ask stand for the former."""
+        order = np.argsort(value, kind="stable")  # the first row's counters and blocks come in order too
         doc, value = doc[order], value[order]
-        cell = value >> np.uint64(64 - bits)
-        opens = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        times = np.diff([*opens, len(cell)])
+        opens = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        times = np.diff([*opens, len(value)])
         often = np.repeat(times > 1, times)
-        yield _rows([-1], [value[often]], [doc[often]])  # settled here, whatever the others have
-        block = (cell[opens] >> np.uint64(BLOCK_BITS)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(block, prepend=-1))
-        names, keys, asked = [], [], []
-        none = np.zeros(0, np.int64)
-        for a, b in zip(cuts, [*cuts[1:], len(block)], strict=True):
-            once = opens[a:b][times[a:b] == 1]
-            many = opens[a:b][times[a:b] > 1]
-            names += [block[a], block[a], block[a]]
-            keys += [value[many], value[many], value[once]]  # twice for a count of two
-            asked += [none, none, doc[once]]
-            if len(names) >= 3000:
-                yield _rows(names, keys, asked)
-                names, keys, asked = [], [], []
-        if names:
-            yield _rows(names, keys, asked)
+        if often.any():
+            yield _blocks(_SETTLED, [0], [value[often]], [doc[often]])  # whatever the others have
+        for row in range(SKETCH_ROWS):
+            counter = counters(value, row, bits)
+            place = np.arange(len(counter)) if row == 0 else np.argsort(counter, kind="stable")
+            counter = counter[place]
+            first = np.flatnonzero(np.concatenate([[True], counter[1:] != counter[:-1]]))
+            n = np.diff([*first, len(counter)])
+            block = (counter[first] >> np.uint64(BLOCK_BITS)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(block, prepend=-1))
+            names, ones, more = [], [], []
+            for a, b in zip(cuts, [*cuts[1:], len(block)], strict=True):
+                once, many = first[a:b][n[a:b] == 1], first[a:b][n[a:b] > 1]
+                names.append(block[a])
+                if row == 0:
+                    asking = np.flatnonzero(~often[first[a] : first[b - 1] + n[b - 1]]) + first[a]
+                    ones.append(value[asking])
+                    more.append((doc[asking], (counter[many] & np.uint64(wide - 1)).astype(np.uint32)))
+                else:
+                    ones.append((counter[once] & np.uint64(wide - 1)).astype(np.uint32))
+                    more.append((counter[many] & np.uint64(wide - 1)).astype(np.uint32))
+                if len(names) >= 1000:
+                    yield _blocks(row, names, ones, more)
+                    names, ones, more = [], [], []
+            if names:
+                yield _blocks(row, names, ones, more)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "block", 64):
-            names = table.column("block").to_numpy()
-            cuts = np.flatnonzero(np.diff(names, prepend=-2))
+        for table in whole_runs(batches, "run", 64):
+            names, row = table.column("run").to_numpy(), table.column("row").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
             for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
-                run = table.slice(a, b - a)
-                keys = [np.frombuffer(x.as_py(), np.uint64) for x in run.column("keys")]
-                docs = [np.frombuffer(x.as_py(), np.int64) for x in run.column("docs")]
-                if names[a] >= 0:
-                    counts = np.bincount(_cell(np.concatenate(keys), bits), minlength=cells)
-                    keep = [counts[_cell(k, bits)] > 1 if len(d) else np.zeros(0, bool) for k, d in zip(keys, docs, strict=True)]
-                    keys = [k[: len(s)][s] for k, s in zip(keys, keep, strict=True)]
-                    docs = [d[s] for d, s in zip(docs, keep, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys).view(np.int64))], ["doc_id", "hash"]
-                )
+                part = table.slice(a, b - a)
+                ones, docs, more = ([x.as_py() for x in part.column(c)] for c in ("ones", "docs", "more"))
+                many = np.frombuffer(b"".join(more), np.uint32)
+                if row[a] > 0:
+                    total = np.bincount(np.frombuffer(b"".join(ones), np.uint32), minlength=wide) + 2 * np.bincount(many, minlength=wide)
+                    at = np.flatnonzero(total > 1) + (int(part.column("block")[0].as_py()) << BLOCK_BITS)
+                    yield _passed(row[a], np.full(len(at), -1), at, None)
+                    continue
+                value, doc = np.frombuffer(b"".join(ones), np.uint64), np.frombuffer(b"".join(docs), np.int64)
+                if row[a] == 0:
+                    own = (counters(value, 0, bits) & np.uint64(wide - 1)).astype(np.int64)
+                    # a hash that asks has added one; counters at two or more in a partition add two, those that ask included
+                    total = np.bincount(own, minlength=wide) + 2 * np.bincount(many, minlength=wide)
+                    value, doc = value[total[own] > 1], doc[total[own] > 1]
+                others = np.stack([counters(value, r, bits) for r in range(1, SKETCH_ROWS)], axis=1) if SKETCH_ROWS > 1 else np.zeros((len(value), 0))
+                yield _passed(row[a], doc, value.view(np.int64), others.astype(np.int64))
 
     tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = profiles.select("doc_id", "hashes").mapInArrow(sketch, "block long, salt int, keys binary, docs binary")
-    merged = rows.repartition(tasks, "block", "salt").sortWithinPartitions("block").mapInArrow(merge, "doc_id long, hash long")
-    return merged.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
-
-
-def _cell(values: np.ndarray, bits: int) -> np.ndarray:
-    return ((values >> np.uint64(64 - bits)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+    sent = profiles.select("doc_id", "hashes").mapInArrow(sketch, "row int, block long, salt int, ones binary, docs binary, more binary")
+    dealt = sent.repartition(tasks, "row", "block", "salt").withColumn("run", F.col("row") * F.lit(1 << 48) + F.col("block"))
+    passed = written(dealt.sortWithinPartitions("run").mapInArrow(merge, "row int, doc_id long, value long, others array<long>"), "estimates")
+    asked = passed.where("row = 0").select("doc_id", "value", "others")
+    for r in range(1, SKETCH_ROWS):
+        full = passed.where(F.col("row") == r).select(F.col("value").alias("counter"))
+        asked = asked.join(full, F.get("others", F.lit(r - 1)) == F.col("counter"), "left_semi")
+    settled = passed.where(F.col("row") == _SETTLED).select("doc_id", "value")
+    return asked.select("doc_id", "value").unionByName(settled).groupBy("doc_id").agg(F.collect_list("value").alias("hashes"))
+
+
+def _passed(row: int, doc: np.ndarray, value: np.ndarray, others: np.ndarray | None) -> pa.RecordBatch:
+    n = len(value)
+    each = np.zeros((n, 0), np.int64) if others is None else others
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * each.shape[1], pa.int32()), pa.array(each.reshape(-1).astype(np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, row, np.int32)), pa.array(doc.astype(np.int64)), pa.array(value.astype(np.int64)), lists], ["row", "doc_id", "value", "others"]
+    )
 
 
-def _rows(blocks: list, keys: list, docs: list) -> pa.RecordBatch:
+def _blocks(row: int, blocks: list, ones: list, more: list) -> pa.RecordBatch:
     from pyspark import TaskContext
 
-    salt = TaskContext.get().partitionId()
+    salt = TaskContext.get().partitionId() if row == _SETTLED else 0  # settled rows go anywhere
+    n = len(blocks)
+    if row == _SETTLED:
+        docs, many = more, [b""] * n
+    else:
+        docs, many = ([d for d, _ in more], [m for _, m in more]) if row == 0 else ([b""] * n, more)
+    pack = lambda xs: pa.array([x if isinstance(x, bytes) else x.tobytes() for x in xs], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.array(blocks, np.int64)),
-            pa.array(np.where(np.array(blocks) < 0, salt, 0).astype(np.int32)),  # settled rows go anywhere
-            pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in docs], pa.binary()),
-        ],
-        ["block", "salt", "keys", "docs"],
+        [pa.array(np.full(n, row, np.int32)), pa.array(np.array(blocks, np.int64)), pa.array(np.full(n, salt, np.int32)), pack(ones), pack(docs), pack(many)],
+        ["row", "block", "salt", "ones", "docs", "more"],
     )
 
 

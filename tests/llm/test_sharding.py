@@ -74,7 +74,8 @@ def test_cells_are_equal_shares(documents):
     frame = documents(rows, extra=False).select((F.length("text") + 16).cast("double").alias("m"))
     limits = sharding.cut_points(frame, ["m"], 3)[0]
     assert len(limits) == 7
-    for k, x in enumerate(limits):
-        assert abs(sum(s < x for s in sizes) - 125 * (k + 1)) <= 5
+    ties = max(Counter(sizes).values())
+    for k, x in enumerate(limits):  # the quantiles' rank error is one in 256, and equal sizes stay together
+        assert abs(sum(s < x for s in sizes) - 125 * (k + 1)) <= 1000 / 256 + ties
     cells = frame.select("m", sharding.cell(F.col("m"), limits).alias("c")).collect()
     assert all(r.c == sum(x <= r.m for x in limits) for r in cells)

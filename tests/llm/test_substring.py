@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from docketry.llm import substring
@@ -65,6 +67,30 @@ def test_full_sketch_only_lets_more_windows_through(documents, monkeypatch):
     assert rows_of(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute(data, 5)
 
 
+def test_estimates_lose_none_and_pass_few_for_nothing(spark):
+    rng = np.random.default_rng(5)
+    own = rng.integers(0, 1 << 63, (2000, 100), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    common = rng.integers(0, 1 << 62, 50, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([own[k], common[rng.random(50) < 0.01]])) for k in range(2000)]
+    times = Counter(x for s in sets for x in s.tolist())
+    rows = [(k, bytearray(s.tobytes())) for k, s in enumerate(sets)]
+    profiles = spark.createDataFrame(rows, "doc_id long, hashes binary").repartition(7)
+    out = substring.repeated_hashes(profiles, sum(map(len, sets))).collect()
+    passed = [(r.doc_id, h & ((1 << 64) - 1)) for r in out for h in r.hashes]
+    assert len(passed) == len(set(passed))
+    wanted = {(k, x) for k, s in enumerate(sets) for x in s.tolist() if times[x] > 1}
+    assert wanted and wanted <= set(passed)
+    single = sum(n == 1 for n in times.values())
+    assert 0 < len(set(passed) - wanted) < 0.02 * single
+
+
+def test_rows_choose_counters_apart():
+    values = np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64)
+    a, b = substring.counters(values, 1, 12), substring.counters(values, 2, 12)
+    same = a == a[0]
+    assert 0 < same.sum() < 12 and len(set(b[same].tolist())) == same.sum()
+
+
 def test_many_sketches_a_partition(documents, monkeypatch):
     monkeypatch.setattr(substring, "SKETCH_HASHES", 20)
     data = rows(50)
