@@ -9,6 +9,8 @@ from docketry import fixed_values as fv
 from docketry.catalog import inputs
 from docketry.catalog.windows import _case_pointers, _new_cases
 from docketry.operators import changes
+from docketry.session import scratch_path
+from docketry.sources import keyed
 from docketry.sources.tables import table
 
 
@@ -139,10 +141,21 @@ def u8_registry(spark: SparkSession, d: str) -> DataFrame:
     return changes.merge_registry(registry, updates, uses, "c_custkey")
 
 
+def u1_written_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in buckets of their key; the changes rewrite the buckets they touch."""
+    base = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    path, asked = scratch_path(spark, "customers"), _customer_changes(spark, d)
+    keyed.create_keyed(base, path, ["c_custkey"])
+    keyed.rewrite(
+        spark, path, base.schema, ["c_custkey"], [asked.select(F.col("key").alias("c_custkey"))], lambda rows: changes.apply_changes(rows, asked, "c_custkey")
+    )
+    return keyed.read_keyed(spark, path, base.schema)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        u1_change_plan, u1_applied_changes, u2_remaining_acts, u2_delete_log, u2_recycle_rows, u3_status_requests, u4_stage_deletes,
+        u1_change_plan, u1_applied_changes, u1_written_changes, u2_remaining_acts, u2_delete_log, u2_recycle_rows, u3_status_requests, u4_stage_deletes,
         u5_duplicate_names, u6_renamed_paths, u7_new_cases, u7_case_rows, u8_registry,
     )
 }
@@ -248,3 +261,4 @@ ORACLE = {
                      CASE WHEN c_custkey IS NOT NULL THEN 1 ELSE 0 END AS b FROM customer FULL JOIN u ON c_custkey = u.k)
         SELECT m.c_custkey, name, topic, updated_at, CAST(b + coalesce(n, 0) AS BIGINT) AS use_count, last AS last_used FROM m LEFT JOIN s ON s.k = m.c_custkey""",
 }
+ORACLE["u1_written_changes"] = ORACLE["u1_applied_changes"]

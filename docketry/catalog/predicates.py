@@ -10,6 +10,8 @@ from docketry.catalog import inputs
 from docketry.catalog.inputs import sql_text
 from docketry.functions import patterns, text
 from docketry.operators import holdings, predicates
+from docketry.session import scratch_path
+from docketry.sources import postings
 from docketry.sources.tables import table
 
 
@@ -83,10 +85,18 @@ def p11_identity_filter(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("doc_key", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p4_posted_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """The phrase looked up in a posting table first; only texts that hold all its runs are opened."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "postings")
+    postings.write_postings(docs, ["doc_id"], "text", path)
+    return predicates.find_phrase(postings.texts_with(spark, path, docs, ["doc_id"], "text", "License"), "doc_id", "text", "License", 10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_find, p2_search_fields, p3_section_search, p4_phrase, p5_holding_lookup, p6_saved_views, p7_forbidden_characters,
+        p1_find, p2_search_fields, p3_section_search, p4_phrase, p4_posted_phrase, p5_holding_lookup, p6_saved_views, p7_forbidden_characters,
         p8_typography, p9_case_state, p10_allow_list, p11_identity_filter,
     )
 }
@@ -150,3 +160,4 @@ ORACLE = {
         SELECT doc_key, type, count(*) AS n FROM t
         WHERE type IN ('name', 'id', 'address', 'account') AND length({SEARCH_KEY.format('text')}) >= 4 GROUP BY ALL""",
 }
+ORACLE["p4_posted_phrase"] = ORACLE["p4_phrase"]

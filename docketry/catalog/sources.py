@@ -108,6 +108,19 @@ def c2_row_counts(spark: SparkSession, d: str) -> DataFrame:
     return tables.row_counts(spark, d, [*tables.TABLES, "no_such_table"])
 
 
+PROFILED = ["customer", "orders", "documents"]
+
+
+def c2_file_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and filled values of every column, added up from the profiles of the files."""
+    parts = []
+    for name in PROFILED:
+        path, store = f"{d.rstrip('/')}/{name}.parquet", scratch_path(spark, f"profile-{name}")
+        profiling.profile_new_files(spark, path, store)
+        parts.append(profiling.merged_profile(spark, path, store).select(F.lit(name).alias("table_name"), "column", "n_rows", "filled"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 PRIMARY_KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
     "part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id",
@@ -136,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s1_file_discovery, s2_document_keys, s3_word_table, s4_page_split, s5_reading_units, s6_page_slices,
-        s7_table_query, s8_run_log, s9_report_files, c2_row_counts, c3_inclusion_check, c4_stored_files,
+        s7_table_query, s8_run_log, s9_report_files, c2_row_counts, c2_file_profiles, c3_inclusion_check, c4_stored_files,
     )
 }
 
@@ -207,6 +220,11 @@ ORACLE = {
         [f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in tables.TABLES]
         + ["SELECT 'no_such_table', CAST(-1 AS BIGINT)"]
     ),
+    "c2_file_profiles": " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, "column", n_rows, filled FROM (
+          SELECT (SELECT count(*) FROM {t}) AS n_rows, * FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME "column" VALUE filled))"""
+        for t in PROFILED
+    ),
     "c3_inclusion_check": " UNION ALL ".join(
         f"""SELECT '{c}' AS child, '{cc}' AS child_column, '{p}' AS parent, count(*) AS n_rows,
                    count(*) FILTER ({cc} IS NOT NULL AND {cc} <> 0) AS filled,

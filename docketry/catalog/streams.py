@@ -116,9 +116,19 @@ def x4_log_stream(spark: SparkSession, d: str) -> DataFrame:
     return logs.runs_per_day(spark.read.parquet(out))
 
 
+def x4_running_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Two drains in turn: the second reads the rows that were appended in between."""
+    log, store, progress = (scratch_path(spark, n) for n in ("runlog", "totals", "totals-progress"))
+    entries = _log_entries(spark, d)
+    for part in ("applied", "not applied"):
+        sinks.append_log(entries.filter(part), log)
+        logs.keep_totals(logs.log_stream(spark, log), store, progress)
+    return logs.read_totals(spark, store)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (x1_file_drop, x2_apply_outcomes, x2_applied_tokens, x2_applies_with_previews, x2_outcome_stream, x3_confirm_outcomes, x3_recorded_confirms, x4_log_stream)
+    for f in (x1_file_drop, x2_apply_outcomes, x2_applied_tokens, x2_applies_with_previews, x2_outcome_stream, x3_confirm_outcomes, x3_recorded_confirms, x4_log_stream, x4_running_totals)
 }
 
 _TOKENS = """
@@ -155,3 +165,4 @@ ORACLE = {
                    FROM events GROUP BY ALL)
         SELECT * FROM g""",
 }
+ORACLE["x4_running_totals"] = ORACLE["x4_log_stream"]

@@ -14,6 +14,8 @@ from docketry.catalog.text import LATIN_APPENDIX
 from docketry.functions.arrays import lines_of, matches
 from docketry.functions.text import comparison_key
 from docketry.operators import cases, changes, entities, forms, holdings, layout, matching, ordered, quality, rulebooks, structure
+from docketry.session import scratch_path
+from docketry.sources import keyed
 from docketry.sources.tables import table
 
 
@@ -235,6 +237,16 @@ def d7_append_absent(spark: SparkSession, d: str) -> DataFrame:
     return changes.append_absent(target, more, ["c_custkey"])
 
 
+def d7_written_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with the target in buckets of its key: absent rows are added to the buckets they belong to."""
+    target = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    more = table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"))
+    path = scratch_path(spark, "segments")
+    keyed.create_keyed(target, path, ["c_custkey"])
+    keyed.rewrite(spark, path, target.schema, ["c_custkey"], [more.select("c_custkey")], lambda rows: changes.append_absent(rows, more, ["c_custkey"]))
+    return keyed.read_keyed(spark, path, target.schema)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -242,6 +254,7 @@ QUERIES = {
         w8_operative_tail, w9_current_stage, w9_stage_durations, w9_stage_catalog, w9_pointer_mismatches, w10_case_numbers, w11_paragraph_numbers,
         t1_similar_names, t2_box_dedupe, t4_ordered_findings, t5_reading_order, t6_near_sections, t7_latest_revision,
         d1_reference_difference, d2_first_hits, d3_merged_citers, d4_detector_union, d5_template_keys, d6_stage_documents, d7_append_absent,
+        d7_written_rows,
     )
 }
 
@@ -412,3 +425,4 @@ ORACLE = {
         SELECT c_custkey, c_mktsegment FROM customer UNION ALL
         SELECT o_custkey * 2, min(o_orderpriority) FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey""",
 }
+ORACLE["d7_written_rows"] = ORACLE["d7_append_absent"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
@@ -122,3 +122,49 @@ def verify_stored_files(acts: DataFrame, files: DataFrame) -> DataFrame:
         F.coalesce("file_present", F.lit(False)).alias("file_present"),
     )
     return checked.filter(~F.col("name_ok") | ~F.col("file_present"))
+
+
+# --- mergeable profiles -----------------------------------------------------
+
+PROFILE = "path string, length long, modified timestamp, column string, n_rows long, filled long, sketch binary"
+
+
+def _present_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a table as they are now; only metadata is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.filter(F.col("path").endswith(".parquet")).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def profile_new_files(spark: SparkSession, path: str, store: str) -> int:
+    """Profile the files of a Parquet table that the store does not know, and return how many.
+
+    Per file and column: rows, filled values and a sketch of the distinct ones. A file
+    that was replaced under its name is new.
+    """
+    spark.createDataFrame([], PROFILE).write.mode("ignore").parquet(store)
+    known = spark.read.schema(PROFILE).parquet(store).select("path", "length", "modified").distinct()
+    fresh = _present_files(spark, path).join(known, ["path", "length", "modified"], "left_anti").collect()
+    if not fresh:
+        return 0
+    rows = spark.read.parquet(*[r.path for r in fresh])
+    facts = [
+        F.struct(
+            F.lit(f.name).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count(F.col(f"`{f.name}`")).alias("filled"),
+            F.hll_sketch_agg(F.col(f"`{f.name}`").cast("string")).alias("sketch"),
+        )
+        for f in rows.schema.fields
+    ]
+    counted = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.array(*facts).alias("facts"))
+    listed = spark.createDataFrame(fresh, "path string, length long, modified timestamp")
+    named = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the two listings write the scheme differently
+    met = counted.select(named(F.col("path")).alias("name"), F.explode("facts").alias("f")).join(listed.withColumn("name", named(F.col("path"))), "name")
+    met.select("path", "length", "modified", "f.*").write.mode("append").parquet(store)
+    return len(fresh)
+
+
+def merged_profile(spark: SparkSession, path: str, store: str) -> DataFrame:
+    """``column, n_rows, filled, about_distinct`` of the files that the table has now, from their profiles alone."""
+    held = spark.read.schema(PROFILE).parquet(store).join(_present_files(spark, path), ["path", "length", "modified"], "left_semi")
+    return held.groupBy("column").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("filled").alias("filled"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about_distinct")
+    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from docketry import fixed_values as fv
 from docketry.operators.joining import shuffled
+from docketry.streaming.progress import query_id
 
 LEDGER_BUCKETS = 64
 
@@ -146,11 +146,6 @@ def apply_outcomes(
     return judged.select("apply_id", "token", F.timestamp_micros("at").alias("ts"), "outcome")
 
 
-def _query_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id a query keeps in its checkpoint: a new checkpoint at the same path has another."""
-    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
-
-
 LEDGER_SHAPE = "code_a string, code_b string, doc_id long, units array<int>, ts timestamp, confirm_id long"
 
 
@@ -173,7 +168,7 @@ def record_confirms(confirms: DataFrame, issued: DataFrame, ledger: str, checkpo
     spark.createDataFrame([], LEDGER_SHAPE + ", bucket int").write.mode("ignore").partitionBy("bucket").parquet(f"{ledger}/run=none/batch_id=-1")
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        run = _query_id(batch.sparkSession, checkpoint)
+        run = query_id(batch.sparkSession, checkpoint)
         first = batch.groupBy("code_a", "code_b").agg(F.min(F.struct("ts", "confirm_id")).alias("m")).select("code_a", "code_b", "m.*")
         first = first.withColumn("bucket", bucket)
         touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS
