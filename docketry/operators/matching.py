@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold:
     return measured(met, threshold, metric).select(*keys, "row", "other", "score")
 
 
-def measured(pairs: DataFrame, threshold: float, metric: str = "edit") -> DataFrame:
+def measured(pairs: DataFrame, threshold: float, metric: str = "edit", widen: bool = False) -> DataFrame:
     """The pairs of texts ``ta`` and ``tb`` that are at least ``threshold`` alike, with their ``score``.
 
     The edit distance with an upper limit works on a narrow band, and only pairs within it get a score of matching
-    blocks. Pairs may bring a higher threshold of their own, ``least``, which narrows the band.
+    blocks. Pairs may bring a higher threshold of their own, ``least``, which narrows the band. With ``widen``, for pairs
+    that are mostly much alike, narrower bands are tried first.
     """
     la, lb = F.length("ta"), F.length("tb")
     small, large = F.least(la, lb), F.greatest(la, lb)
@@ -54,6 +56,10 @@ def measured(pairs: DataFrame, threshold: float, metric: str = "edit") -> DataFr
     met = pairs.filter(small >= F.floor(large * shortest))
     # Exploding the filtered one-element array computes the distance once per pair.
     distance = F.call_function("levenshtein", F.col("ta"), F.col("tb"), limit)
+    if widen:
+        for share in (4, 16):
+            narrow = F.call_function("levenshtein", F.col("ta"), F.col("tb"), F.floor(limit / share).cast("int"))
+            distance = let(narrow, _or_else(distance))
     near = met.withColumn("edits", F.explode(F.filter(F.array(distance), lambda x: x >= 0)))
     if metric == "edit":
         score = F.when(large == 0, F.lit(1.0)).otherwise(F.lit(1) - F.col("edits") / large)
@@ -62,6 +68,10 @@ def measured(pairs: DataFrame, threshold: float, metric: str = "edit") -> DataFr
     return near.withColumn("score", score).filter(F.col("score") >= asked).drop("edits")
 
 
+def _or_else(wider: Column) -> Callable[[Column], Column]:
+    return lambda found: F.when(found >= 0, found).otherwise(wider)
+
+
 def _digest(text: Column) -> list[Column]:
     """128 bits that stand for a text in joins and groups."""
     return [F.xxhash64(text).alias("d1"), F.xxhash64(text, F.lit(1)).alias("d2")]
@@ -78,18 +88,22 @@ def _seeds(text: Column) -> Column:
         last = F.greatest(F.lit(0), F.size(words) - SEED_WORDS)
         return F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(F.array_join(F.slice(words, k + 1, F.lit(SEED_WORDS)), " ")))
 
-    return F.slice(F.array_sort(F.array_distinct(let(F.split(text, " "), runs))), 1, SEEDS)
+    return F.slice(F.sort_array(F.array_distinct(let(F.split(text, " "), runs))), 1, SEEDS)
 
 
 def _seeded(left: DataFrame, targets: DataFrame, keys: list[str], threshold: float, metric: str) -> DataFrame:
-    """Pairs ``(keys, row, other, score)`` of rows that share a seed: a few for each left row, not all that are alike."""
-    held = targets.select(*keys, F.explode(_seeds(F.col("text"))).alias("seed"), "row", "text")
-    one = held.groupBy(*keys, "seed").agg(F.min(F.struct("row", "text")).alias("m")).select(
-        *keys, "seed", F.col("m.row").alias("other"), F.col("m.text").alias("tb")
-    )
-    asked = left.select(*keys, F.explode(_seeds(F.col("text"))).alias("seed"), "row", F.col("text").alias("ta"))
-    met = asked.join(shuffled(one), [*keys, "seed"]).drop("seed")
-    return measured(met, threshold, metric).select(*keys, "row", "other", "score")
+    """Every left row with the target that shares most of its seeds, ``(keys, row, other, score)``, if it is alike enough.
+
+    Of the targets that have a seed one is looked up, so a frequent seed makes no pairs; texts are fetched for
+    the one pair of a row.
+    """
+    held = targets.select(*keys, F.explode(_seeds(F.col("text"))).alias("seed"), "row").groupBy(*keys, "seed").agg(F.min("row").alias("other"))
+    asked = left.select(*keys, F.explode(_seeds(F.col("text"))).alias("seed"), "row")
+    shared = asked.join(shuffled(held), [*keys, "seed"]).groupBy(*keys, "row", "other").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy(*keys, "row").agg(F.max(F.struct("n", "other")).alias("m")).select(*keys, "row", "m.other")
+    pairs = left.select(*keys, "row", F.col("text").alias("ta")).join(shuffled(best), [*keys, "row"])
+    pairs = pairs.join(shuffled(targets.select(*keys, F.col("row").alias("other"), F.col("text").alias("tb"))), [*keys, "other"])
+    return measured(pairs, threshold, metric, widen=True).select(*keys, "row", "other", "score")
 
 
 def _targets(right: DataFrame, keys: list[str]) -> DataFrame:
