@@ -9,6 +9,7 @@ from docketry import fixed_values as fv
 from docketry.catalog import inputs
 from docketry.catalog.inputs import sql_list, sql_text
 from docketry.functions import dates, patterns, rules, text
+from docketry.functions.arrays import let
 from docketry.operators import cases
 from docketry.sources.tables import table
 
@@ -73,11 +74,13 @@ CONNECTORS = ["In addition,", "However,"]
 
 def f10_leading_additions(spark: SparkSession, d: str) -> DataFrame:
     front = F.element_at(F.array(F.lit("In addition, "), F.lit("Whatever "), F.lit("")), (F.col("pos") % 3 + 1).cast("int"))
-    keyed = inputs.lines(spark, d).select(
-        "doc_key", "pos", text.comparison_key(F.col("text")).alias("o"), text.comparison_key(F.concat(front, F.col("text"))).alias("n")
+    added = let(
+        text.comparison_key(F.col("text")),
+        lambda o: let(text.comparison_key(F.concat(front, F.col("text"))), lambda n: text.leading_addition(o, n)),
     )
-    added = text.leading_addition(F.col("o"), F.col("n"))
-    return keyed.select("doc_key", "pos", added.alias("added")).filter(F.length("added") > 0).withColumn(
+    # Exploding the filtered one-element array works the keys out once per line; a filter would do so again.
+    kept = F.explode(F.filter(F.array(added), lambda x: F.length(x) > 0))
+    return inputs.lines(spark, d).select("doc_key", "pos", kept.alias("added")).withColumn(
         "allowed", F.col("added").isin(*CONNECTORS)
     )
 
