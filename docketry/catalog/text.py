@@ -173,11 +173,14 @@ LANGUAGE_RULES = {
 
 
 def f20_document_class(spark: SparkSession, d: str) -> DataFrame:
-    scores = rules.rule_scores(F.col("text"), LANGUAGE_RULES)
-    return table(spark, d, "documents").select(
-        "doc_id", rules.best_class(scores).alias("label"), rules.class_state(scores).alias("state"),
-        rules.target_folder(rules.best_class(scores), LANGUAGE_FOLDERS).alias("folder"),
-    )
+    return _classed(table(spark, d, "documents").select("doc_id", rules.rule_scores(F.col("text"), LANGUAGE_RULES).alias("scores")), LANGUAGE_FOLDERS)
+
+
+def _classed(scored: DataFrame, folders: dict[str, str]) -> DataFrame:
+    """Class, state and folder of ``(doc_id, scores)``; each text is searched for its phrases once."""
+    one = F.explode(F.array(F.struct(rules.best_class(F.col("scores")).alias("label"), rules.class_state(F.col("scores")).alias("state"))))
+    judged = scored.select("doc_id", F.explode(F.array("scores")).alias("scores")).select("doc_id", one.alias("c"))
+    return judged.select("doc_id", "c.label", "c.state", rules.target_folder(F.col("c.label"), folders).alias("folder"))
 
 
 LANGUAGE_FOLDERS = {"english": "01", "french": "02", "german": "03"}
@@ -189,11 +192,9 @@ def f20_case_documents(spark: SparkSession, d: str) -> DataFrame:
     phrase = F.element_at(F.array(*[F.lit(fv.DOCUMENT_CLASSES[c][0]) for c in classes]), (F.col("doc_id") % len(classes) + 1).cast("int"))
     second = F.when(F.col("doc_id") % 5 == 0, F.lit(fv.DOCUMENT_CLASSES[classes[0]][0])).otherwise(F.lit(""))
     written = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat_ws(" ", phrase, "text", second))
-    scores = rules.rule_scores(written, {c: {p: 1 for p in phrases} for c, phrases in fv.DOCUMENT_CLASSES.items()})
-    label = rules.best_class(scores)
-    return table(spark, d, "documents").select(
-        "doc_id", label.alias("label"), rules.class_state(scores).alias("state"), rules.target_folder(label, fv.CLASS_FOLDERS).alias("folder")
-    )
+    texts = table(spark, d, "documents").select("doc_id", F.explode(F.array(written)).alias("written"))
+    scores = rules.rule_scores(F.col("written"), {c: {p: 1 for p in phrases} for c, phrases in fv.DOCUMENT_CLASSES.items()})
+    return _classed(texts.select("doc_id", scores.alias("scores")), fv.CLASS_FOLDERS)
 
 
 COURTS = ["tionth", "eaux"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import fixed_values as fv
-from docketry.functions.arrays import any_of
+from docketry.functions.arrays import any_of, let
 
 Rules = list[tuple[str, list[list[str]]]]
 
@@ -48,18 +50,27 @@ def rule_scores(text: Column, rules: dict[str, dict[str, int]]) -> Column:
     return F.array(*scored)
 
 
+def _with_top(scores: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the scores and the best of them; the text is searched once, not once per class that is compared."""
+    return let(scores, lambda held: let(F.array_max(F.transform(held, lambda s: s["score"])), lambda top: body(held, top)))
+
+
 def best_class(scores: Column) -> Column:
     """The single best class; no hit or a tie at the top gives ``unknown``."""
-    top = F.array_max(F.transform(scores, lambda s: s["score"]))
-    leaders = F.filter(scores, lambda s: (s["score"] == top) & (s["score"] > 0))
-    return F.when(F.size(leaders) == 1, F.get(leaders, 0)["label"]).otherwise(F.lit("unknown"))
+    def best(scores: Column, top: Column) -> Column:
+        leaders = F.filter(scores, lambda s: (s["score"] == top) & (s["score"] > 0))
+        return F.when(F.size(leaders) == 1, F.get(leaders, 0)["label"]).otherwise(F.lit("unknown"))
+
+    return _with_top(scores, best)
 
 
 def class_state(scores: Column) -> Column:
     """``found``, ``conflict`` (several classes share the best score) or ``no hit``."""
-    top = F.array_max(F.transform(scores, lambda s: s["score"]))
-    leaders = F.size(F.filter(scores, lambda s: s["score"] == top))
-    return F.when(F.coalesce(top, F.lit(0)) <= 0, "no hit").when(leaders > 1, "conflict").otherwise("found")
+    def state(scores: Column, top: Column) -> Column:
+        leaders = F.size(F.filter(scores, lambda s: s["score"] == top))
+        return F.when(F.coalesce(top, F.lit(0)) <= 0, "no hit").when(leaders > 1, "conflict").otherwise("found")
+
+    return _with_top(scores, state)
 
 
 def target_folder(label: Column, folders: dict[str, str]) -> Column:

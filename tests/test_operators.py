@@ -490,3 +490,33 @@ def test_outcomes_of_the_stream_are_those_of_the_batch(spark, tmp_path):
     got = sorted((r.apply_id, r.token, r.outcome) for r in rows.collect())
     assert got == sorted((r.apply_id, r.token, r.outcome) for r in want.collect())
     assert {r[2] for r in got} == {"applied", "expired", "unknown or used"}
+
+
+# --- work done once ---------------------------------------------------------
+
+def test_a_class_is_scored_with_one_search_a_phrase(spark):
+    """The scores stand once in an expression, however many classes are compared with the best."""
+    from docketry.functions import rules
+    scores = rules.rule_scores(F.col("t"), {c: {f"{c}{k}": 1 for k in range(2)} for c in "abc"})
+    df = spark.createDataFrame([(1, "a0 a1 b0"), (2, "a0 b1"), (3, "x"), (4, None)], "id int, t string")
+    got = df.select("id", rules.best_class(scores).alias("label"), rules.class_state(scores).alias("state"))
+    assert sorted(got.collect()) == [(1, "a", "found"), (2, "unknown", "conflict"), (3, "unknown", "no hit"), (4, "unknown", "no hit")]
+    for one in (rules.best_class(scores), rules.class_state(scores)):
+        assert df.select(one)._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 6
+
+
+def test_renamed_folders_are_not_copied_to_every_task(spark):
+    acts = spark.createDataFrame([(1, "c:/a/b/x.pdf"), (2, "c:/z.pdf"), (3, None)], "act_id int, doc_path string")
+    renames = spark.createDataFrame([("C:\\a", "/m"), ("c:/A/b", "/n")], "old_folder string, new_folder string")
+    got = changes.rename_paths(acts, renames, "doc_path")
+    assert sorted((r.act_id, r.new_path) for r in got.collect()) == [(1, "/n/x.pdf"), (2, "c:/z.pdf"), (3, None)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leading_additions_work_out_two_keys_a_line(spark, tmp_path):
+    from docketry.catalog.text import f10_leading_additions
+    body = "Some line of words\n\nanother line"
+    spark.createDataFrame([(1, body, "en", "s", 30), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = f10_leading_additions(spark, str(tmp_path))
+    assert sorted(got.collect()) == [(1, 0, "In addition,", True), (1, 1, "Whatever", False)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
