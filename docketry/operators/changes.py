@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry import fixed_values as fv
 from docketry.functions.text import catalog_key, similarity
 from docketry.operators.cases import closest_names
+from docketry.operators.joining import shuffled
 
 
 # --- plan and apply ---------------------------------------------------------
@@ -185,9 +186,9 @@ def rename_paths(acts: DataFrame, renames: DataFrame, path: str) -> DataFrame:
         F.lower(F.translate("old_folder", "\\", "/")).alias("prefix"), F.length("old_folder").alias("cut"), "new_folder"
     )
     nested = acts.filter(F.size(parts) > 1)
-    hit = nested.select("act_id", F.explode(prefixes).alias("prefix")).join(moves, "prefix")
+    hit = nested.select("act_id", F.explode(prefixes).alias("prefix")).join(shuffled(moves), "prefix")
     best = hit.groupBy("act_id").agg(F.max(F.struct("cut", "new_folder")).alias("m"))
-    joined = acts.join(best, "act_id", "left")
+    joined = acts.join(shuffled(best), "act_id", "left")
     moved = F.concat(F.col("m.new_folder"), F.substring(F.col(path), F.col("m.cut") + 1, F.length(path)))
     return joined.withColumn("new_path", F.when(F.col("m").isNull(), F.col(path)).otherwise(moved)).drop("m")
 
