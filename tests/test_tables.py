@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,15 @@ def test_a_new_log_file_costs_its_own_rows(spark, tmp_path):
     assert got == {(1, "a"): (3, 2), (2, "b"): (1, 1)}
     logs.keep_totals(logs.log_stream(spark, log), store, str(tmp_path / "over"))  # starts over: counts everything once more
     assert {(r.day.day, r.action): (r.runs, r.applied) for r in logs.read_totals(spark, store).collect()} == got
+
+
+def test_long_texts_are_posted_in_one_pass(spark, tmp_path):
+    """A text of 200,000 characters beyond ASCII; counting places from its start for every run took minutes."""
+    body = "".join(chr(0x5D0 + (k * k + k // 7) % 300) for k in range(200_000))
+    df = spark.createDataFrame([(1, body), (2, body[:50]), (2, body[50:99])], "id long, body string")
+    path = str(tmp_path / "p")
+    started = time.monotonic()
+    postings.write_postings(df, ["id"], "body", path)
+    assert time.monotonic() - started < 30
+    for phrase, want in ((body[90_000:90_020], {1}), (body[10:14], {1, 2}), ("zzz", set())):
+        assert want <= {r.id for r in postings.texts_with(spark, path, df, ["id"], "body", phrase).collect()}
