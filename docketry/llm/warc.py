@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ RECORDS_A_FILE = 2_000  # and FILE_BYTES bound an archive
 LARGE_BYTES = 1 << 16  # payloads from here on are written apart
 FILE_BYTES = 1 << 27
 READ_BYTES = 1 << 20  # of an archive that are unpacked at once
+FAST = {"zlib.compress.level": "BEST_SPEED"}  # for archives that are rewritten soon
 
 # Parts of the record format, and the base-32 digits of a payload digest.
 VERSION = "WARC/1.1"
@@ -69,17 +70,20 @@ def _uuid(*parts: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def _write(records: DataFrame, path: str, largest: int) -> None:
-    """``records`` has ``value`` and ``size``, its payload's bytes; the closing line ends are the line separator.
+def _small(size: Column) -> Column:
+    return F.coalesce(size, F.lit(0)) < LARGE_BYTES
+
+
+def _write(records: Callable[[Callable[[Column], Column]], DataFrame], path: str, largest: int, **options: str) -> None:
+    """``records`` gives the rows with a ``value`` whose payload's bytes pass a test; the closing line ends are the line separator.
 
     Large records have archives of their own with so few of them that none is beyond ``FILE_BYTES`` by much.
     """
-    options = {"lineSep": 2 * LINE, "compression": "gzip"}
-    small = F.coalesce(F.col("size"), F.lit(0)) < LARGE_BYTES
-    records.where(small).select("value").write.options(**options, maxRecordsPerFile=RECORDS_A_FILE).mode("append").text(path)
+    options = {"lineSep": 2 * LINE, "compression": "gzip", **options}
+    records(_small).select("value").write.options(**options, maxRecordsPerFile=RECORDS_A_FILE).mode("append").text(path)
     if largest >= LARGE_BYTES:
         few = max(1, FILE_BYTES // largest)
-        records.where(~small).select("value").write.options(**options, maxRecordsPerFile=few).mode("append").text(path)
+        records(lambda size: ~_small(size)).select("value").write.options(**options, maxRecordsPerFile=few).mode("append").text(path)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
@@ -95,7 +99,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("response"), F.col("r"), F.col("p"), F.col("u"), F.col("t"), payload_digest(F.col("t")), F.octet_length("t"), F.lit(date)
     )
     largest = plain.agg(F.max(F.octet_length("t"))).first()[0] or 0
-    _write(marked.select(record.alias("value"), F.octet_length("t").alias("size")), path, largest)
+    sized = marked.select(record.alias("value"), F.octet_length("t").alias("size"))
+    _write(lambda of: sized.where(of(F.col("size"))), path, largest, **FAST)
 
 
 RECORD = (
@@ -241,10 +246,7 @@ def resolve_revisits(spark: SparkSession, archives: str, out: str, least_bytes:
     )
     decided = written(decided, "decided")
     every_body = read_archives(spark, archives)
-    bodies = every_body.where("kind = 'response'").select("record_id", F.col("payload").cast("string").alias("payload"))  # its bytes, whatever they are
-    kept = decided.where("kind = 'response'").join(bodies, "record_id")
-    rest = decided.where("kind = 'revisit'").withColumn("payload", F.lit("")).select(*kept.columns)
-    every = kept.unionByName(rest)
+    payload = F.col("payload").cast("string").alias("payload")  # its bytes, whatever they are
     c = F.col
     fresh = _uuid(c("record_id"), F.lit("resolved"))
     record = record_text(
@@ -254,13 +256,20 @@ def resolve_revisits(spark: SparkSession, archives: str, out: str, least_bytes:
     own_reference = F.when(c("kind") == "revisit", record).otherwise(
         record_text(c("kind"), fresh, c("page_id"), c("url"), c("payload"), c("digest"), c("payload_bytes"), c("date"))
     )
-    size = F.when(c("kind") == "response", c("payload_bytes")).alias("size")
-    _write(every.select(own_reference.alias("value"), size), out, largest)
+
+    def every(of: Callable[[Column], Column]) -> DataFrame:
+        """The records of that size; only their payloads move."""
+        bodies = every_body.where(F.col("kind") == "response").where(of(F.col("payload_bytes"))).select("record_id", payload)
+        kept = decided.where(F.col("kind") == "response").where(of(F.col("payload_bytes"))).join(bodies, "record_id")
+        rest = decided.where(F.col("kind") == "revisit").where(of(F.lit(None).cast("long")))
+        return kept.unionByName(rest.withColumn("payload", F.lit("")).select(*kept.columns)).select(own_reference.alias("value"))
+
+    _write(every, out, largest)
     if not heads.where(~paged).isEmpty():
         others = every_body.where(~paged).select(
             F.concat(c("head").cast("string"), F.lit(2 * LINE), c("payload").cast("string")).alias("value"), c("payload_bytes").alias("size")
         )
-        _write(others, out, largest)
+        _write(lambda of: others.where(of(F.col("size"))), out, largest)
 
 
 def deduplicated_archive(pages: DataFrame, least_bytes: int = 0, path: str | None = None, **columns) -> DataFrame:
