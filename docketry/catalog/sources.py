@@ -32,7 +32,7 @@ def s3_word_table(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "words")
     laid = inputs.words(spark, d)
     spoiled = laid.withColumn(
-        "conf", F.when(F.col("conf") == 7, "n/a").when(F.col("conf") == 8, "").otherwise(F.format_string("%d.75", F.col("conf")))
+        "conf", F.when(F.col("conf") == 7, "n/a").when(F.col("conf") == 8, "").otherwise(F.concat(F.coalesce(F.col("conf").cast("string"), F.lit("null")), F.lit(".75")))
     ).withColumn("page", F.when(F.col("conf") == "11.75", "x").otherwise(F.col("page").cast("string")))
     spoiled.select("doc_key", "seq", "page", "left", "top", "width", "height", "conf", "text").write.option("sep", "\t").option("header", True).csv(root)
     good, bad = words.read_words(spark, root)
