@@ -133,3 +133,21 @@ def test_damaged_archives_are_refused():
 
 def test_empty_table(pages):
     assert warc.deduplicated_archive(pages([])).count() == 0
+
+
+def test_a_payload_moves_for_archives_of_its_size_only(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "a" * 10), (2, "v", "b" * warc.LARGE_BYTES), (3, "w", "a" * 10)], "page_id long, url string, html string")
+    raw = str(tmp_path / "raw")
+    warc.write_archives(pages, raw)
+    plans, write = [], warc._write
+
+    def seen(records, path, largest, **options):
+        plans.extend(records(of)._jdf.queryExecution().optimizedPlan().toString() for of in (warc._small, lambda size: ~warc._small(size)))
+        write(records, path, largest, **options)
+
+    monkeypatch.setattr(warc, "_write", seen)
+    warc.resolve_revisits(spark, raw, str(tmp_path / "out"))
+    for plan in plans:  # decided rows and payloads are both told apart by size before they meet
+        assert plan.count(f"{warc.LARGE_BYTES}") >= 2
+    got = warc.read_archives(spark, str(tmp_path / "out"), payloads=False)
+    assert sorted((r.page_id, r.kind, r.refers_page) for r in got.collect()) == [(1, "revisit", 3), (2, "response", None), (3, "response", None)]
