@@ -10,6 +10,7 @@ from docketry.functions.text import catalog_key, similarity
 from docketry.operators.cases import closest_names
 from docketry.operators.joining import shuffled
 
+FOLDER_UNITS = 32  # units that the paths below one folder are dealt over
 
 # --- plan and apply ---------------------------------------------------------
 
@@ -185,8 +186,11 @@ def rename_paths(acts: DataFrame, renames: DataFrame, path: str) -> DataFrame:
     moves = renames.select(
         F.lower(F.translate("old_folder", "\\", "/")).alias("prefix"), F.length("old_folder").alias("cut"), "new_folder"
     )
+    # Every path has the topmost folders, so a folder's paths are dealt over several units and each rename goes to all of them.
+    unit = F.pmod(F.xxhash64("act_id", path), F.lit(FOLDER_UNITS)).cast("int").alias("unit")
+    dealt = moves.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(FOLDER_UNITS - 1))))
     nested = acts.filter(F.size(parts) > 1)
-    hit = nested.select("act_id", F.explode(prefixes).alias("prefix")).join(shuffled(moves), "prefix")
+    hit = nested.select("act_id", unit, F.explode(prefixes).alias("prefix")).join(shuffled(dealt), ["prefix", "unit"])
     best = hit.groupBy("act_id").agg(F.max(F.struct("cut", "new_folder")).alias("m"))
     joined = acts.join(shuffled(best), "act_id", "left")
     moved = F.concat(F.col("m.new_folder"), F.substring(F.col(path), F.col("m.cut") + 1, F.length(path)))

@@ -511,6 +511,7 @@ def test_renamed_folders_are_not_copied_to_every_task(spark):
     got = changes.rename_paths(acts, renames, "doc_path")
     assert sorted((r.act_id, r.new_path) for r in got.collect()) == [(1, "/n/x.pdf"), (2, "c:/z.pdf"), (3, None)]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(prefix" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "unit" in plan  # a common folder is no single task's
 
 
 def test_leading_additions_work_out_two_keys_a_line(spark, tmp_path):
