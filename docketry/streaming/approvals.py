@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from docketry import fixed_values as fv
 from docketry.operators.joining import shuffled
@@ -61,7 +62,7 @@ ROCKS_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 
 @contextmanager
 def timed_state(spark: SparkSession) -> Iterator[None]:
-    """State with timers needs the RocksDB store; queries started inside use it, others keep what is set."""
+    """State that grows with the tokens is kept in the RocksDB store; queries started inside use it, others keep what is set."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, ROCKS_PROVIDER)
@@ -79,69 +80,75 @@ def _millis(micros: int) -> int:
     return -(-micros // 1000)
 
 
-class TokenOutcomes(StatefulProcessor):
-    """One token: when it was issued, whether it is spent, and the applies that still wait for the watermark.
+TOKEN_BUCKETS = 1024
+TOKEN_STATE = "tokens array<string>, issued array<long>, spent array<boolean>, waiting array<struct<at:long,apply_id:long,token:string>>"
+
+
+def _token_outcomes(minutes: int) -> Callable[..., Iterator[pd.DataFrame]]:
+    """Judges the tokens of one bucket: when each was issued, whether it is spent, and the applies that still wait for the watermark.
 
     An apply is judged when the watermark has passed it, so that everything earlier is there and it
-    is taken in its order. What stays is a time and a mark for each token that was issued, since it may be applied
-    at any time after.
+    is taken in its order; one without a time at once. What stays is a time and a mark for each token that was issued, since it may be applied
+    at any time after. A bucket's state comes and goes with its rows, once a batch, not in a call a token.
     """
-
-    def __init__(self, minutes: int):
-        self.life = minutes * 60_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.issued = handle.getValueState("issued", "at long")
-        self.spent = handle.getValueState("spent", "spent boolean")
-        self.waiting = handle.getListState("waiting", "at long, apply_id long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        for row in rows:
-            if row.apply_id is None:
-                if not self.issued.exists() or row.at < self.issued.get()[0]:
-                    self.issued.update((row.at,))
-            else:
-                self.waiting.appendValue((row.at, row.apply_id))
-                self.handle.registerTimer(_millis(row.at))
-        return iter([])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        every = [(r[0], r[1]) for r in self.waiting.get()]
-        due = sorted(r for r in every if _millis(r[0]) <= until)
-        if not due:
-            return
-        rest = [r for r in every if _millis(r[0]) > until]
-        issued = self.issued.get()[0] if self.issued.exists() else None
-        for at, apply_id in due:
+    life = minutes * 60_000_000
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tokens, times, marks, waiting = state.get if state.exists else ([], [], [], [])
+        issued, spent = dict(zip(tokens, times, strict=True)), {t for t, used in zip(tokens, marks, strict=True) if used}
+        every = [(w[0], w[1], w[2]) for w in waiting]
+        out = []
+        if not state.hasTimedOut:
+            for frame in frames:
+                for token, at, apply_id, timed, applies in zip(*(frame[c].tolist() for c in ("token", "at", "apply_id", "timed", "applies")), strict=True):
+                    if applies and timed:
+                        every.append((at, apply_id, token))
+                    elif applies:
+                        out.append((apply_id, token, None, "unknown or used"))
+                    elif timed and at < issued.get(token, at + 1):
+                        issued[token] = at
+        until, rest = state.getCurrentWatermarkMs(), []
+        for at, apply_id, token in sorted(every, key=lambda w: w[:2]):
+            if _millis(at) > until:
+                rest.append((at, apply_id, token))
+                continue
             outcome = "unknown or used"
-            if issued is not None and at >= issued and not self.spent.exists():
-                outcome = "applied" if at <= issued + self.life else "expired"
-                self.spent.update((True,))
-            yield Row(apply_id=apply_id, token=key[0], at=at, outcome=outcome)
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-
-    def close(self) -> None:
-        pass
+            if token in issued and at >= issued[token] and token not in spent:
+                outcome = "applied" if at <= issued[token] + life else "expired"
+                spent.add(token)
+            out.append((apply_id, token, at, outcome))
+        if issued or rest:
+            state.update((list(issued), list(issued.values()), [t in spent for t in issued], rest))
+            if rest:
+                state.setTimeoutTimestamp(_millis(rest[0][0]))
+        elif state.exists:
+            state.remove()
+        if out:
+            frame = pd.DataFrame(out, columns=["apply_id", "token", "at", "outcome"])
+            yield frame.astype({"at": "Int64"})
+
+    return run
 
 
 def apply_outcomes(
-    previews: DataFrame, applies: DataFrame, minutes: int = fv.TOKEN_MINUTES, lateness: str = "1 hour"
+    previews: DataFrame, applies: DataFrame, minutes: int = fv.TOKEN_MINUTES, lateness: str = "1 hour", buckets: int = TOKEN_BUCKETS
 ) -> DataFrame:
     """Every apply once, as ``applied``, ``expired`` or ``unknown or used``: the stream of ``ledger.judged_applies``.
 
     ``previews(token, ts)``, ``applies(apply_id, token, ts)`` as streams. An apply comes out when the watermark has passed
-    it; rows later than ``lateness`` are not judged. Start the query inside ``timed_state``.
+    it; rows later than ``lateness`` are not judged. Tokens share ``buckets`` states, which a query keeps from its start
+    on; a batch reads and writes those of its own tokens. Start the query inside ``timed_state``.
     """
     none = F.lit(None).cast("long").alias("apply_id")
     rows = previews.select("token", "ts", none).unionByName(applies.select("token", "ts", F.col("apply_id").cast("long").alias("apply_id")))
     timed = rows.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
-    judged = timed.groupBy("token").transformWithState(
-        TokenOutcomes(minutes), "apply_id long, token string, at long, outcome string", "append", "EventTime"
+    # nulls would make the columns floating ones in pandas
+    plain = timed.select(
+        F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"), "token", "ts", F.coalesce("at", F.lit(0)).alias("at"),
+        F.coalesce("apply_id", F.lit(0)).alias("apply_id"), F.col("at").isNotNull().alias("timed"), F.col("apply_id").isNotNull().alias("applies"),
+    )
+    judged = plain.groupBy("bucket").applyInPandasWithState(
+        _token_outcomes(minutes), "apply_id long, token string, at long, outcome string", TOKEN_STATE, "append", "EventTimeTimeout"
     )
     return judged.select("apply_id", "token", F.timestamp_micros("at").alias("ts"), "outcome")
 
