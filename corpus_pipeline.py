@@ -29,7 +29,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of texts with a shingle similarity of 0.8 or more the one with the smallest id stays."""
+    """Of every group of texts with a shingle similarity of 0.8 or more the one with the smallest id stays.
+
+    Candidates are the classes of SimHash fingerprints that BK-trees link, and equal bands of min-hashes for pairs whose
+    fingerprints lie further apart; an exact count over the whole shingle sets follows.
+    """
     return without_near_copies(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of whole texts' word shingles: min-hash bands for candidates, exact counts for links."""
+"""Near copies by the Jaccard similarity of whole texts' word shingles: SimHash classes by BK-trees and min-hash bands for candidates, exact counts for links."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import Texts, kept_rows, key_filter, may_hold, mixed, span_hashes, text_keys, texts, whole_runs, written
 from docketry.llm.graph import components
+from docketry.llm.simhash import RADIUS
+from docketry.llm.simhash import links as fingerprint_links
 
 SHINGLE = 5
 SIMILAR_PERCENT = 80
@@ -19,6 +21,7 @@ BAND_HASHES = 6
 SALTS = 64  # units that the partners of one node are dealt over
 PART_ROWS = 512  # sets that one part of a group holds, about
 PART_SHINGLES = 1 << 18  # and the shingles of them
+PART_BITS = 1 << 15  # hashes whose bits are counted at once
 PIECE = 1 << 18  # bytes of text numpy works on at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,8 +66,20 @@ def band_keys(values: np.ndarray, limits: np.ndarray, bands: int = BANDS, hashes
     return out
 
 
+def set_fingerprints(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """64 bits per set, each set if it is set in over half of the shingles' hashes; 0 for an empty set."""
+    out = np.zeros(len(limits) - 1, np.uint64)
+    for k, (a, b) in enumerate(zip(limits, limits[1:], strict=False)):
+        total = np.zeros(64, np.int64)
+        for at in range(a, b, PART_BITS):
+            part = values[at : min(at + PART_BITS, b)].astype("<u8")
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * total > b - a, bitorder="little").view("<u8")[0]
+    return out
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``doc_id, key, again, node, bands`` of every row: two hashes of the text, its shingle set's hash, and the set's band keys."""
+    """``doc_id, key, again, node, fp, bands`` of every row: two hashes of the text, its shingle set's hash, fingerprint and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,21 +90,36 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                 bands = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 own = batch.slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), own.column(2), pa.array(set_hashes(values, limits).view(np.int64)), bands],
-                    ["doc_id", "key", "again", "node", "bands"],
+                    [
+                        own.column(0), own.column(1), own.column(2), pa.array(set_hashes(values, limits).view(np.int64)),
+                        pa.array(set_fingerprints(values, limits).view(np.int64)), bands,
+                    ],
+                    ["doc_id", "key", "again", "node", "fp", "bands"],
                 )
 
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), *text_keys(docs[text_col]), docs[text_col].alias("t"))
-    return plain.mapInArrow(run, "doc_id long, key long, again long, node long, bands array<long>")
+    return plain.mapInArrow(run, "doc_id long, key long, again long, node long, fp long, bands array<long>")
+
+
+def fingerprint_keys(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``node, band``: one key for all nodes (``node, fp, bands``) whose fingerprints the BK-trees of ``simhash`` put in one component.
+
+    A set without shingles has none.
+    """
+    prints = nodes.where(F.size("bands") > 0).select("node", "fp")
+    roots = components(fingerprint_links(written(prints.select("fp").distinct(), "fingerprints"), radius))
+    classed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return classed.select("node", F.xxhash64(F.coalesce("root", "fp"), F.lit("fingerprint")).alias("band"))
 
 
 def placed_nodes(nodes: DataFrame) -> DataFrame:
-    """``node, band, weight`` of every node under every key that another node has too.
+    """``node, band, weight`` of every node under every key that another node has too: its fingerprint's component and its bands.
 
     The weight is the number of nodes met under all keys: an original has more of it than its copies, which differ
     from each other more than from it.
     """
-    every = nodes.select("node", F.explode("bands").alias("band"))
+    classes = written(fingerprint_keys(nodes), "classes")
+    every = nodes.select("node", F.explode("bands").alias("band")).unionByName(classes)
     sizes = written(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band-sizes")
     shared = every.where(may_hold(every, F.col("band"), key_filter(sizes, "band")))
     met = written(shared.join(sizes.hint("merge"), "band"), "met")
@@ -259,7 +289,7 @@ def _components(
 ) -> DataFrame:
     """``doc_id, key, again, node, root`` of every row; the root is one node of the component."""
     rows = written(sketches(docs, id_col, text_col, size), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("key").alias("key"), F.any_value("bands").alias("bands")), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes")
     placed = placed_nodes(nodes)
     members = written(nodes.select("node", "key").join(placed.select("node").distinct(), "node"), "members")
     sets = written(member_sets(docs, members, text_col, size), "sets")
@@ -280,7 +310,8 @@ def near_copies(
     """``doc_id, component_id`` for every row: components of texts whose shingle sets have that Jaccard similarity.
 
     The component is named by its smallest id; a null id names one only if it has no other. Texts with equal sets, and
-    all texts without words, null ones too, are one node from the start. Nodes under one band key are candidates. First each meets the heaviest
+    all texts without words, null ones too, are one node from the start. Nodes whose SimHash fingerprints the BK-trees link, as in
+    ``simhash.near_duplicates`` but of this shingle size, have a key in common, and so have nodes with an equal band of min-hashes. First each node meets the heaviest
     of its key; where nodes of a key are then in different components, those meet too, until every pair of the key is
     linked through others or compared. All counts are on the whole sets. Rows with equal ids are judged by their own
     texts. Other columns are ignored; an empty table gives no rows.

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,37 @@ def test_components_match_brute_force(documents, part_rows, salts):
     assert all(r.component_id == min(g) for r in out for g in want if r.doc_id in g)
 
 
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 0, 7, 50_000]
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in sizes]
+    got = nearcopies.set_fingerprints(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for s, fp in zip(sets, got.tolist(), strict=True):
+        for bit in range(64):
+            assert (fp >> bit) & 1 == (2 * sum((int(x) >> bit) & 1 for x in s) > len(s))
+
+
+def test_nodes_meet_by_their_fingerprints(spark):
+    """A chain of fingerprints within four bits has one key in common though no band is shared; one five bits away, and a set without shingles, have none."""
+    chain = [0, 0b1111, 0b11111111, 0b11111111]
+    rows = [(k, fp, [100 + k]) for k, fp in enumerate(chain)] + [(10, 0b1111111111111, [200]), (11, 0, []), (12, (1 << 62) - 1, [201])]
+    placed = nearcopies.placed_nodes(spark.createDataFrame(rows, "node long, fp long, bands array<long>")).collect()
+    assert sorted(r.node for r in placed) == [0, 1, 2, 3] and len({r.band for r in placed}) == 1
+
+
+def test_linked_fingerprints_are_compared_without_a_band(documents, monkeypatch):
+    """With bands that no two texts share, the fingerprints alone bring near copies together, and the exact count decides."""
+    def own_keys(values, limits):
+        own = nearcopies.set_hashes(values, limits)[np.diff(limits) > 0]
+        return own[:, None] + np.arange(nearcopies.BANDS, dtype=np.uint64)
+
+    monkeypatch.setattr(nearcopies, "band_keys", own_keys)
+    words = [f"w{k}" for k in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(["less", *words])), (4, " ".join(f"z{k}" for k in range(2000)))]
+    out = {r.doc_id: r.component_id for r in nearcopies.near_copies(documents(rows)).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_copies_that_meet_only_through_others(documents):
     """A chain in which each text is similar to the next, and copies of one text that are not similar to each other."""
     rng = random.Random(5)
