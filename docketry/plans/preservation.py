@@ -12,7 +12,6 @@ from docketry.functions.text import comparison_key, leading_addition, nfkc, quot
 from docketry.operators.matching import best_partner, without_partner
 from docketry.operators.quality import operative_tail
 from docketry.session import cut_lineage
-from docketry.operators.joining import shuffled
 
 PAIR = ["pair_id"]
 FINDING = ["pair_id", "check", "severity", "at", "subject", "detail"]
@@ -34,30 +33,27 @@ def _finding(df: DataFrame, check: str, severity: Column | str, subject: Column,
 def keyed_paragraphs(paragraphs: DataFrame, side: str) -> DataFrame:
     """Non-empty paragraphs of one version as ``(pair_id, row, text)`` in comparison form."""
     own = paragraphs.filter(F.col("side") == side)
-    return own.select("pair_id", F.col("pos").alias("row"), comparison_key(F.col("text")).alias("text")).filter(F.length("text") > 0)
+    key = F.col("key") if "key" in paragraphs.columns else comparison_key(F.col("text"))
+    return own.select("pair_id", F.col("pos").alias("row"), key.alias("text")).filter(F.length("text") > 0)
+
+
+def written_once(paragraphs: DataFrame) -> DataFrame:
+    """The paragraphs with their comparison form as ``key``, worked out and written once; a text that equals it is not written. A null text becomes empty."""
+    key = comparison_key(F.col("text"))
+    held = cut_lineage(paragraphs.select("pair_id", "side", "pos", key.alias("key"), F.when(F.col("text") != key, F.col("text")).alias("own")))
+    return held.select("pair_id", "side", "pos", "key", F.coalesce("own", "key").alias("text"))
 
 
 def alignment(old: DataFrame, new: DataFrame, metric: str) -> DataFrame:
     """Best partner of every original paragraph: ``(pair_id, row, text, other, score, partner)``."""
-    best = best_partner(old, new, PAIR, fv.NEAR_MATCH_THRESHOLD, metric)
-    partner = new.select("pair_id", F.col("row").alias("other"), F.col("text").alias("partner"))
-    return best.join(shuffled(partner), ["pair_id", "other"], "left").select(
-        "pair_id", "row", "text", "other", "score", "partner"
-    )
+    return best_partner(old, new, PAIR, fv.NEAR_MATCH_THRESHOLD, metric, texts=True)
 
 
 def paragraph_findings(aligned: DataFrame, old: DataFrame, new: DataFrame, metric: str) -> DataFrame:
-    """Originals without a near partner are lost, new ones without one are invented.
-
-    Edit distance is the same both ways, so a new paragraph that is the partner
-    of an original needs no second look.
-    """
+    """Originals without a near partner are lost, new ones without one are invented."""
     changed = F.when(F.col("score").isNull(), "RED").when(F.col("score") < fv.PARAGRAPH_MATCH_THRESHOLD, "ORANGE")
     detail = F.when(F.col("score").isNull(), "lost paragraph").otherwise("paragraph may be changed")
-    known = None
-    if metric == "edit":
-        known = aligned.filter(F.col("other").isNotNull()).select("pair_id", F.col("other").alias("row"))
-    lonely = without_partner(new, old, PAIR, fv.NEAR_MATCH_THRESHOLD, metric, known)
+    lonely = without_partner(new, old, PAIR, fv.NEAR_MATCH_THRESHOLD, metric)
     return _finding(aligned, "1-paragraphs", changed, F.col("text"), detail).unionByName(
         _finding(lonely, "1-paragraphs", "RED", F.col("text"), "invented paragraph")
     )
@@ -89,7 +85,8 @@ def outcome_findings(paragraphs: DataFrame, markers: list[str]) -> DataFrame:
 
     Blank paragraphs do not count; a tail is one version's own paragraphs, joined in order.
     """
-    keyed = paragraphs.withColumn("text", comparison_key(F.col("text"))).filter(F.length("text") > 0)
+    key = F.col("key") if "key" in paragraphs.columns else comparison_key(F.col("text"))
+    keyed = paragraphs.withColumn("text", key).drop("key").filter(F.length("text") > 0)
     tail = operative_tail(keyed, ["pair_id", "side"], markers)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     joined_text = F.array_join(F.transform(ordered, lambda x: x["text"]), " ")
@@ -136,6 +133,8 @@ def preservation_findings(
     """
     if compatibility:
         paragraphs = paragraphs.withColumn("text", nfkc(F.col("text")))
+    # All checks read the written paragraphs; neither texts nor keys are worked out again.
+    paragraphs = written_once(paragraphs)
     old = keyed_paragraphs(paragraphs, "original")
     new = keyed_paragraphs(paragraphs, "reordered")
     # Written once, since three checks read it.
