@@ -127,8 +127,8 @@ def preservation_findings(
 ) -> DataFrame:
     """All findings of ``paragraphs(pair_id, side, pos, text)``.
 
-    ``metric`` is ``blocks`` (matching blocks, an Arrow UDF on the few pairs
-    that pass the bounds) or ``edit`` (edit distance, no Python). With
+    ``metric`` is ``blocks`` (matching blocks, for the few pairs
+    that pass the bounds) or ``edit`` (edit distance). With
     ``compatibility`` every check reads the texts in their compatibility form.
     """
     if compatibility:
